@@ -6,8 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions.normalize import clean_hash, clean_path
+from lanternfish.operators import drift
+from lanternfish.operators.shredding import Child, Shape, element_listing, entity_table, shred
 from lanternfish.operators.snapshots import snapshot_changes
-from lanternfish.sources.storage import table
+from lanternfish.sources.storage import cut, table
+
+
+def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(drift.load_fields(table(spark, sf_dir, "artifact_records")), "artifact-fields")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields added, removed, renamed and retyped between consecutive files of a producer."""
+    return drift.field_changes(_artifacts(spark, sf_dir))
+
+
+def _cast(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    loaded = _artifacts(spark, sf_dir)
+    values = cut(drift.unified_values(loaded, drift.field_changes(loaded)), "values")
+    targets = cut(drift.target_types(values), "targets")
+    return loaded, drift.cast_values(values, targets), targets
+
+
+def p1_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that don't fit their field's type, by field and raw type."""
+    return drift.failed_casts(_cast(spark, sf_dir)[1])
+
+
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of all files in one table of typed columns."""
+    loaded, cast, targets = _cast(spark, sf_dir)
+    return drift.consistent_table(loaded, cast, targets)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,3 +52,77 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         idx="idx",
     )
     return out.select("package_id", "snapshot_no", F.col("key").alias("path"), "change_kind")
+
+
+_FINDINGS = ("deterministic.prohibited_findings", "deterministic.restricted_findings")
+_RISKS = "deterministic.combination_risks"
+_INSIGHTS = "deterministic.meta_insights"
+REPORT_CHILDREN = {
+    "merkle_leaf": Child("deterministic.merkle_tree.leaves", "path"),
+    "merkle_node": Child("deterministic.merkle_tree.nodes"),
+    "prohibited_finding": Child(_FINDINGS[0], "file"),
+    "restricted_finding": Child(_FINDINGS[1], "file"),
+    "prohibited_scope": Child(f"{_FINDINGS[0]}[].capability.scope", "", _FINDINGS[0]),
+    "restricted_scope": Child(f"{_FINDINGS[1]}[].capability.scope", "", _FINDINGS[1]),
+    "prohibited_tag": Child(f"{_FINDINGS[0]}[].tags", "", _FINDINGS[0]),
+    "restricted_tag": Child(f"{_FINDINGS[1]}[].tags", "", _FINDINGS[1]),
+    "external_binary": Child("deterministic.external_binaries"),
+    "combination_risk": Child(_RISKS, "rule_id"),
+    "matched_capability": Child(f"{_RISKS}[].matched_capabilities", "", _RISKS),
+    "meta_insight": Child(_INSIGHTS, "category"),
+    "meta_evidence": Child(f"{_INSIGHTS}[].evidence", "", _INSIGHTS),
+    "unresolved_scope": Child("ephemeral.unresolved_scope_analysis", "file"),
+    "permission_overreach": Child("ephemeral.taxonomy.permission_overreach"),
+}
+REPORT_SHAPE = Shape(
+    arrays=frozenset(c.label for c in REPORT_CHILDREN.values()),
+    objects=frozenset(["deterministic", "deterministic.merkle_tree", "deterministic.persona", "ephemeral", "ephemeral.taxonomy"])
+    | {f"{c.label}[]" for c in REPORT_CHILDREN.values() if c.item}
+    | {f"{f}[].capability" for f in _FINDINGS},
+)
+
+
+def latest_reports(reports: DataFrame) -> DataFrame:
+    """``report_id, body`` of each report's latest delivery; of equally late ones the greatest body."""
+    best = F.max(F.struct("received_at", "body")).alias("best")
+    return reports.where(F.col("report_id").isNotNull()).groupBy("report_id").agg(best).select("report_id", "best.body")
+
+
+def _report_nodes(spark: SparkSession, sf_dir: str, labels: list[str] | None = None) -> DataFrame:
+    return shred(latest_reports(table(spark, sf_dir, "scan_reports")), "report_id", "body", REPORT_SHAPE, labels)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every array element of a report with its position, its parent's position and its item."""
+    labels = [f"{c.label}[]" for c in REPORT_CHILDREN.values()] + [f"{c.label}[].{c.item}" for c in REPORT_CHILDREN.values() if c.item]
+    nodes = cut(_report_nodes(spark, sf_dir, labels), "report-nodes")
+    return element_listing(nodes, REPORT_CHILDREN).withColumnRenamed("record", "report_id")
+
+
+def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole adjacency table of all reports."""
+    return _report_nodes(spark, sf_dir).withColumnRenamed("record", "report_id")
+
+
+def p4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat row per finding of a report."""
+    nodes = cut(_report_nodes(spark, sf_dir), "report-nodes")
+    names = ["file", "line", "col", "pattern", "severity", "message", "suggested_fix"]
+    fields = {n: n for n in names} | {"category": "capability.category", "action": "capability.action", "scope_resolved": "capability.scope_resolved"}
+    parts = [entity_table(nodes, f, fields).withColumn("list", F.lit(f.rpartition(".")[2])) for f in _FINDINGS]
+    out = parts[0].unionByName(parts[1]).drop("holder", "value", "parent_ord").withColumnRenamed("record", "report_id")
+    return out.withColumn("line", F.col("line").try_cast("int")).withColumn("col", F.col("col").try_cast("int")).withColumn("scope_resolved", F.col("scope_resolved").try_cast("boolean"))
+
+
+def p4_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat row per Merkle leaf of a report."""
+    at = "deterministic.merkle_tree.leaves"
+    nodes = _report_nodes(spark, sf_dir, [f"{at}[]", f"{at}[].path", f"{at}[].hash"])
+    return entity_table(cut(nodes, "report-nodes"), at, {"path": "path", "hash": "hash"}).drop("holder", "value", "parent_ord").withColumnRenamed("record", "report_id")
+
+
+def p4_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat row per combination risk of a report."""
+    nodes = cut(_report_nodes(spark, sf_dir), "report-nodes")
+    out = entity_table(nodes, _RISKS, {n: n for n in ("rule_id", "severity", "risk_override")})
+    return out.drop("holder", "value", "parent_ord").withColumn("risk_override", F.col("risk_override").try_cast("int")).withColumnRenamed("record", "report_id")

@@ -13,7 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """Name to function(spark, folder)."""
-    return {"p3_found": data_problems.p3_found}
+    names = ["p1_found", "p1_failed_casts", "p1_records", "p3_found", "p4_found", "p4_nodes", "p4_findings", "p4_leaves", "p4_risks"]
+    return {n: getattr(data_problems, n) for n in names}
 
 
 def oracle_sql() -> dict[str, str]:
