@@ -83,18 +83,19 @@ def snapshot_changes(
     links = cut(snapshot_links(rows.select(group, number).unionByName(snapshots.select(group, number)), group, number), "links")
     large = F.broadcast(large_groups(rows, group, number))
 
-    h = F.xxhash64("key")
     binary = F.coalesce(F.unhex("text"), F.encode("text", "UTF-8"))  # half the bytes of a hexadecimal digest
-    base = (
-        rows.select(group, number, key.alias("key"), value.alias("text"), F.col(at).alias("at"), F.col(idx).alias("idx"))
-        .where(F.col("key").isNotNull())
-        .select(group, number, "key", binary.alias("value"), "at", "idx")
-    )
+    zero = F.lit(0).cast("bigint")
+
+    def base(of: DataFrame, *also: str) -> DataFrame:
+        named = of.select(group, number, *also, key.alias("key"), value.alias("text"), F.col(at).alias("at"), F.col(idx).alias("idx"))
+        return named.where(F.col("key").isNotNull()).select(group, number, *also, "key", binary.alias("value"), "at", "idx")
+
     # Large snapshots may repeat one key any number of times: combine before the shuffle. Others are bounded.
     node = [group, number, "bits", "node"]
-    small = base.join(large, group, "left_anti").withColumn("bits", F.lit(0)).withColumn("node", F.lit(0).cast("bigint"))
-    split = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(xxhash64(key), 64 - bits)")).otherwise(F.lit(0).cast("bigint"))
-    big = _latest(base.join(large, group).withColumn("node", split), [*node, "key"])
+    small = base(rows.join(large.select(group), group, "left_anti")).withColumn("bits", F.lit(0)).withColumn("node", zero)
+    split = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(xxhash64(key), 64 - bits)")).otherwise(zero)
+    sized = rows.join(large, group).withColumn("bits", F.coalesce("bits", F.lit(0)))
+    big = _latest(base(sized, "bits").withColumn("node", split), [*node, "key"])
     rest = ["key", "at", "idx", "value"]
     placed = small.select(*node, *rest).unionByName(big.select(*node, *rest)).repartition(*node)
     # One shuffle brings a node's rows together; the two steps below work within it.
@@ -104,10 +105,9 @@ def snapshot_changes(
 
     digests = [f"d{i}" for i in range(FANOUT)]
     leaf = F.xxhash64(F.lit(1), "key", F.col("value").isNull(), "value")
-    none = F.lit(0).cast("bigint")
     nodes = held.withColumn("leaf", leaf).groupBy(*node).agg(
         F.bit_xor(F.xxhash64(F.lit(2), "leaf", "value")).alias("whole"),
-        *[F.bit_xor(F.when(F.col("bucket") == i, F.col("leaf")).otherwise(none)).alias(d) for i, d in enumerate(digests)],
+        *[F.bit_xor(F.when(F.col("bucket") == i, F.col("leaf")).otherwise(zero)).alias(d) for i, d in enumerate(digests)],
     )
     # A node takes part as the later side of its own pair and as the earlier side of the next one; the xor over
     # both sides is zero where they are equal, and a side without rows counts as zero.
@@ -129,14 +129,13 @@ def snapshot_changes(
     sides = touched.groupBy(group, "pair", "key").agg(
         F.max("later").alias("in_new"),
         F.min("later").alias("in_old"),
-        F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("x1"),
-        F.bit_xor(F.xxhash64(F.lit(2), "value")).alias("x2"),
+        F.bit_xor(F.xxhash64("value")).alias("differs"),
         F.count("value").alias("known"),
     )
     kind = (
         F.when(F.col("in_old") == 1, "added")
         .when(F.col("in_new") == 0, "removed")
-        .when((F.col("known") == 2) & ((F.col("x1") != 0) | (F.col("x2") != 0)), "changed")
+        .when((F.col("known") == 2) & (F.col("differs") != 0), "changed")
     )
     return sides.select(group, F.col("pair").alias(number), "key", kind.alias("change_kind")).where("change_kind IS NOT NULL")
 
