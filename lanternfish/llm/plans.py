@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import credentials
+from lanternfish.llm import credentials, truncation
 from lanternfish.sources.storage import cut, table
 
 
@@ -30,7 +30,17 @@ def p2_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("context", "alphabet", reason.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = ["p2_found", "p2_redacted", "p2_by_context"]
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were cut off before their end."""
+    return truncation.truncated(truncation.truncation_scores(table(spark, sf_dir, "documents")))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut documents per source."""
+    return truncation.truncation_rates(table(spark, sf_dir, "documents"), p8_found(spark, sf_dir))
+
+
+_NAMES = ["p2_found", "p2_redacted", "p2_by_context", "p8_found", "p8_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
