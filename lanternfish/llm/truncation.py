@@ -28,7 +28,7 @@ DIM = 1 << 15
 #: The first indices are kept for the counts that Spark joins to a text.
 RESERVED = 256
 #: At most about this many labelled rows are used for each fit.
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 32_000
 OMISSION = re.compile(r"(?:\s*(?:…|\.\.\.|\[\.\.\.\]|\[…\]))+$")
 DAMAGE = re.compile(r"(?:�|%[0-9A-Fa-f]{0,2}|&#?\w{0,6}|\\u?[0-9a-fA-F]{0,3}|Ã.?|â€?.?)+$")
 SENTENCE_END = re.compile(r"[.!?。][)\"'”»\]]*(?=\s|$)")
@@ -108,7 +108,7 @@ def describe(text: str) -> tuple[list[int], str, str]:
     f = [
         f"c={cls}", f"cc={kind},{cls},{done}", f"m={marks}", f"mk={marks},{done},{kind}", f"k={kind},{prev_kind}", f"done={done}",
         f"t={tok[:24]}", f"t2={tok2[:24]} {tok[:24]}", f"kt={kind},{tok[:24]}", f"sh={kind},{shape}", f"e3={t[-3:].lower()}", f"since={kind},{done},{min(since, 8)}",
-        f"w={kind},{min(len(words), 10)}", f"len={_bucket(len(t))},{kind}", f"tl={kind},{min(len(tok), 12)}", f"mt={marks},{tok[:24]}",
+        f"w={kind},{min(len(words), 10)}", f"p={' '.join(words[:2]).lower()[:24]},{min(len(words), 12)},{done}", f"len={_bucket(len(t))},{kind}", f"tl={kind},{min(len(tok), 12)}", f"mt={marks},{tok[:24]}",
         f"open={line.count('(') > line.count(')')},{line.count('`') % 2},{kind}", f"q={line.count(chr(34)) % 2},{kind}", f"fenced={fenced and kind != 'close'},{cls}",
     ]
     if len(flat) <= 48:
@@ -139,6 +139,21 @@ def cut_points(text: str, seed: int, n: int) -> list[str]:
     return out
 
 
+def whole_prefix(text: str, seed: int) -> str | None:
+    """The text up to the end of one of its inner lines, which is a finished entry; null if none is found."""
+    ends = [m.start() for m in re.finditer(r"\n", text)]
+    rng = np.random.default_rng((seed ^ 0x5BD1E995) & 0x7FFFFFFF)
+    for _ in range(6 if ends else 0):
+        at = ends[int(rng.integers(len(ends)))]
+        left, after = text[:at].rstrip(), text[at + 1 :].split("\n", 1)[0]
+        head, _, line = left.rpartition("\n")
+        fenced = (head.count("\n```") + head.startswith("```")) % 2 == 1
+        wrapped = after[:1].islower() and _kind(line, fenced) == "plain" and len(line.split()) > 8
+        if line.strip() and not wrapped and _kind(line, fenced) not in ("code", "head", "fence") and not re.fullmatch(r"[|\s:-]+", line):
+            return left
+    return None
+
+
 _FEATURED = "doc_id bigint, source string, label int, limit int, hashed array<int>, tok string, tok2 string"
 
 
@@ -162,6 +177,8 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seed = zlib.crc32(f"{i}".encode())
             for k, x in enumerate(cut_points(t, seed, 2)):
                 rows.append((i, s, 1, (5 if (seed >> k) & 1 else 0), *describe(x)))
+            if x := whole_prefix(t, seed):
+                rows.append((i, s, 0, 5 if seed & 4 else 0, *describe(x)))
         yield _batch(rows)
 
 
@@ -234,7 +251,8 @@ def _scored(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, source, score`` of every text: the chance that it was cut off.
 
-    sample_rows bounds the rows of a fit, drawn by a hash of the text; half are cuts.
+    sample_rows bounds the rows of a fit, drawn by a hash of the text; half are cuts, the rest texts as they stand
+    and texts that end with one of their inner lines.
     """
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", normal_source(F.col("source")).alias("source"), "text")
     one, two = line_end_counts(docs)
@@ -245,13 +263,13 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     n = whole.count()
     if not n:
         return whole.select("doc_id", "source", F.lit(0.0).alias("score"))
-    share = min(1.0, sample_rows / 3 / n)
+    share = min(1.0, sample_rows / 4 / n)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))
     picked = written(docs.where(draw), "picked")
     cuts = written(_indexed(picked.mapInArrow(_cuts, _FEATURED), one, two), "cuts")
     plain = whole.join(picked.select("doc_id"), "doc_id", "left_semi")
     scores = None
-    for _ in range(3):
+    for _ in range(2):
         if scores is not None:
             intact = scores.where("score < 0.5").select("doc_id")
             keep = written(plain.join(intact, "doc_id", "left_semi"), "intact")
@@ -262,7 +280,7 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     return scores
 
 
-def truncated(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+def truncated(scores: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``doc_id`` of the texts that were cut off."""
     return scores.where(F.col("score") >= threshold).select("doc_id").distinct()
 
