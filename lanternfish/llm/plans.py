@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import credentials, truncation
+from lanternfish.llm import credentials, syntax, truncation
 from lanternfish.sources.storage import cut, table
 
 
@@ -30,6 +30,27 @@ def p2_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("context", "alphabet", reason.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "source_files").select("file_id", "path", "text")
+    return syntax.invalid_files(spark, files, cut(syntax.lexed(files), "lexed"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that aren't valid in the language of their suffix."""
+    return _invalid(spark, sf_dir).select("file_id").distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of invalid files per repository and language."""
+    return syntax.invalid_rates(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "packages"), cut(_invalid(spark, sf_dir), "invalid"))
+
+
+def p5_wrong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which impermissible pairs of tokens files have, by language."""
+    rows = syntax.lexed(table(spark, sf_dir, "source_files"))
+    return syntax.wrong_pairs(spark, rows).groupBy("lang", "pair").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that were cut off before their end."""
     return truncation.truncated(truncation.truncation_scores(table(spark, sf_dir, "documents")))
@@ -40,7 +61,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, sf_dir, "documents"), p8_found(spark, sf_dir))
 
 
-_NAMES = ["p2_found", "p2_redacted", "p2_by_context", "p8_found", "p8_rates"]
+_NAMES = ["p2_found", "p2_redacted", "p2_by_context", "p5_found", "p5_rates", "p5_wrong_pairs", "p8_found", "p8_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
