@@ -200,11 +200,12 @@ generator: ('async'? 'for' exprs 'in' or ('if' named)*)+
 
 #: Statements of one block of Python, by their first word; s is any simple statement.
 PYTHON_BLOCK = """
-block: (s | if | loop | try | other | MATCH)+
+block: (s | if | loop | try | decorated | other | MATCH)+
+decorated: '@'+ ('def' | 'class')
 if: 'if' 'elif'* 'else'?
 loop: ('for' | 'while') 'else'?
 try: 'try' ('except'+ 'else'? 'finally'? | 'finally')
-other: 'def' | 'class' | 'with' | CASE
+other: 'def' | 'class' | 'with'
 s: S
 """
 

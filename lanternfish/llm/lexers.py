@@ -316,25 +316,26 @@ _HEADS = frozenset("if elif else for while try except finally def class with".sp
 def python_tokens(text: str) -> tuple[set, list]:
     """Python 3.13; pairs of statements of one block are given as pairs of classes beginning with H:."""
     t, depth, start, head, colon = Trace(), 0, True, "", False
-    indents: list[tuple[int, str]] = [(0, "H:^")]
+    indents: list[tuple[int, str, int]] = [(0, "H:^", 0)]
+    owed: list[list[int]] = [[0, 0, 0]]  # of each open bracket: conditionals without else, lambdas without colon, for seen
     opens = False  # the line before ends with a block's colon
-    space, prev_end = 0, -1
+    space, chars, prev_end = 0, 0, -1
     for m in _PY.finditer(text.lstrip("\ufeff") if text[:1] == "\ufeff" else text):
         kind, v = m.lastgroup, m[0]
         if kind in ("ws", "c", "cont"):
             if kind == "ws" and start and depth == 0:
-                space = len(v.expandtabs(8))
+                space, chars = len(v.expandtabs(8)), len(v)
             continue
         if kind == "nl":
             if depth == 0 and not start:
                 compound = head in _HEADS or head in ("match", "case") and t.prev == ":"
                 opens = compound and t.prev == ":"
-                if head in _HEADS and not colon:
+                if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0:
                     t.add("BAD")
                 t.add("NL")
-                start = True
+                start, owed = True, [[0, 0, 0]]
             if depth == 0:
-                space = 0
+                space, chars = 0, 0
             continue
         if start and depth == 0:
             start, colon = False, False
@@ -346,22 +347,31 @@ def python_tokens(text: str) -> tuple[set, list]:
             if head in ("match", "case") and not soft:
                 head = ""
             if opens:
-                if space <= indents[-1][0]:
+                if space <= indents[-1][0] or chars <= indents[-1][2]:
                     t.add("BAD")
-                indents.append((space, "H:^"))
+                indents.append((space, "H:^M" if indents[-1][1] == "H:MATCH" else "H:^", chars))
             else:
                 while len(indents) > 1 and space < indents[-1][0]:
                     t.pairs.add((indents[-1][1], "H:$"))
                     indents.pop()
-                if space != indents[-1][0]:
+                if space != indents[-1][0] or chars != indents[-1][2]:
                     t.add("BAD")
             opens = False
-            label = "H:" + (head if head in _HEADS else {"match": "MATCH", "case": "CASE"}.get(head, "S"))
+            label = "H:" + (head if head in _HEADS else {"match": "MATCH", "case": "CASE"}.get(head, "@" if v == "@" else "S"))
             t.pairs.add((indents[-1][1], label))
-            indents[-1] = (indents[-1][0], label)
+            indents[-1] = (indents[-1][0], label, indents[-1][2])
         if kind == "w":
             if v in _PYKEY:
                 cls = _PYOP.get(v, v)
+                own = owed[-1]
+                if v == "lambda":
+                    own[1] += 1
+                elif v == "for":
+                    own[2] = 1
+                elif v == "else":
+                    own[0] -= 1
+                elif v == "if" and not own[2] and t.prev not in ("NL", "^", "else") and not (head == "case" and depth == 0):
+                    own[0] += 1
             elif v in ("match", "case") and t.prev in ("NL", "^") and head == v:
                 cls = v.upper()
             elif v == "type" and t.prev in ("NL", "^", ";") and re.match(r"type\s+[^\W\d]\w*\s*[=\[]", text[m.start() : m.start() + 80]):
@@ -380,10 +390,16 @@ def python_tokens(text: str) -> tuple[set, list]:
                 cls = "AUG"
             if v in _OPEN:
                 depth += 1
+                owed.append([0, 0, 0])
                 t.nest.append(_OPEN[v])
             elif v in _CLOSE:
                 depth = max(0, depth - 1)
+                last = owed.pop() if len(owed) > 1 else [0, 0, 0]
+                if last[0] > 0 or last[1] > 0:
+                    t.add("BAD")
                 t.nest.append(-_CLOSE[v])
+            elif v == ":" and owed[-1][1] > 0:
+                owed[-1][1] -= 1
             elif v == ":" and depth == 0:
                 colon = True
         else:
@@ -393,12 +409,12 @@ def python_tokens(text: str) -> tuple[set, list]:
     if not start:
         if depth == 0:
             opens = (head in _HEADS or head in ("match", "case")) and t.prev == ":"
-            if head in _HEADS and not colon:
+            if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0:
                 t.add("BAD")
         t.add("NL")
     if opens:
         t.add("BAD")
-    for _, label in indents:
+    for _, label, _ in indents:
         t.pairs.add((label, "H:$"))
     return t.end()
 

@@ -45,7 +45,7 @@ def _shell_pairs() -> set[tuple[str, str]]:
 
 
 def _python_pairs() -> set[tuple[str, str]]:
-    block = grammar.permitted(grammar.PYTHON_BLOCK, "block") | {("^", "$")}
+    block = grammar.permitted(grammar.PYTHON_BLOCK, "block") | {("^", "$"), ("^M", "CASE"), ("CASE", "CASE"), ("CASE", "$")}
     return grammar.permitted(grammar.PYTHON, "file") | {("H:" + a, "H:" + b) for a, b in block}
 
 
