@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import credentials, syntax, truncation
+from lanternfish.llm import credentials, mixing, packing, syntax, truncation
+from lanternfish.llm.tokens import token_counts
 from lanternfish.sources.storage import cut, table
 
 
@@ -51,6 +52,36 @@ def p5_wrong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.wrong_pairs(spark, rows).groupBy("lang", "pair").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = token_counts(table(spark, sf_dir, "documents"))
+    return packing.pack(cut(items, "sizes"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which part of which document lies in which container, for each capacity."""
+    return _packed(spark, sf_dir)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused space of each capacity."""
+    return packing.fill_report(cut(_packed(spark, sf_dir), "packed"), table(spark, sf_dir, "pack_sizes"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = cut(token_counts(table(spark, sf_dir, "documents"), keep=("doc_id", "source")), "sizes")
+    return mixing.mix(records, table(spark, sf_dir, "source_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen records with their number of copies."""
+    return _mixed(spark, sf_dir)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.share_report(cut(_mixed(spark, sf_dir), "mixed"), table(spark, sf_dir, "source_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that were cut off before their end."""
     return truncation.truncated(truncation.truncation_scores(table(spark, sf_dir, "documents")))
@@ -61,7 +92,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, sf_dir, "documents"), p8_found(spark, sf_dir))
 
 
-_NAMES = ["p2_found", "p2_redacted", "p2_by_context", "p5_found", "p5_rates", "p5_wrong_pairs", "p8_found", "p8_rates"]
+_NAMES = ["p2_found", "p2_redacted", "p2_by_context", "p5_found", "p5_rates", "p5_wrong_pairs", "p6_packs", "p6_fill", "p7_mix", "p7_shares", "p8_found", "p8_rates"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
