@@ -18,6 +18,8 @@ _CLOSE = {")": ROUND, "]": SQUARE, "}": CURLY}
 class Trace:
     """Collects pairs and bracket events while a lexer runs."""
 
+    __slots__ = ("pairs", "nest", "prev")
+
     def __init__(self) -> None:
         self.pairs: set[tuple[str, str]] = set()
         self.nest: list[int] = []
@@ -32,7 +34,7 @@ class Trace:
         return self.pairs, self.nest
 
 
-_JSON = re.compile(r'[ \t\r\n]+|(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<lit>(?:true|false|null)(?!\w))|(?P<p>[\[\]{},:])|(?P<bad>.)', re.S)
+_JSON = re.compile(r'[ \t\r\n]*(?:(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<lit>(?:true|false|null)(?!\w))|(?P<p>[\[\]{},:])|(?P<bad>[^ \t\r\n]))', re.S)
 
 
 def json_tokens(text: str) -> tuple[set, list]:
@@ -40,12 +42,10 @@ def json_tokens(text: str) -> tuple[set, list]:
     t, stack = Trace(), []
     for m in _JSON.finditer(text):
         kind = m.lastgroup
-        if kind is None:
-            continue
         if kind == "str":
             t.add("KEY" if stack and stack[-1] == CURLY and t.prev in ("{", ",O") else "STR")
         elif kind == "p":
-            c = m[0]
+            c = m[kind]
             if c in _OPEN:
                 stack.append(_OPEN[c])
                 t.nest.append(_OPEN[c])
@@ -302,10 +302,10 @@ def yaml_tokens(text: str) -> tuple[set, list]:
 
 
 _PY = re.compile(
-    r"""(?P<ws>[ \t\f]+)|(?P<nl>\r\n|\n|\r)|(?P<c>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\n|\r))"""
+    r"""[ \t\f]*(?:(?P<w>[^\W\d]\w*)(?!["'])|(?P<nl>\r\n|\n|\r)|(?P<c>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\n|\r))"""
     r"""|(?P<str>[rRbBuUfFtT]{0,2}(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'))"""
-    r"""|(?P<num>0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)|(?P<w>[^\W\d]\w*)"""
-    r"""|(?P<p>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[+\-*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<bad>.)""",
+    r"""|(?P<num>0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)|(?P<word>[^\W\d]\w*)"""
+    r"""|(?P<p>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[+\-*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<bad>\S))""",
     re.S | re.X,
 )
 _PYKEY = frozenset("if else for in is not lambda await async yield from import as return raise assert del global nonlocal pass break continue def class with while try except finally elif and or".split())
@@ -319,13 +319,17 @@ def python_tokens(text: str) -> tuple[set, list]:
     indents: list[tuple[int, str, int]] = [(0, "H:^", 0)]
     owed: list[list[int]] = [[0, 0, 0]]  # of each open bracket: conditionals without else, lambdas without colon, for seen
     opens = False  # the line before ends with a block's colon
-    space, chars, prev_end = 0, 0, -1
+    space, chars, prev_end, fresh = 0, 0, -1, True
     for m in _PY.finditer(text.lstrip("\ufeff") if text[:1] == "\ufeff" else text):
-        kind, v = m.lastgroup, m[0]
-        if kind in ("ws", "c", "cont"):
-            if kind == "ws" and start and depth == 0:
-                space, chars = len(v.expandtabs(8)), len(v)
+        kind = m.lastgroup
+        v = m[kind]
+        if fresh:  # the first token of a line
+            lead = m.start(kind) - m.start()
+            space, chars, fresh = (len(m[0][:lead].expandtabs(8)) if lead else 0), lead, False
+        if kind == "c" or kind == "cont":
             continue
+        if kind == "word":
+            kind = "w"
         if kind == "nl":
             if depth == 0 and not start:
                 compound = head in _HEADS or head in ("match", "case") and t.prev == ":"
@@ -334,8 +338,7 @@ def python_tokens(text: str) -> tuple[set, list]:
                     t.add("BAD")
                 t.add("NL")
                 start, owed = True, [[0, 0, 0]]
-            if depth == 0:
-                space, chars = 0, 0
+            fresh = depth == 0
             continue
         if start and depth == 0:
             start, colon = False, False
@@ -343,7 +346,7 @@ def python_tokens(text: str) -> tuple[set, list]:
             if head == "async":
                 rest = text[m.end() : m.end() + 12].split()
                 head = rest[0] if rest else ""
-            soft = head in ("match", "case") and re.match(r"(?:match|case)\b(?!\s*[=.,)\]:(]|\s*$|\s+(?:in|is|and|or|not|if)\b)[^\r\n]*:\s*(?:#.*)?$|(?:match|case)\s*[\[({][^\r\n]*:\s*(?:#.*)?$", text[m.start() : m.start() + 400].split("\n")[0].rstrip("\r"))
+            soft = head in ("match", "case") and re.match(r"(?:match|case)\b(?!\s*[=.,)\]:(]|\s*$|\s+(?:in|is|and|or|not|if)\b)[^\r\n]*:\s*(?:#.*)?$|(?:match|case)\s*[\[({][^\r\n]*:\s*(?:#.*)?$", text[m.start(m.lastgroup) : m.start(m.lastgroup) + 400].split("\n")[0].rstrip("\r"))
             if head in ("match", "case") and not soft:
                 head = ""
             if opens:
@@ -374,11 +377,11 @@ def python_tokens(text: str) -> tuple[set, list]:
                     own[0] += 1
             elif v in ("match", "case") and t.prev in ("NL", "^") and head == v:
                 cls = v.upper()
-            elif v == "type" and t.prev in ("NL", "^", ";") and re.match(r"type\s+[^\W\d]\w*\s*[=\[]", text[m.start() : m.start() + 80]):
+            elif v == "type" and t.prev in ("NL", "^", ";") and re.match(r"type\s+[^\W\d]\w*\s*[=\[]", text[m.start(m.lastgroup) : m.start(m.lastgroup) + 80]):
                 cls = "TYPE"
             else:
                 cls = "NAME"
-                if m.start() == prev_end and t.prev == "NUM":
+                if t.prev == "NUM" and m.start(m.lastgroup) == prev_end:
                     cls = "BAD"
         elif kind == "str":
             cls = "STR"
@@ -404,7 +407,8 @@ def python_tokens(text: str) -> tuple[set, list]:
                 colon = True
         else:
             cls = "BAD"
-        t.add(cls)
+        t.pairs.add((t.prev, cls))
+        t.prev = cls
         prev_end = m.end()
     if not start:
         if depth == 0:
@@ -684,9 +688,9 @@ def shell_tokens(text: str) -> tuple[set, list]:
 
 
 _JS = re.compile(
-    r"""(?P<ws>[ \t\f\v\xa0\ufeff]+)|(?P<nl>[\r\n\u2028\u2029]+)|(?P<c>//[^\r\n]*|/\*.*?\*/)|(?P<w>\#?[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)"""
-    r"""|(?P<num>0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)|(?P<str>"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*')"""
-    r"""|(?P<p>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.`])|(?P<bad>.)""",
+    r"""[ \t\f\v\xa0\ufeff]*(?:(?P<w>\#?[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)"""
+    r"""|(?P<nl>[\r\n\u2028\u2029]+)|(?P<c>//[^\r\n]*|/\*.*?\*/)|(?P<num>0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)|(?P<str>"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*')"""
+    r"""|(?P<p>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.`])|(?P<bad>\S))""",
     re.S | re.X,
 )
 _JSKEY = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch throw try typeof var void while let async await yield static of".split())
@@ -703,7 +707,7 @@ def js_tokens(text: str) -> tuple[set, list]:
     t, i, n = Trace(), 0, len(text)
     stack: list[list] = [["B", "", 0]]  # kind of block, word that opened it, open conditionals
     newline, closed = False, ""  # closed: what the last closed round bracket belonged to
-    before = ["^", "^"]
+    before, match = ["^", "^"], _JS.match
 
     def add(cls: str) -> None:
         nonlocal newline
@@ -718,15 +722,18 @@ def js_tokens(text: str) -> tuple[set, list]:
     if text.startswith("#!"):
         i = (text.find("\n") + n + 1) % (n + 1)
     while i < n:
-        m = _JS.match(text, i)
-        kind, v = m.lastgroup, m[0]
-        if kind in ("ws", "c", "nl"):
+        m = match(text, i)
+        if m is None:
+            break
+        kind = m.lastgroup
+        v = m[kind]
+        if kind == "nl" or kind == "c":
             newline |= kind == "nl" or "\n" in v
             i = m.end()
             continue
         top = stack[-1]
         prev = t.prev
-        if kind == "p" and v[0] == "/" and prev not in _VALUE_END and (r := _JSREGEX.match(text, i)):
+        if kind == "p" and v[0] == "/" and prev not in _VALUE_END and (r := _JSREGEX.match(text, m.start(kind))):
             add("REGEX")
             i = r.end()
             continue
