@@ -42,6 +42,7 @@ SHELL_PROHIBITED = _table(
         ("remove-root", "rm ", _S + r"rm\s+-[a-z]*r[a-z]*\s+/($|\s|\*)", "fs", "delete"),
         ("world-writable", "chmod", _S + r"chmod\s+(-R\s+)?0?777" + _E, "fs", "write"),
         ("raw-device", "/dev/", r"of=/dev/[a-z]+", "fs", "write"),
+        ("fetch-to-file", "curl", _S + r"curl\s.*\s-o\s", "network", "connect"),
         ("reverse-shell", "/dev/tcp/", r"/dev/tcp/", "network", "connect"),
     ],
     "match",
@@ -51,7 +52,7 @@ SHELL_WRITE = _table("sh-write", "restricted", [("mkdir", "mkdir", _S + "mkdir"
 SHELL_READ = _table("sh-read", "restricted", [("cat", "cat", _S + r"(cat|head|tail|less)\s+[\"A-Za-z$/.]", "fs", "read"), ("jq", "jq", _S + r"jq\s", "fs", "read"), ("grep", "grep", _S + r"grep\s", "fs", "read"), ("test", "[", r"\[\s+-[defr]\s", "fs", "read")], "file")
 SHELL_EXEC = _table("sh-exec", "restricted", [(w, w, _S + w + _E, "subprocess", "exec") for w in ("git", "jq", "tar", "podlet", "openvault", "nodetool", "sedge", "makefold", "tarpack", "gzip", "vaultget", "sleep", "command")], "rule")
 SHELL_SECRET = _table("sh-secret", "restricted", [("name", "$", r"\$\{?[A-Z_]*(PASSWORD|SECRET|TOKEN|API_KEY)", "secret", "access")], "file")
-JS_PROHIBITED = _table("js-deny", "prohibited", [("eval", "eval", _S + r"eval\s*\(", "subprocess", "exec"), ("function", "new Function", r"new\s+Function\s*\(", "subprocess", "exec"), ("write", "document.write", r"document\.write\s*\(", "browser", "inject")], "match")
+JS_PROHIBITED = _table("js-deny", "prohibited", [("eval", "eval", _S + r"eval\s*\(", "subprocess", "exec"), ("function", "new Function", r"new\s+Function\s*\(", "subprocess", "exec"), ("write", "document.write", r"document\.write\s*\(", "browser", "inject"), ("write-file", "fs.", _S + r"fs\.writeFileSync\s*\(", "fs", "write")], "match")
 JS_NETWORK = _table("js-net", "restricted", [("fetch", "fetch", _S + r"fetch\s*\(", "network", "connect"), ("axios", "axios", _S + r"axios\.", "network", "connect"), ("request", "http", r"https?\.(get|request)\s*\(", "network", "connect"), ("socket", "WebSocket", r"new\s+WebSocket", "network", "connect")], "file")
 JS_FS = _table("js-fs", "restricted", [("write", "fs.", _S + r"fs\.(writeFile|appendFile|mkdir|createWriteStream)", "fs", "write"), ("read", "fs.", _S + r"fs\.(readFile|readdir|createReadStream|exists)", "fs", "read")], "rule")
 JS_EXEC = _table("js-exec", "restricted", [("child", "child_process", r"child_process", "subprocess", "exec"), ("spawn", "spawn", _S + r"(spawn|execFile|execSync)\s*\(", "subprocess", "exec")], "file")
@@ -98,7 +99,7 @@ COMBINATIONS = [
 ]
 DENIED_BINARIES = ["podlet", "openvault", "nc", "nmap"]
 ALLOWED_BINARIES = ["git", "jq", "gzip", "tar"]
-DENIED_PATHS = ["/etc/*", "~/.ssh/*", "*.pem", "/root/*", "*/secrets/*", "*token*.json", "docs/*.json"]
+DENIED_PATHS = ["/etc/*", "~/.ssh/*", "*.pem", "*/secrets/*", "*vault*", "pod?et", "[gm]*zip", "[!a-r]*"]
 #: (rule, action, capability, globs, priority)
 POLICY = [
     ("no-exec-of-denied", "deny", "subprocess:exec", ["podlet", "openvault"], 50),

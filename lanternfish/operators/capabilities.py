@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions.rules import frame, glob_regex
 
-CAP = F.concat_ws(":", "category", "action")
+
+def cap() -> Column:
+    """``category:action``."""
+    return F.concat_ws(":", "category", "action")
 
 
 def latest_findings(findings: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def fired_combinations(spark: SparkSession, rows: DataFrame, used: DataFrame, al
     division by counting) and whose condition holds; denied binaries count as not allowed there."""
     parts = [(r, s, c, n, k, len(set(caps))) for r, s, caps, n, k in combinations for c in sorted(set(caps))]
     need = F.broadcast(frame(spark, parts, "rule_id string, severity string, cap string, needs boolean, risk int, n_caps int"))
-    have = rows.select("package_id", CAP.alias("cap")).distinct()
+    have = rows.select("package_id", cap().alias("cap")).distinct()
     met = have.join(need, "cap").groupBy("package_id", "rule_id", "severity", "needs", "risk", "n_caps").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("cap")).alias("matched"))
     strange = used.where(~F.col("name").isin(*allowed)).select("package_id").distinct().withColumn("strange", F.lit(True))
     full = met.where("n = n_caps").join(strange, "package_id", "left")
@@ -94,15 +97,15 @@ def path_violations(spark: SparkSession, rows: DataFrame, globs: list[str]) -> D
 def policy_decisions(rows: DataFrame, policy: list[tuple], default: str = "deny") -> DataFrame:
     """``package_id, cap, value, decision, rule_id``: of the deny rules that match, the one of highest priority (then
     first in order), else of the allow rules, else the default; flag rules decide nothing."""
-    values = rows.select("package_id", CAP.alias("cap"), F.explode("scope").alias("value")).distinct()
-    ranked = sorted((("deny", "allow").index(a), -p, i, r, a, cap, globs) for i, (r, a, cap, globs, p) in enumerate(policy) if a in ("deny", "allow"))
+    values = rows.select("package_id", cap().alias("cap"), F.explode("scope").alias("value")).distinct()
+    ranked = sorted((("deny", "allow").index(a), -p, i, r, a, of, globs) for i, (r, a, of, globs, p) in enumerate(policy) if a in ("deny", "allow"))
     chosen = []
-    for _, _, _, rule, action, cap, globs in ranked:
+    for _, _, _, rule, action, of, globs in ranked:
         any_glob = None
         for g in globs:
             m = F.col("value").rlike(glob_regex(g))
             any_glob = m if any_glob is None else any_glob | m
-        chosen.append(F.when((F.col("cap") == cap) & any_glob, F.struct(F.lit(action).alias("decision"), F.lit(rule).alias("rule_id"))))
+        chosen.append(F.when((F.col("cap") == of) & any_glob, F.struct(F.lit(action).alias("decision"), F.lit(rule).alias("rule_id"))))
     rest = F.struct(F.lit(default).alias("decision"), F.lit("default").alias("rule_id"))
     return values.withColumn("d", F.coalesce(*chosen, rest)).select("package_id", "cap", "value", "d.*")
 

@@ -31,20 +31,20 @@ def snapshot_links(snapshots: DataFrame, group: str, number: str) -> DataFrame:
     Rows with a null group or number are left out. Neighbours are found inside blocks of numbers first and
     between blocks by their edges, so no window holds more than BLOCK rows of a group or one row per block.
     """
-    seen = snapshots.select(group, number).where(F.col(group).isNotNull() & F.col(number).isNotNull()).distinct()
-    seen = seen.withColumn("block", F.floor(F.col(number) / BLOCK))
-    over = Window.partitionBy(group).orderBy("block")
+    seen = snapshots.select(F.col(group).alias("g"), F.col(number).alias("s")).where("g IS NOT NULL AND s IS NOT NULL").distinct()
+    seen = seen.withColumn("block", F.floor(F.col("s") / BLOCK))
+    over = Window.partitionBy("g").orderBy("block")
     edges = (
-        seen.groupBy(group, "block")
-        .agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
-        .select(group, "block", F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"))
+        seen.groupBy("g", "block")
+        .agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+        .select("g", "block", F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"))
     )
-    inside = Window.partitionBy(group, "block").orderBy(number)
+    inside = Window.partitionBy("g", "block").orderBy("s")
     return (
-        seen.withColumn("p", F.lag(number).over(inside))
-        .withColumn("n", F.lead(number).over(inside))
-        .join(edges, [group, "block"])
-        .select(group, number, F.coalesce("p", "before").alias("prev_no"), F.coalesce("n", "after").alias("next_no"))
+        seen.withColumn("p", F.lag("s").over(inside))
+        .withColumn("n", F.lead("s").over(inside))
+        .join(edges, ["g", "block"])
+        .select(F.col("g").alias(group), F.col("s").alias(number), F.coalesce("p", "before").alias("prev_no"), F.coalesce("n", "after").alias("next_no"))
     )
 
 
@@ -80,22 +80,23 @@ def snapshot_changes(
     further columns are ignored. change_kind is added, removed or changed; ``number`` is the later snapshot's.
     """
     rows = rows.where(F.col(group).isNotNull() & F.col(number).isNotNull())
-    links = cut(snapshot_links(rows.select(group, number).unionByName(snapshots.select(group, number)), group, number), "links")
-    large = F.broadcast(large_groups(rows, group, number))
+    names = [F.col(group).alias("g"), F.col(number).alias("s")]
+    links = cut(snapshot_links(rows.select(*names).unionByName(snapshots.select(*names)), "g", "s"), "links")
+    large = F.broadcast(large_groups(rows, group, number).select(F.col(group).alias("__g"), F.col("bits").alias("__bits")))
 
     binary = F.coalesce(F.unhex("text"), F.encode("text", "UTF-8"))  # half the bytes of a hexadecimal digest
     zero = F.lit(0).cast("bigint")
 
-    def base(of: DataFrame, *also: str) -> DataFrame:
-        named = of.select(group, number, *also, key.alias("key"), value.alias("text"), F.col(at).alias("at"), F.col(idx).alias("idx"))
-        return named.where(F.col("key").isNotNull()).select(group, number, *also, "key", binary.alias("value"), "at", "idx")
+    def base(of: DataFrame, *also: Column) -> DataFrame:
+        named = of.select(*names, *also, key.alias("key"), value.alias("text"), F.col(at).alias("at"), F.col(idx).alias("idx"))
+        return named.where(F.col("key").isNotNull()).select("g", "s", *(["bits"] if also else []), "key", binary.alias("value"), "at", "idx")
 
     # Large snapshots may repeat one key any number of times: combine before the shuffle. Others are bounded.
-    node = [group, number, "bits", "node"]
-    small = base(rows.join(large.select(group), group, "left_anti")).withColumn("bits", F.lit(0)).withColumn("node", zero)
+    node = ["g", "s", "bits", "node"]
+    same = F.col(group) == F.col("__g")
+    small = base(rows.join(large, same, "left_anti")).withColumn("bits", F.lit(0)).withColumn("node", zero)
     split = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(xxhash64(key), 64 - bits)")).otherwise(zero)
-    sized = rows.join(large, group).withColumn("bits", F.coalesce("bits", F.lit(0)))
-    big = _latest(base(sized, "bits").withColumn("node", split), [*node, "key"])
+    big = _latest(base(rows.join(large, same), F.coalesce("__bits", F.lit(0)).alias("bits")).withColumn("node", split), [*node, "key"])
     rest = ["key", "at", "idx", "value"]
     placed = small.select(*node, *rest).unionByName(big.select(*node, *rest)).repartition(*node)
     # One shuffle brings a node's rows together; the two steps below work within it.
@@ -111,22 +112,22 @@ def snapshot_changes(
     )
     # A node takes part as the later side of its own pair and as the earlier side of the next one; the xor over
     # both sides is zero where they are equal, and a side without rows counts as zero.
-    pairs = F.explode(F.array_compact(F.array(F.when(F.col("prev_no").isNotNull(), F.col(number)), F.col("next_no"))))
-    sided = nodes.join(links, [group, number]).select(group, pairs.alias("pair"), "bits", "node", "whole", *digests)
-    compared = sided.groupBy(group, "pair", "bits", "node").agg(*[F.bit_xor(c).alias(c) for c in ["whole", *digests]])
+    pairs = F.explode(F.array_compact(F.array(F.when(F.col("prev_no").isNotNull(), F.col("s")), F.col("next_no"))))
+    sided = nodes.join(links, ["g", "s"]).select("g", pairs.alias("pair"), "bits", "node", "whole", *digests)
+    compared = sided.groupBy("g", "pair", "bits", "node").agg(*[F.bit_xor(c).alias(c) for c in ["whole", *digests]])
     mask = F.lit(0)
     for i, d in enumerate(digests):
         mask = mask.bitwiseOR(F.when(F.col(d) != 0, F.lit(1 << i)).otherwise(F.lit(0)))
     # Top down: equal nodes end here, of the others only the sub-ranges in the mask are opened.
-    opened = compared.where("whole <> 0").select(group, "pair", "bits", "node", mask.alias("mask"))
-    both = F.explode(F.array(F.struct(F.col("pair").alias(number), F.lit(1).alias("later")), F.struct(F.col("prev_no").alias(number), F.lit(0).alias("later"))))
+    opened = compared.where("whole <> 0").select("g", "pair", "bits", "node", mask.alias("mask"))
+    both = F.explode(F.array(F.struct(F.col("pair").alias("s"), F.lit(1).alias("later")), F.struct(F.col("prev_no").alias("s"), F.lit(0).alias("later"))))
     todo = (
-        opened.join(links.select(group, F.col(number).alias("pair"), "prev_no"), [group, "pair"])
-        .select(group, both.alias("s"), "bits", "node", "pair", "mask")
-        .select(group, f"s.{number}", "s.later", "bits", "node", "pair", "mask")
+        opened.join(links.select("g", F.col("s").alias("pair"), "prev_no"), ["g", "pair"])
+        .select("g", both.alias("e"), "bits", "node", "pair", "mask")
+        .select("g", "e.s", "e.later", "bits", "node", "pair", "mask")
     )
     touched = held.join(todo, node).where("shiftright(mask, bucket) & 1 = 1")
-    sides = touched.groupBy(group, "pair", "key").agg(
+    sides = touched.groupBy("g", "pair", "key").agg(
         F.max("later").alias("in_new"),
         F.min("later").alias("in_old"),
         F.bit_xor(F.xxhash64("value")).alias("differs"),
@@ -137,5 +138,5 @@ def snapshot_changes(
         .when(F.col("in_new") == 0, "removed")
         .when((F.col("known") == 2) & (F.col("differs") != 0), "changed")
     )
-    return sides.select(group, F.col("pair").alias(number), "key", kind.alias("change_kind")).where("change_kind IS NOT NULL")
+    return sides.select(F.col("g").alias(group), F.col("pair").alias(number), "key", kind.alias("change_kind")).where("change_kind IS NOT NULL")
 

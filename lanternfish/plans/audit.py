@@ -244,7 +244,7 @@ def claimed_and_used(spark: SparkSession, d: str) -> DataFrame:
     """Capabilities that a package's documents name against those its findings show."""
     docs = table(spark, d, "documents").where("package_id IS NOT NULL")
     claimed = docs.select("package_id", F.explode(F.regexp_extract_all("text", F.lit(CLAIM), F.lit(1))).alias("cap"))
-    used = _caps(spark, d).select("package_id", C.CAP.alias("cap"))
+    used = _caps(spark, d).select("package_id", C.cap().alias("cap"))
     return C.set_difference(claimed, used, ["package_id", "cap"])
 
 

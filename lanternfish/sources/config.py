@@ -1,7 +1,8 @@
 """Settings files as flat entries: key path, key, value and its type.
 
 JSON, YAML (where its parser is installed) and TOML, by suffix without regard to case. Scalars directly in a list are no
-entries; objects in lists are. Files that don't parse, null and empty texts give none; equal files give equal entries.
+entries; objects in lists are. Line ends at the end of a value (of a block text, say) are dropped. Files that don't parse, null and empty texts give
+none; equal files give equal entries.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def flatten(tree: object) -> list[tuple[str, str, str | None, str]]:
                 todo.append((path, x))
             elif isinstance(v, dict):
                 kind = "null" if x is None else "bool" if isinstance(x, bool) else "int" if isinstance(x, int) else "str"
-                out.append((path, str(k), None if x is None else str(x).lower() if kind == "bool" else str(x), kind))
+                out.append((path, str(k), None if x is None else str(x).lower() if kind == "bool" else str(x).rstrip("\r\n"), kind))
     return out
 
 
