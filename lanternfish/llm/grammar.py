@@ -183,7 +183,7 @@ item: named | '*' expr
 yield: 'yield' ('from' expr | exprs)?
 named: expr | NAME ':=' expr
 expr: or ('if' or 'else' expr)? | lambda
-lambda: 'lambda' lparams? ':' expr
+lambda: 'lambda' lparams? 'L:' expr
 lparams: lparam (',' lparam)* ','?
 lparam: NAME ('=' expr)? | '*' NAME? | '**' NAME | '/'
 or: unary (binary unary)*
@@ -210,7 +210,7 @@ s: S
 """
 
 SHELL = """
-script: NL? (list NL?)?
+script: NL? (list (NL | '&' NL?)?)?
 list: andor ((NL | '&' NL?) andor)*
 andor: pipeline (('&&' | '||') NL? pipeline)*
 pipeline: '!'? command ('|' NL? command)*

@@ -334,7 +334,7 @@ def python_tokens(text: str) -> tuple[set, list]:
             if depth == 0 and not start:
                 compound = head in _HEADS or head in ("match", "case") and t.prev == ":"
                 opens = compound and t.prev == ":"
-                if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0:
+                if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0 or t.prev == ":" and not opens:
                     t.add("BAD")
                 t.add("NL")
                 start, owed = True, [[0, 0, 0]]
@@ -403,6 +403,7 @@ def python_tokens(text: str) -> tuple[set, list]:
                 t.nest.append(-_CLOSE[v])
             elif v == ":" and owed[-1][1] > 0:
                 owed[-1][1] -= 1
+                cls = "L:"
             elif v == ":" and depth == 0:
                 colon = True
         else:
@@ -413,7 +414,7 @@ def python_tokens(text: str) -> tuple[set, list]:
     if not start:
         if depth == 0:
             opens = (head in _HEADS or head in ("match", "case")) and t.prev == ":"
-            if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0:
+            if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0 or t.prev == ":" and not opens:
                 t.add("BAD")
         t.add("NL")
     if opens:

@@ -170,16 +170,22 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(i, s, 0, n, *describe(t)) for i, s, t, n in zip(ids, sources, texts, limits)])
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for i, s, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-            seed = zlib.crc32(f"{i}".encode())
-            for k, x in enumerate(cut_points(t, seed, 2)):
-                rows.append((i, s, 1, (5 if (seed >> k) & 1 else 0), *describe(x)))
-            if x := whole_prefix(t, seed):
-                rows.append((i, s, 0, 5 if seed & 4 else 0, *describe(x)))
-        yield _batch(rows)
+def _cutter(times: int):
+    """Makes 2 * times cuts and up to times whole prefixes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, s, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                seed = zlib.crc32(f"{i}".encode())
+                for k, x in enumerate(cut_points(t, seed, 2 * times)):
+                    rows.append((i, s, 1, (5 if (seed >> k % 16) & 1 else 0), *describe(x)))
+                for k in range(times):
+                    if x := whole_prefix(t, seed + k):
+                        rows.append((i, s, 0, 5 if (seed + k) & 4 else 0, *describe(x)))
+            yield _batch(rows)
+
+    return run
 
 
 def line_end_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +272,7 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     share = min(1.0, sample_rows / 4 / n)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))
     picked = written(docs.where(draw), "picked")
-    cuts = written(_indexed(picked.mapInArrow(_cuts, _FEATURED), one, two), "cuts")
+    cuts = written(_indexed(picked.mapInArrow(_cutter(max(1, min(4, int(sample_rows / 4 / n)))), _FEATURED), one, two), "cuts")
     plain = whole.join(picked.select("doc_id"), "doc_id", "left_semi")
     scores = None
     for _ in range(2):
