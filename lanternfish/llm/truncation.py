@@ -109,6 +109,7 @@ def describe(text: str) -> tuple[list[int], str, str]:
         f"c={cls}", f"cc={kind},{cls},{done}", f"m={marks}", f"mk={marks},{done},{kind}", f"k={kind},{prev_kind}", f"done={done}",
         f"t={tok[:24]}", f"t2={tok2[:24]} {tok[:24]}", f"kt={kind},{tok[:24]}", f"sh={kind},{shape}", f"e3={t[-3:].lower()}", f"since={kind},{done},{min(since, 8)}",
         f"w={kind},{min(len(words), 10)}", f"p={' '.join(words[:2]).lower()[:24]},{min(len(words), 12)},{done}", f"len={_bucket(len(t))},{kind}", f"tl={kind},{min(len(tok), 12)}", f"mt={marks},{tok[:24]}",
+        f"fl={' '.join(words[:2]).lower()[:24]}|{tok[:24]}|{min(len(words), 12)}",
         f"open={line.count('(') > line.count(')')},{line.count('`') % 2},{kind}", f"q={line.count(chr(34)) % 2},{kind}", f"fenced={fenced and kind != 'close'},{cls}",
     ]
     if len(flat) <= 48:
@@ -286,7 +287,7 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     return scores
 
 
-def truncated(scores: DataFrame, threshold: float = 0.6) -> DataFrame:
+def truncated(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id`` of the texts that were cut off."""
     return scores.where(F.col("score") >= threshold).select("doc_id").distinct()
 
