@@ -79,6 +79,22 @@ SCANS: dict[str, list[list[LineRule]]] = {
 }
 PROHIBITED: dict[str, list[LineRule]] = {".sh": SHELL_PROHIBITED, ".js": JS_PROHIBITED}
 
+#: Lines of Dockerfiles.
+DOCKER = _table(
+    "docker",
+    "restricted",
+    [
+        ("user-root", "USER", r"^\s*USER\s+(root|0)(:|\s|$)", "system", "privilege"),
+        ("add-url", "ADD", r"^\s*ADD\s+(--[a-z]+=\S+\s+)*https?://", "network", "connect"),
+        ("admin-port", "EXPOSE", r"^\s*EXPOSE\s.*(^|\s)(22|23|2375|3306|5432|6379|27017)(/|\s|$)", "network", "listen"),
+        ("latest", "FROM", r"^\s*FROM\s+\S+:latest(\s|$)", "system", "supply"),
+        ("secret-env", "=", r"^\s*(ENV|ARG)\s+[A-Z_]*(PASSWORD|SECRET|TOKEN|API_KEY)[A-Z_]*=\S", "secret", "access"),
+        ("host-mount", "VOLUME", r"^\s*VOLUME\s.*(/etc|/root|/var/run/docker\.sock|/proc)", "fs", "read"),
+        ("privileged", "--privileged", r"--privileged", "system", "privilege"),
+    ],
+    "rule",
+)
+
 #: Persuasion in prose, in order; a line counts for one rule, a rule once in a document.
 PERSUASION = [
     LineRule("urge-hand", "prose", 0, "by hand", r"(run|runs|merge|pack|sign|edit)[a-z]* .* by hand", "restricted", "social", "instruct"),

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from lanternfish.sources.storage import cut
 
 ZERO = "0" * 64
-#: Leaves of a group are numbered within blocks of their order first, so that no window holds a whole group.
-BLOCKS = 64
 
 
 def text_hash(text: Column) -> Column:
@@ -27,9 +25,17 @@ def _pair(a: Column, b: Column) -> Column:
     return F.sha2(F.concat(a, b), 256)
 
 
-def numbered(rows: DataFrame, groups: list[str], *order: Column) -> DataFrame:
-    """Adds ``idx`` by the order of whole path parts within a group."""
-    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1).cast("bigint"))
+def numbered(rows: DataFrame, groups: list[str], order: Column) -> DataFrame:
+    """Adds ``idx``, the place in the order within a group. Rows are cut into ranges of (group, order) first and numbered
+    within each, so that one large group is spread over many tasks; ranges add the sizes of those before them."""
+    ranged = rows.withColumn("__order", order).repartitionByRange(*groups, "__order").withColumn("__part", F.spark_partition_id())
+    ranged = cut(ranged, "ranged")
+    sizes = ranged.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*groups, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*groups, "__part").orderBy("__order")
+    at = (F.col("__start") + F.row_number().over(inside) - 1).cast("bigint")
+    return ranged.join(starts, [*groups, "__part"]).withColumn("idx", at).drop("__order", "__part", "__start")
 
 
 def merkle_levels(leaves: DataFrame, groups: list[str]) -> DataFrame:

@@ -135,3 +135,34 @@ def shadowing_modules(files: DataFrame, modules: list[str], sensitive: list[str]
     name = F.when((F.size(parts) == 1) & F.col("path").endswith(".py"), F.expr("substring(path, 1, length(path) - 3)")).when((F.size(parts) == 2) & (parts[1] == "__init__.py"), parts[0])
     hits = files.select("package_id", "path", name.alias("module")).where(F.col("module").isin(*modules))
     return hits.groupBy("package_id", "module").agg(F.min("path").alias("path")).withColumn("severity", F.when(F.col("module").isin(*sensitive), "prohibited").otherwise("restricted"))
+
+
+def dockerfile_findings(files: DataFrame, rules: list[LineRule], *keys: str) -> DataFrame:
+    """``keys, line, rule_id, severity`` of Dockerfiles: every match of the rules, and line 0 where no line sets a user.
+
+    files: ``keys, text``, chosen by :func:`routes`. Files of null or empty text lack a user as well.
+    """
+    rows = lines_of(files, *keys)
+    found = every_match(rows, rules).select(*keys, "line", "rule_id", "severity")
+    named = rows.where(F.col("text").rlike(r"^\s*USER\s")).select(*keys).distinct()
+    bare = files.select(*keys).distinct().join(named, list(keys), "left_anti")
+    return found.unionByName(bare.select(*keys, F.lit(0).alias("line"), F.lit("docker-no-user").alias("rule_id"), F.lit("restricted").alias("severity")))
+
+
+def document_mentions(docs: DataFrame, key: str, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """``key, kind, value``: what each pattern's first group finds in a text, each once (paths, commands, names)."""
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    every = F.concat(*[named(k, p) for k, p in patterns.items()])
+    return docs.where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(every)).alias("m")).select(key, "m.*")
+
+
+def documentation_score(checks: DataFrame, key: str) -> DataFrame:
+    """``key, score, adjustment`` from ``key, verdict`` rows: 20 less for each danger, 10 for each warning, at least 0; the
+    adjustment is 20, 12 or 5 below 30, 50 or 70. Verdicts that are null or others cost nothing."""
+    n = checks.groupBy(key).agg(F.count_if(F.col("verdict") == "danger").alias("d"), F.count_if(F.col("verdict") == "warning").alias("w"))
+    score = F.greatest(F.lit(0), 100 - 20 * F.col("d") - 10 * F.col("w")).cast("int")
+    out = n.select(key, score.alias("score"))
+    return out.withColumn("adjustment", F.when(F.col("score") < 30, 20).when(F.col("score") < 50, 12).when(F.col("score") < 70, 5).otherwise(0))

@@ -248,6 +248,21 @@ def claimed_and_used(spark: SparkSession, d: str) -> DataFrame:
     return C.set_difference(claimed, used, ["package_id", "cap"])
 
 
+MENTIONS = {"path": "`([a-z_/0-9]+[.](?:py|js|sh|json|yaml|toml|md|txt))`", "rule": "rule ([a-z]+-[a-z]+-[0-9]+)", "version": "([0-9]+[.][0-9]+[.][0-9]+)"}
+
+
+def document_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Paths, rules and versions that documents name."""
+    return L.document_mentions(table(spark, d, "documents"), "doc_id", MENTIONS)
+
+
+def documentation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of each package's documents: capabilities used but not named warn, severe ones are a danger."""
+    sides = claimed_and_used(spark, d).where("side = 'right'")
+    severe = F.split("cap", ":")[0].isin("subprocess", "secret")
+    return L.documentation_score(sides.select("package_id", F.when(severe, "danger").otherwise("warning").alias("verdict")), "package_id")
+
+
 def ghost_files(spark: SparkSession, d: str) -> DataFrame:
     """Files that findings name and that exist neither by path nor by name in the package."""
     have = table(spark, d, "source_files").select("package_id", clean_path(F.col("path")).alias("path"))
@@ -395,6 +410,6 @@ NAMES = [
     "line_counts", "file_routes", "files_kept", "main_file", "shell_prohibited", "shell_capabilities", "js_prohibited", "js_capabilities", "python_patterns", "pattern_totals",
     "config_detections", "config_parsed", "hidden_characters", "foreign_letters", "persuasion", "shadowing_modules", "deduplicated_findings", "capability_set", "capability_map",
     "visible_map", "binary_classes", "combinations", "path_violations", "policy_decisions", "static_risk", "plain_risk", "unresolved_scopes", "quality_score", "unexpected_categories",
-    "claimed_and_used", "ghost_files", "keyword_classes", "top_findings", "top_files", "advice", "weaknesses", "gates", "badges", "first_paths", "merkle_roots", "merkle_proofs",
+    "claimed_and_used", "document_mentions", "documentation_scores", "ghost_files", "keyword_classes", "top_findings", "top_files", "advice", "weaknesses", "gates", "badges", "first_paths", "merkle_roots", "merkle_proofs",
     "merkle_verified", "lock_verified", "escaping_scopes", "python_calls", "python_imports", "python_flows", "python_complexity", "package_reports", "sessions", "severity_cube",
 ]

@@ -169,6 +169,10 @@ SELECT package_id, greatest(0, 100 - trunc(ratio * 40)::int - least(30, risk //
 SELECT DISTINCT p.package_id, u.category FROM packages p JOIN u USING (skill_category) JOIN caps c ON c.package_id = p.package_id AND c.category = u.category""",
     "claimed_and_used": f"""WITH {_C}, a AS (SELECT DISTINCT package_id, unnest(regexp_extract_all(text, '([a-z]+:[a-z]+)', 1)) AS cap FROM documents WHERE package_id IS NOT NULL), b AS (SELECT DISTINCT package_id, category || ':' || act AS cap FROM caps)
 SELECT coalesce(a.package_id, b.package_id) AS package_id, coalesce(a.cap, b.cap) AS cap, CASE WHEN a.cap IS NULL THEN 'right' WHEN b.cap IS NULL THEN 'left' ELSE 'both' END AS side FROM a FULL JOIN b ON a.package_id = b.package_id AND a.cap = b.cap""",
+    "document_mentions": " UNION ".join(f"SELECT DISTINCT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {_text(p)}, 1)) AS \"value\" FROM documents" for k, p in Q.MENTIONS.items()),
+    "documentation_scores": f"""WITH {_C}, a AS (SELECT DISTINCT package_id, unnest(regexp_extract_all(text, '([a-z]+:[a-z]+)', 1)) AS cap FROM documents WHERE package_id IS NOT NULL), b AS (SELECT DISTINCT package_id, category || ':' || act AS cap FROM caps),
+v AS (SELECT package_id, sum(CASE WHEN string_split(cap, ':')[1] IN ('subprocess', 'secret') THEN 20 ELSE 10 END) AS cost FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.package_id = b.package_id AND a.cap = b.cap) GROUP BY 1),
+s AS (SELECT package_id, greatest(0, 100 - cost)::int AS score FROM v) SELECT package_id, score, CASE WHEN score < 30 THEN 20 WHEN score < 50 THEN 12 WHEN score < 70 THEN 5 ELSE 0 END AS adjustment FROM s""",
     "ghost_files": f"""WITH {_F}, have AS (SELECT package_id, {_CLEAN.format('path')} AS p FROM source_files), nm AS (SELECT DISTINCT package_id, {_CLEAN.format('file')} AS p FROM fnd WHERE package_id IS NOT NULL AND file IS NOT NULL)
 SELECT package_id, p AS path FROM nm WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.package_id = nm.package_id AND (h.p = nm.p OR string_split(h.p, '/')[-1] = string_split(nm.p, '/')[-1]))""",
     "keyword_classes": _keyword_sql(),

@@ -65,6 +65,25 @@ def test_hidden_characters(spark):
     assert [(r.id, r.n_hidden, r.codes, r.first_line) for r in L.hidden_characters(df, "id").collect()] == [(2, 3, ["200B", "202E"], 2)]
 
 
+def test_dockerfiles(spark):
+    text = "FROM a:latest\nADD https://h/x /x\nENV API_TOKEN=abc\nEXPOSE 80 22\nRUN x\n"
+    df = spark.createDataFrame([(1, text), (2, "FROM a:1\nUSER root\n"), (3, None)], "id long, text string")
+    got = sorted((r.id, r.line, r.rule_id) for r in L.dockerfile_findings(df, R.DOCKER, "id").collect())
+    assert got == [(1, 0, "docker-no-user"), (1, 1, "docker-latest"), (1, 2, "docker-add-url"), (1, 3, "docker-secret-env"), (1, 4, "docker-admin-port"), (2, 2, "docker-user-root"), (3, 0, "docker-no-user")]
+
+
+def test_routes(spark):
+    df = L.with_suffix(spark.createDataFrame([("a/b.py",), ("a.SH",), ("x/Dockerfile",), ("dockerfile.dev",), (".hidden",), ("c.ts",), ("noext",)], "path string"))
+    assert [r.r for r in df.select(L.routes(F.col("path"), F.col("suffix")).alias("r")).collect()] == [["python"], [], ["docker"], ["docker"], [], ["javascript"], []]
+
+
+def test_numbering_spreads_one_group(spark):
+    rows = [("g", f"{i:04d}/x") for i in range(500)] + [("h", "a"), ("h", "a-b/x"), ("h", "a/x")]
+    df = spark.createDataFrame(rows, "g string, path string").repartition(7)
+    got = {(r.g, r.path): r.idx for r in I.numbered(df, ["g"], F.split("path", "/")).collect()}
+    assert all(got["g", f"{i:04d}/x"] == i for i in range(500)) and [got["h", p] for p in ("a", "a/x", "a-b/x")] == [0, 1, 2]
+
+
 def test_globs():
     import fnmatch
     import re
