@@ -187,6 +187,8 @@ t AS (SELECT *, CASE WHEN risk <= 25 THEN 'green' WHEN risk <= 50 THEN 'yellow'
 SELECT package_id, risk, tier, 'badge/' || replace(package_id, '-', '--') || '-' || risk || '-' || tier AS link FROM t""",
     "first_paths": "SELECT package_id, min_by(path, string_split(path, '/')) AS first_path, max_by(path, string_split(path, '/')) AS last_path FROM source_files GROUP BY 1",
     "merkle_roots": f"WITH RECURSIVE {_TREE} SELECT package_id, count(*) FILTER (WHERE l = 0) AS n_leaves, max_by(h, l) AS root FROM lv GROUP BY 1",
+    "merkle_proofs": f"""WITH RECURSIVE {_TREE}, x AS (SELECT DISTINCT * FROM lv) SELECT a.package_id, a.i AS leaf, n.l AS level, coalesce(s.h, n.h) AS sibling, CASE WHEN n.i % 2 = 0 THEN 'right' ELSE 'left' END AS side
+FROM x a JOIN x n ON n.package_id = a.package_id AND n.i = (a.i >> n.l) AND n.n > 1 LEFT JOIN x s ON s.package_id = n.package_id AND s.l = n.l AND s.i = xor(n.i, 1) WHERE a.l = 0""",
     "lock_verified": f"""WITH lv AS (SELECT package_id, snapshot_no, {_CLEAN.format('path')} AS p, regexp_replace(lower(trim(hash, ' ' || chr(9) || chr(10) || chr(13))), '^sha256:\\s*', '') AS h FROM merkle_leaves WHERE path IS NOT NULL AND hash IS NOT NULL),
 locked AS (SELECT DISTINCT package_id, p, h FROM lv WHERE (package_id, snapshot_no) IN (SELECT package_id, max(snapshot_no) FROM lv GROUP BY 1)),
 cur AS (SELECT package_id, {_CLEAN.format('path')} AS p, {_HASH} AS now FROM source_files WHERE text IS NOT NULL)
