@@ -42,7 +42,7 @@ def normal_source(source: Column) -> Column:
 
 def token_form(token: str) -> str:
     """Lower case, digits as 0, without outer punctuation."""
-    return re.sub(r"\d+", "0", token.lower()).strip(".,;:!?()[]\"'`*…")
+    return re.sub(r"[0-9]+", "0", token.lower()).strip(".,;:!?()[]\"'`*…")
 
 
 def _bare(text: str) -> tuple[str, str]:
@@ -192,17 +192,13 @@ def _cutter(times: int):
 def line_end_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Over all texts, how often a token (and a pair of tokens) occurs and ends a line that isn't the last one."""
     lines = docs.select(F.split(F.rtrim("text"), "\\r\\n|\\n|\\r").alias("ls")).select(F.posexplode("ls").alias("at", "line"), F.size("ls").alias("n"))
-    words = lines.select(F.filter(F.split("line", r"\s+"), lambda w: w != "").alias("ws"), (F.col("at") == F.col("n") - 1).alias("final"))
-    form = lambda w: F.trim(F.regexp_replace(F.lower(w), r"\d+", "0"), F.lit(".,;:!?()[]\"'`*…"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("ws")),
-        lambda i: F.struct(
-            form(F.get("ws", i - 1)).alias("tok"),
-            F.when(i > 1, form(F.get("ws", i - 2))).otherwise("").alias("tok2"),
-            (i == F.size("ws")).alias("ends"),
-        ),
-    )
-    flat = words.where(F.size("ws") > 0).select("final", F.explode(pairs).alias("p")).select("final", "p.*")
+    plain = F.trim(F.regexp_replace(F.lower("line"), r"[0-9]+", "0"))
+    words = lines.select(F.split(plain, r"\s+").alias("ws"), (F.col("at") == F.col("n") - 1).alias("final")).where("ws[0] <> ''")
+    form = lambda w: F.trim(w, F.lit(".,;:!?()[]\"'`*…"))
+    forms = words.select(F.transform("ws", form).alias("ws"), "final")
+    before = F.concat(F.array(F.lit("")), F.slice("ws", 1, F.size("ws") - 1))
+    flat = forms.select("final", F.size("ws").alias("n"), F.posexplode(F.arrays_zip(F.col("ws").alias("tok"), before.alias("tok2"))).alias("i", "p"))
+    flat = flat.select("final", (F.col("i") == F.col("n") - 1).alias("ends"), "p.tok", "p.tok2")
     flat = flat.where(~(F.col("ends") & F.col("final")))
     two = flat.groupBy("tok", "tok2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ends").cast("int")).alias("e"))
     two = written(two, "pairs")
