@@ -103,17 +103,17 @@ def source_budget(records: DataFrame, targets: DataFrame, total_tokens: int | No
     """
     t = targets.where("target_share > 0").groupBy(normal_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     have = records.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("tokens").alias("available"))
-    both = t.join(have, "source").where("max_repeats >= 1 AND available > 0")
-    whole = both.agg(F.sum("target_share").alias("present"))
-    shared = both.join(F.broadcast(whole)).withColumn("share", F.col("target_share") / F.col("present")).drop("present")
+    both = cut(t.join(have, "source").where("max_repeats >= 1 AND available > 0"), "sources")  # at most a row per target
+    present = both.agg(F.sum("target_share")).first()[0]
+    shared = both.withColumn("share", F.col("target_share") / F.lit(present))
     if total_tokens is None:
         limit = F.col("available") * F.col("max_repeats") / F.col("share")
         upto = Window.orderBy("limit", "source")  # over the list of targets, a few rows
         ranked = shared.withColumn("limit", limit).withColumn("short", F.sum("share").over(upto))
-        most = ranked.where(F.col("short") > short_share).agg(F.min("limit").alias("total"))
+        total = ranked.where(F.col("short") > short_share).agg(F.min("limit")).first()[0]
     else:
-        most = shared.agg(F.lit(float(total_tokens)).alias("total"))
-    out = shared.join(F.broadcast(most)).withColumn("due", F.least(F.col("share") * F.col("total"), F.col("available") * F.col("max_repeats"))).drop("total")
+        total = float(total_tokens)
+    out = shared.withColumn("due", F.least(F.col("share") * F.lit(total), F.col("available") * F.col("max_repeats")))
     return out.withColumn("rate", F.least(F.col("due") / F.col("available"), F.col("max_repeats").cast("double")))
 
 
@@ -166,7 +166,7 @@ def mix(records: DataFrame, targets: DataFrame, *, total_tokens: int | None = No
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target_share, actual_share, n_records, n_tokens, most_copies`` of every target."""
     got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.col("tokens") * F.col("copies")).alias("n_tokens"), F.max("copies").alias("most_copies"))
-    all_ = F.broadcast(got.agg(F.sum("n_tokens").alias("all_tokens")))
+    all_tokens = got.agg(F.sum("n_tokens")).first()[0]
     t = targets.select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats")
-    out = t.join(got, "source", "left").join(all_).withColumn("actual_share", F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)))
+    out = t.join(got, "source", "left").withColumn("actual_share", F.coalesce(F.col("n_tokens") / F.lit(all_tokens), F.lit(0.0)))
     return out.select("source", "target_share", "max_repeats", "actual_share", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "most_copies")
