@@ -19,9 +19,10 @@ def cap() -> Column:
     return F.concat_ws(":", "category", "action")
 
 
-def latest_findings(findings: DataFrame) -> DataFrame:
-    """One row per finding_id: the one received last; deliveries of equal time are equal rows."""
-    rest = [c for c in findings.columns if c != "finding_id"]
+def latest_findings(findings: DataFrame, *keep: str) -> DataFrame:
+    """One row per finding_id: the one received last; deliveries of equal time are equal rows. keep names the columns to
+    go on with (all without it): what isn't named is neither read nor shuffled."""
+    rest = [c for c in findings.columns if c != "finding_id" and (not keep or c in keep)]
     best = F.max_by(F.struct(*rest), F.struct("received_at", "ord")).alias("b")
     return findings.where(F.col("finding_id").isNotNull()).groupBy("finding_id").agg(best).select("finding_id", "b.*")
 

@@ -40,12 +40,12 @@ def _lines(spark: SparkSession, d: str, *suffixes: str) -> DataFrame:
     return L.lines_of(files, "file_id")
 
 
-def _findings(spark: SparkSession, d: str) -> DataFrame:
-    return C.latest_findings(table(spark, d, "findings"))
+def _findings(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return C.latest_findings(table(spark, d, "findings"), *keep)
 
 
 def _caps(spark: SparkSession, d: str) -> DataFrame:
-    return C.capability_rows(_findings(spark, d))
+    return C.capability_rows(_findings(spark, d, "package_id", "file", "line", "ord", "capability"))
 
 
 def line_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ def shadowing_modules(spark: SparkSession, d: str) -> DataFrame:
 
 def deduplicated_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings of the settings scanner on places without another finding."""
-    rows = _findings(spark, d)
+    rows = _findings(spark, d, "package_id", "file", "line", "pattern")
     added = rows.where(F.startswith("pattern", F.lit("config:")))
     native = rows.where(~F.startswith("pattern", F.lit("config:")))
     return L.without_native(added, native, "package_id", "file", "line").groupBy("package_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +186,7 @@ def capability_map(spark: SparkSession, d: str) -> DataFrame:
 def visible_map(spark: SparkSession, d: str) -> DataFrame:
     """The capability map without quiet categories that no restricted finding carries."""
     caps = cut(_caps(spark, d), "caps")
-    rest = _findings(spark, d).where("severity = 'restricted' AND capability IS NOT NULL").select("package_id", "capability.category")
+    rest = _findings(spark, d, "package_id", "severity", "capability").where("severity = 'restricted' AND capability IS NOT NULL").select("package_id", "capability.category")
     return C.low_risk_hidden(C.capability_map(caps), rest, QUIET).withColumn("scopes", F.concat_ws("|", "scopes"))
 
 
@@ -232,7 +232,7 @@ def unresolved_scopes(spark: SparkSession, d: str) -> DataFrame:
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
     """Score of each package from unresolved scopes, risk and prohibited findings."""
     caps = cut(_caps(spark, d), "caps")
-    return C.quality_score(C.plain_risk(caps).withColumnRenamed("plain_risk", "static_risk"), C.unresolved(caps), _findings(spark, d))
+    return C.quality_score(C.plain_risk(caps).withColumnRenamed("plain_risk", "static_risk"), C.unresolved(caps), _findings(spark, d, "package_id", "severity"))
 
 
 def unexpected_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -266,7 +266,7 @@ def documentation_scores(spark: SparkSession, d: str) -> DataFrame:
 def ghost_files(spark: SparkSession, d: str) -> DataFrame:
     """Files that findings name and that exist neither by path nor by name in the package."""
     have = table(spark, d, "source_files").select("package_id", clean_path(F.col("path")).alias("path"))
-    named = _findings(spark, d).where("package_id IS NOT NULL AND file IS NOT NULL").select("package_id", clean_path(F.col("file")).alias("path")).distinct()
+    named = _findings(spark, d, "package_id", "file").where("package_id IS NOT NULL AND file IS NOT NULL").select("package_id", clean_path(F.col("file")).alias("path")).distinct()
     base = F.element_at(F.split("path", "/"), -1)
     by_name = have.select("package_id", base.alias("name")).distinct()
     return named.join(have.distinct(), ["package_id", "path"], "left_anti").withColumn("name", base).join(by_name, ["package_id", "name"], "left_anti").select("package_id", "path")
@@ -279,14 +279,14 @@ def keyword_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def top_findings(spark: SparkSession, d: str) -> DataFrame:
     """The twelve findings of each package to mend first."""
-    rows = _findings(spark, d).where("package_id IS NOT NULL")
+    rows = _findings(spark, d, "package_id", "severity", "file", "line", "col", "pattern").where("package_id IS NOT NULL")
     order = [F.when(F.col("severity") == "prohibited", 0).otherwise(1), F.col("file"), F.col("line"), F.col("col"), F.col("pattern"), F.col("finding_id")]
     return C.top_per_group(rows, "package_id", 12, *order).select("package_id", "rank", "finding_id", "severity", "file", "line")
 
 
 def top_files(spark: SparkSession, d: str) -> DataFrame:
     """The five files of each package with most findings."""
-    n = _findings(spark, d).where("package_id IS NOT NULL").groupBy("package_id", "file").agg(F.count(F.lit(1)).alias("n"))
+    n = _findings(spark, d, "package_id", "file").where("package_id IS NOT NULL").groupBy("package_id", "file").agg(F.count(F.lit(1)).alias("n"))
     return C.top_per_group(n, "package_id", 5, F.desc("n"), F.col("file"))
 
 
@@ -295,14 +295,14 @@ def advice(spark: SparkSession, d: str) -> DataFrame:
     low = [F.lower("pattern"), F.lower("message")]
     first = [F.when(F.contains(low[0], F.lit(t)) | F.contains(low[1], F.lit(t)), F.lit(a)) for t, a in ADVICE]
     rest = [F.when(F.col("capability.category") == c, F.lit(a)) for c, a in FALLBACK]
-    return _findings(spark, d).withColumn("advice", F.coalesce(*first, *rest)).groupBy("pattern", "advice").agg(F.count(F.lit(1)).alias("n"))
+    return _findings(spark, d, "pattern", "message", "capability").withColumn("advice", F.coalesce(*first, *rest)).groupBy("pattern", "advice").agg(F.count(F.lit(1)).alias("n"))
 
 
 def weaknesses(spark: SparkSession, d: str) -> DataFrame:
     """Weakness numbers by pattern, by what stands before its colon, or by capability; counted."""
     by_pattern = F.broadcast(R.frame(spark, WEAKNESS, "p string, cwe string"))
     by_cap = F.broadcast(R.frame(spark, WEAKNESS_DEFAULT, "category string, action string, cwe3 string"))
-    rows = _findings(spark, d).select("pattern", "capability.category", "capability.action")
+    rows = _findings(spark, d, "pattern", "capability").select("pattern", "capability.category", "capability.action")
     j = rows.join(by_pattern.select(F.col("p").alias("pattern"), F.col("cwe").alias("cwe1")), "pattern", "left").withColumn("p", F.split("pattern", ":")[0])
     j = j.join(by_pattern, "p", "left").join(by_cap, ["category", "action"], "left")
     return j.select("pattern", F.coalesce("cwe1", "cwe", "cwe3").alias("cwe")).groupBy("pattern", "cwe").agg(F.count(F.lit(1)).alias("n"))
@@ -310,7 +310,7 @@ def weaknesses(spark: SparkSession, d: str) -> DataFrame:
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
     """Whether a package may be reported on and locked: no prohibited finding; no critical combination."""
-    f = _findings(spark, d).where("package_id IS NOT NULL")
+    f = _findings(spark, d, "package_id", "severity").where("package_id IS NOT NULL")
     hard = f.groupBy("package_id").agg(F.bool_or(F.col("severity") == "prohibited").alias("hard_fail"))
     caps = _caps(spark, d)
     fired = C.fired_combinations(spark, caps, C.binaries(caps), R.ALLOWED_BINARIES, R.COMBINATIONS).where("severity = 'critical'").select("package_id").distinct()
@@ -390,7 +390,7 @@ def python_complexity(spark: SparkSession, d: str) -> DataFrame:
 
 def package_reports(spark: SparkSession, d: str) -> DataFrame:
     """One canonical JSON text per package, keys in order."""
-    f = _findings(spark, d).where("package_id IS NOT NULL")
+    f = _findings(spark, d, "package_id", "severity", "file").where("package_id IS NOT NULL")
     n = f.groupBy("package_id").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "prohibited").alias("prohibited"), F.count_distinct("file").alias("files"))
     return n.select("package_id", F.to_json(F.struct("files", "findings", "package_id", "prohibited")).alias("report"))
 
@@ -402,7 +402,7 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def severity_cube(spark: SparkSession, d: str) -> DataFrame:
     """Findings by severity and confidence with all totals."""
-    f = _findings(spark, d).select(F.coalesce("severity", F.lit("none")).alias("severity"), F.coalesce("confidence", F.lit("none")).alias("confidence"))
+    f = _findings(spark, d, "severity", "confidence").select(F.coalesce("severity", F.lit("none")).alias("severity"), F.coalesce("confidence", F.lit("none")).alias("confidence"))
     return f.cube("severity", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
