@@ -12,7 +12,7 @@ from lanternfish.operators import integrity as I
 from lanternfish.operators import lines as L
 from lanternfish.operators import pyast as A
 from lanternfish.sources.config import config_entries
-from lanternfish.sources.storage import cut, table
+from lanternfish.sources.storage import cut, spread, table
 from lanternfish.streaming.sessions import session_envelopes
 
 IGNORED = ["tests", "*.toml", "node_modules", ".git"]
@@ -33,6 +33,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return L.with_suffix(table(spark, d, "source_files"))
 
 
+def _python(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the syntax trees of all Python files."""
+    return A.syntax_rows(spread(_files(spark, d).where("suffix = '.py'").select("file_id", "text")))
+
+
 def _lines(spark: SparkSession, d: str, *suffixes: str) -> DataFrame:
     files = _files(spark, d)
     if suffixes:
@@ -274,7 +279,7 @@ def ghost_files(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_classes(spark: SparkSession, d: str) -> DataFrame:
     """Class of each document by capped keyword counts."""
-    return C.keyword_classes(spark, table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", R.KEYWORDS)
+    return C.keyword_classes(spark, spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")), "doc_id", R.KEYWORDS)
 
 
 def top_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -369,22 +374,22 @@ def escaping_scopes(spark: SparkSession, d: str) -> DataFrame:
 
 def python_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls of Python files with their capability and scope."""
-    return A.call_capabilities(spark, A.syntax_rows(_files(spark, d).where("suffix = '.py'")))
+    return A.call_capabilities(spark, _python(spark, d))
 
 
 def python_imports(spark: SparkSession, d: str) -> DataFrame:
     """Imports of listed modules."""
-    return A.import_capabilities(spark, A.syntax_rows(_files(spark, d).where("suffix = '.py'")))
+    return A.import_capabilities(spark, _python(spark, d))
 
 
 def python_flows(spark: SparkSession, d: str) -> DataFrame:
     """Input from outside that reaches a command, address or path."""
-    return A.tainted_sinks(spark, A.syntax_rows(_files(spark, d).where("suffix = '.py'")))
+    return A.tainted_sinks(spark, _python(spark, d))
 
 
 def python_complexity(spark: SparkSession, d: str) -> DataFrame:
     """Functions with their cyclomatic complexity."""
-    rows = A.syntax_rows(_files(spark, d).where("suffix = '.py'")).where("kind = 'function'")
+    rows = _python(spark, d).where("kind = 'function'")
     return rows.select("file_id", "line", F.col("name").alias("function"), F.col("number").alias("complexity"))
 
 
