@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm import credentials, mixing, packing, syntax, truncation
 from lanternfish.llm.tokens import token_counts
-from lanternfish.sources.storage import cut, table
+from lanternfish.sources.storage import cut, spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every literal credential in the source files."""
-    found = credentials.credential_candidates(table(spark, sf_dir, "source_files").select("file_id", "text"))
+    found = credentials.credential_candidates(spread(table(spark, sf_dir, "source_files").select("file_id", "text")))
     return credentials.credentials(found).distinct()
 
 
@@ -26,14 +26,14 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by context, alphabet and reason of exclusion."""
-    found = credentials.credential_candidates(table(spark, sf_dir, "source_files").select("file_id", "text"))
+    found = credentials.credential_candidates(spread(table(spark, sf_dir, "source_files").select("file_id", "text")))
     reason = F.coalesce("excluded", F.when(F.col("entropy") < credentials.threshold(), F.lit("low entropy")), F.lit("credential"))
     return found.groupBy("context", "alphabet", reason.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "source_files").select("file_id", "path", "text")
-    return syntax.invalid_files(spark, files, cut(syntax.lexed(files), "lexed"))
+    return syntax.invalid_files(spark, files, cut(syntax.lexed(spread(files)), "lexed"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def p5_wrong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = token_counts(table(spark, sf_dir, "documents"))
+    items = token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return packing.pack(cut(items, "sizes"), table(spark, sf_dir, "pack_sizes"))
 
 
@@ -68,7 +68,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = cut(token_counts(table(spark, sf_dir, "documents"), keep=("doc_id", "source")), "sizes")
+    records = cut(token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), keep=("doc_id", "source")), "sizes")
     return mixing.mix(records, table(spark, sf_dir, "source_targets"))
 
 
@@ -84,7 +84,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that were cut off before their end."""
-    return truncation.truncated(truncation.truncation_scores(table(spark, sf_dir, "documents")))
+    return truncation.truncated(truncation.truncation_scores(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))))
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
