@@ -137,20 +137,33 @@ def field_changes(loaded: DataFrame) -> DataFrame:
 
 
 def _origins(events):
-    """Spans of files in which a renamed path stands for its first name (one producer's renames; schema-sized)."""
+    """Spans of files in which a path stands for another name (one producer's renames and additions; schema-sized).
+
+    A renamed path stands for its first name. A first name that comes back as a new field after it was renamed away
+    is another field: it gets its name with ~2, ~3 and so on.
+    """
     import pandas as pd
 
     events = events.sort_values(["file_seq", "old"])
     live: dict[str, tuple[str, int]] = {}
+    uses: dict[str, int] = {}
     rows = []
     for seq, part in events.groupby("file_seq", sort=True):
         moved = []
-        for e in part.itertuples():
+        for e in part[part["new"] != ""].itertuples():
             origin, since = live.pop(e.old, (e.old, None))
             if since is not None:
                 rows.append((e.old, origin, since, seq - 1))
+            else:
+                uses[e.old] = 1
             moved.append((e.new, origin))
+        for path in part.loc[part["new"] == "", "old"]:
+            if path in uses and path not in live:
+                uses[path] += 1
+                moved.append((path, f"{path}~{uses[path]}"))
         for path, origin in moved:
+            if path in live:
+                rows.append((path, *live[path], seq - 1))
             live[path] = (origin, seq)
     rows += [(p, o, s, 2**31 - 1) for p, (o, s) in live.items()]
     out = pd.DataFrame(rows, columns=["path", "field", "since", "until"])
@@ -160,13 +173,21 @@ def _origins(events):
 
 
 def unified_values(loaded: DataFrame, changes: DataFrame) -> DataFrame:
-    """``record_id, artifact, field, type, value``: every value under the first name of its field."""
-    renames = changes.where("change_kind = 'renamed'").select(*FILE, F.col("field_path").alias("old"), F.col("new_path").alias("new"))
-    spans = renames.groupBy("producer_id", "artifact").applyInPandas(_origins, "producer_id string, artifact string, path string, field string, since int, until int")
+    """``record_id, artifact, field, type, value``: every value under the first name of its field.
+
+    Where a record carries one field more than once (under its old and its new name, say), the value under the
+    present name keeps the field and the others get it with #2, #3 and so on, so none is lost.
+    """
+    named = F.col("change_kind").isin("renamed", "added")
+    events = changes.where(named).select(*FILE, F.col("field_path").alias("old"), F.col("new_path").alias("new"))
+    spans = events.groupBy("producer_id", "artifact").applyInPandas(_origins, "producer_id string, artifact string, path string, field string, since int, until int")
     flat = loaded.select("record_id", *FILE, F.explode("fields").alias("f")).select("record_id", *FILE, "f.*").alias("v")
     on = [F.col(f"v.{c}") == F.col(f"s.{c}") for c in ("producer_id", "artifact", "path")]
     hit = flat.join(spans.alias("s"), [*on, F.col("v.file_seq").between(F.col("s.since"), F.col("s.until"))], "left")
-    return hit.select("v.record_id", "v.artifact", F.coalesce("s.field", "v.path").alias("field"), "v.type", "v.value")
+    rows = hit.select("v.record_id", "v.artifact", F.coalesce("s.field", "v.path").alias("field"), "v.type", "v.value", "v.path", F.col("s.field").isNull().alias("former"))
+    nth = F.row_number().over(Window.partitionBy("record_id", "field").orderBy("former", "path", "type", "value"))
+    rows = rows.withColumn("nth", nth)
+    return rows.select("record_id", "artifact", F.when(F.col("nth") > 1, F.concat("field", F.lit("#"), "nth")).otherwise(F.col("field")).alias("field"), "type", "value")
 
 
 def target_types(values: DataFrame) -> DataFrame:
@@ -203,23 +224,28 @@ def failed_casts(cast: DataFrame) -> DataFrame:
 def consistent_table(loaded: DataFrame, cast: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per record: a typed column for each field (dots become two underscores), and ``failed_fields``.
 
-    Only the list of fields, which is schema and not data, comes to the driver to name the columns.
+    A field whose columns would have different types in different artifacts has a column for each of these artifacts,
+    named artifact, two underscores, field. Only the list of fields, which is schema and not data, comes to the driver
+    to name the columns.
     """
-    fields = sorted((r.field, r.target) for r in targets.groupBy("field").agg(F.min("target").alias("target")).collect())
+    types = {"number": "double", "boolean": "boolean", "array of string": "array<string>", "array of number": "array<double>"}
+    fields: dict[str, dict[str, str]] = {}
+    for r in targets.select("artifact", "field", "target").collect():
+        fields.setdefault(r.field, {})[r.artifact] = types.get(r.target, "string")
     maps = cast.groupBy("record_id").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("cast").isNotNull(), F.struct("field", "cast")))).alias("m"),
         F.array_sort(F.collect_list(F.when(F.col("cast").isNull(), F.col("field")))).alias("failed_fields"),
     )
-    types = {"number": "double", "boolean": "boolean", "array of string": "array<string>", "array of number": "array<double>"}
     used: set[str] = {"record_id", *FILE, "package_id", "received_at", "valid", "failed_fields"}
     columns = []
-    for field, target in fields:
-        name = field.replace(".", "__")
-        while name.lower() in used:
-            name += "_"
-        used.add(name.lower())
-        x = F.col("m")[field]
-        kind_ = types.get(target, "string")
-        columns.append((F.from_json(x, kind_) if kind_.startswith("array") else x.try_cast(kind_)).alias(name))
+    for field, kinds in sorted(fields.items()):
+        one = len(set(kinds.values())) == 1
+        for artifact, kind_ in sorted(kinds.items())[: 1 if one else None]:
+            name = (field if one else f"{artifact}.{field}").replace(".", "__")
+            while name.lower() in used:
+                name += "_"
+            used.add(name.lower())
+            x = F.col("m")[field] if one else F.when(F.col("artifact") == artifact, F.col("m")[field])
+            columns.append((F.from_json(x, kind_) if kind_.startswith("array") else x.try_cast(kind_)).alias(name))
     head = loaded.select("record_id", *FILE, "package_id", "received_at", "valid")
     return head.join(maps, "record_id", "left").select(*head.columns, *columns, "failed_fields")

@@ -130,3 +130,29 @@ def test_consistent_table_and_failed_casts(spark):
     table = {r.record_id: r for r in drift.consistent_table(loaded, cast, targets).collect()}
     assert [table[i].n for i in range(5)] == [1.0, 2.0, 1.0, None, 5.0]
     assert table[3].failed_fields == ["n"] and [r.field for r in drift.failed_casts(cast).collect()] == ["n"]
+
+
+def typed_table(spark, rows):
+    df = spark.createDataFrame([(i, *r[:4], None, r[4], None) for i, r in enumerate(rows)], SCHEMA)
+    loaded = drift.load_fields(df)
+    values = drift.unified_values(loaded, drift.field_changes(loaded))
+    targets = drift.target_types(values)
+    cast = drift.cast_values(values, targets)
+    return {r.record_id: r for r in drift.consistent_table(loaded, cast, targets).collect()}, drift.failed_casts(cast).collect()
+
+
+def test_one_name_with_other_types_in_two_artifacts(spark):
+    rows = [("p", "lock", 1, "k1", '{"n": 1, "l": ["a"], "s": "x"}'), ("p", "report", 1, "k1", '{"n": "one", "l": "b", "s": "y"}')]
+    table, failed = typed_table(spark, rows)
+    assert (table[0].lock__n, table[0].report__n, table[1].lock__n, table[1].report__n) == (1.0, None, None, "one")
+    assert (table[0].lock__l, table[1].report__l, table[0].s, table[1].s) == (["a"], "b", "x", "y")
+    assert failed == [] and table[1].failed_fields == []
+
+
+def test_a_name_used_again_after_its_rename(spark):
+    rows = [("p", "a", 1, "k1", '{"A": "x"}'), ("p", "a", 1, "k2", '{"A": "y"}'), ("p", "a", 2, "k1", '{"B": "x"}'), ("p", "a", 2, "k2", '{"B": "y", "A": "old"}'), ("p", "a", 2, "k3", '{"B": "z"}')]
+    rows += [("p", "a", 3, "k1", '{"B": "x", "A": 7}'), ("p", "a", 3, "k2", '{"A": 8}'), ("p", "a", 3, "k3", '{"B": "z", "A": 9}')]
+    table, failed = typed_table(spark, rows)
+    assert [table[i].A for i in range(8)] == ["x", "y", "x", "y", "z", "x", None, "z"]
+    assert table[3]["A#2"] == "old" and [table[i]["A~2"] for i in (5, 6, 7)] == [7.0, 8.0, 9.0]
+    assert failed == []
