@@ -1,8 +1,9 @@
 """Credentials embedded in source code: where they are, and texts in which they are blanked.
 
-Quoted strings and long tokens of lines that hint at a credential become rows with their context, alphabet and
-Shannon entropy; thresholds on these, adjusted for length, decide, after digests, identifiers, references and
-placeholders are excluded. Positions are 0-based code points of the whole text.
+Quoted strings and long tokens become rows with their context, alphabet and Shannon entropy; thresholds on these,
+adjusted for length, decide, after digests, identifiers, references and placeholders are excluded. Context is a name on
+the value's own line, on the line before it or before the list that holds it, or a public format; long tokens without
+such a context are judged by a stricter threshold. Positions are 0-based code points of the whole text.
 
 Null and empty texts give no rows and are returned unchanged; a credential that stands in a text twice gives two
 rows; equal files give equal rows under their own ids.
@@ -43,7 +44,7 @@ KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*
 #: Lower-case text by which a line may hold a credential; names of keys are looked at more closely by KEYISH.
 HINTS = (
     "pass pwd pw secret token key auth bearer basic login cred contrase kennwort clave cle_ mot_de akia asia "
-    "ghp_ gho_ ghs_ ghu_ ghr_ github_pat glpat- npm_ _live_ _test_ xox aiza sg. eyj vtx- ://"
+    "ghp_ gho_ ghs_ ghu_ ghr_ github_pat glpat- npm_ _live_ _test_ xox aiza sg. eyj vtx- :// sshpass"
 ).split()
 SKIP = {"token": re.compile(r"token_?bucket|token_?iz"), "pass": re.compile(r"pass(?:ed|es|ing)?\b(?![\"'\s]*[:=])"), "pw": re.compile(r"pw(?=[a-z])")}
 NEEDS = {
@@ -52,7 +53,9 @@ NEEDS = {
     "sg.": re.compile(r"(?:^|[^a-z])$"),
     "eyj": re.compile(r"(?:^|[^a-z])$"),
 }
-STRONG = frozenset("password passwd pass pwd pw passphrase passwort kennwort contrasena contraseña clave secret token apikey authtoken pgpassword bearer".split())
+STRONG = frozenset("password passwd pass pwd pw passphrase passcode passwort kennwort contrasena contraseña clave secret token apikey authtoken pgpassword bearer".split())
+#: Names of several credentials; they count before a list only, as tokens and the like are numbers elsewhere.
+SEVERAL = frozenset("passwords passphrases passcodes secrets tokens credentials creds apikeys".split())
 KEYED = frozenset("api access secret signing sign encryption auth private account client service master session app shared hmac webhook jwt deploy admin cle licence license".split())
 #: A name that ends like this is about a credential and doesn't hold one.
 ABOUT = frozenset("name names url uri field fields type types len length path file files prefix count expiry expires ttl policy pattern regex hint prompt header env var ref format id ids label bucket buckets scope scopes limit total rotation age min max provider store reset rules description title hash digest fingerprint checksum sha md5 etag signature commit re".split())
@@ -73,6 +76,21 @@ FALLBACK = re.compile(
 TUPLE = re.compile(r"""["'][\w.+-]+@[\w-]+\.[\w.-]+["']\s*,\s*(?P<q>["'])(?P<v>(?!--)[^"'\n]+)(?P=q)""")
 SPREAD = re.compile(r"""(?P<name>\w+)\s*=\s*\(\s*\r?\n(?P<body>(?:\s*[bru]{0,2}(?:"[^"\n]*"|'[^'\n]*')\s*\r?\n)+)\s*\)""")
 ITEM = re.compile(r"""["']?name["']?\s*[:=]\s*["']?(?P<n>[\w\-]+)["']?\s*(?:#[^\n]*)?[,\n]\s*(?:-\s*)?["']?value["']?\s*[:=]\s*(?=(?P<rest>[^\n]*))""")
+SSHPASS = re.compile(r"""\bsshpass["']?[\s,]+["']?-p["']?[\s,]*(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)""")
+BLOCK_SCALAR = re.compile(r"[|>](?:[+-]?\d?|\d[+-])\s*(?:#.*)?")
+#: What counts while a bracketed list is read: strings, brackets and comments.
+IN_LIST = re.compile(r"""(?P<s>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<o>[\[{(])|(?P<c>[\]})])|(?:#|//)[^\n]*""")
+LIST_NAME = re.compile(r"""["']?(?P<name>[\w\-]+)["']?\s*(?::|=>?)\s*$""")
+LIST_ITEM = re.compile(r"""(?P<dash>\s*-\s+)(?:(?P<q>["'])(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)|(?P<b>[^\s#"'\[{&*!|>][^\s#]*))\s*(?:#.*)?""")
+
+LONG = re.compile(r"(?<![\w+/.~:@%\\?&#-])[A-Za-z0-9+/_-]{20,}={0,2}(?![\w+/~:@%-])")
+_AROUND = " \t\r\"',+\\"
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+CHANGES = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]")
+#: Before an unnamed long token on its line: what says that it is no credential.
+DATA_BEFORE = re.compile(r"data:|base64,|sha\d+[-:=_]|md5[-:=]|ssh-(?:ed25519|rsa|dss)|ecdsa-sha2|integrity|://", re.I)
+#: Words of names of long values that are other data.
+DATA = frozenset("blob fixture icon image img picture logo font data payload body sample cert certificate crt pem public pub integrity nonce uuid guid sri thumbprint snapshot expected golden encoded content".split())
 
 CALL = re.compile(r"[\w.]*(?:b64decode|atob|decode|getenv|environ\.get|env\.get|Buffer\.from|bytes|str|String)\(\s*|process\.env\.\w+\s*(?:\|\||\?\?)\s*")
 MORE = re.compile(r"\s*(?:\+|\.\.|\\\r?\n)?\s*(?=[bruf]{0,2}[\"'`])")
@@ -90,6 +108,7 @@ FILLERS = frozenset(
     "change changeme your insert replace redacted placeholder example dummy todo tbd fixme sample here fill none null undefined "
     "unset empty default keyring wiki paste masked hidden removed omitted required missing prompt fake mock lorem foobar me set na".split()
 )
+EMAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
 HOST = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}(?::\d+)?")
 WORDY = re.compile(r"^(?:from|see|set|ask|use|in|fill|read|get|stored?|kept|via|not|no|your|the|a|an|to)\b[ _-]", re.I)
 #: Shannon entropy in bits a character that random text of each alphabet has; shorter text can't reach it.
@@ -152,6 +171,12 @@ def excluded(v: str, context: str) -> str | None:
         return "placeholder"
     if names_credential(v) and re.fullmatch(r"[A-Za-z_\- .]+", v) and (low == v or v.isupper() or "_" in v or "-" in v):
         return "name"
+    if context == "listed" and not (any(ch.isdigit() for ch in v) and any(ch.isalpha() for ch in v) and len(v) >= 8):
+        return "word"
+    if context == "listed" and EMAIL.fullmatch(v):
+        return "name"
+    if context in ("listed", "unnamed") and (UUID.fullmatch(v) or re.match(r"(?:sha\d+|md5)[-:]", low)):
+        return "digest"
     if context == "prose" and (v.isalpha() and (v.islower() or v.istitle()) or v.endswith((":", "=", "(")) or HOST.fullmatch(v)):
         return "word"
     return None
@@ -180,6 +205,9 @@ def _line_spans(text: str, a: int, b: int, low: str) -> Iterator[tuple[int, int,
     if "-u" in line:
         for m in PAIR.finditer(line):
             yield a + m.start("v"), a + m.end("v"), "pair"
+    if "sshpass" in low:
+        for m in SSHPASS.finditer(line):
+            yield a + m.start("v"), a + m.end("v"), "flag"
     if "--" in line:
         for m in FLAG.finditer(line):
             if names_credential(m["name"]):
@@ -190,13 +218,133 @@ def _line_spans(text: str, a: int, b: int, low: str) -> Iterator[tuple[int, int,
             yield a + m.start("v"), a + m.start("v") + len(v), "prose"
     if "=" in line or ":" in line:
         for m in NAMED.finditer(line):
-            if names_credential(m["name"].rpartition(".")[2] or m["name"]):
+            name = m["name"].rpartition(".")[2] or m["name"]
+            if names_credential(name):
                 yield from _values(text, a, b, m)
+            elif not m["open"] and (words := WORDS.findall(name)) and words[-1].lower() in SEVERAL:
+                yield from _listed(text, a, b, m)
+
+
+def _listed(text: str, a: int, b: int, m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """The literals of a bracketed list, or of the dashes below a name that ends its line."""
+    at = a + m.end()
+    rest = text[at:b].strip()
+    if rest[:1] in ("[", "{", "("):
+        depth, calls = 0, 0
+        found = []
+        for x in IN_LIST.finditer(text, text.index(rest[0], at)):
+            if x["o"]:
+                depth += 1
+                if calls or text[x.start() - 1].isalnum() or text[x.start() - 1] == "_":
+                    calls += 1  # arguments and subscripts aren't items
+            elif x["c"]:
+                depth -= 1
+                calls = max(0, calls - 1)
+                if depth == 0:
+                    yield from found
+                    return
+            elif x["s"] and not calls:
+                s, e = x.start() + 1, x.end() - 1
+                if re.match(r"\s*(?::|=>)", text[x.end() : x.end() + 16]):
+                    continue  # a key
+                key = LIST_NAME.search(text, max(0, x.start() - 80), x.start())
+                words = WORDS.findall(key["name"]) if key else []
+                if not words or words[-1].lower() not in ABOUT:
+                    found.append((s, e, "listed"))
+    elif (not rest or rest[0] == "#") and m[0].rstrip().endswith(":") and not text[a : a + m.start()].strip(" \t\"'-"):
+        indent = len(text[a:b]) - len(text[a:b].lstrip())
+        for s, e in _lines_after(text, b):
+            line = text[s:e]
+            if not line.strip() or line.lstrip().startswith("#"):
+                continue
+            x = LIST_ITEM.fullmatch(line.rstrip())
+            if not line.lstrip().startswith("-") or len(line) - len(line.lstrip()) < indent:
+                return
+            if x and not (x["b"] or "").endswith(":") and not (x["b"] and ": " in line):
+                g = "v" if x["v"] is not None else "b"
+                yield s + x.start(g), s + x.end(g), "listed"
+
+
+def _lines_after(text: str, b: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines after the one that ends at b."""
+    while b < len(text):
+        s = b + (2 if text.startswith("\r\n", b) else 1)
+        e = text.find("\n", s)
+        e = len(text) if e < 0 else e
+        b = e
+        yield s, e - (e > s and text[e - 1] == "\r")
+
+
+def _below(text: str, a: int, b: int, m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """The value of a name that stands below it: a string on the next line, a deeper plain or block scalar."""
+    rest = text[a + m.end() : b].strip()
+    key = m[0].rstrip().endswith(":")
+    if key and text[a : a + m.start()].strip(" \t\"'-"):
+        return  # a statement that ends with a colon
+    indent = len(text[a:b]) - len(text[a:b].lstrip())
+    first = last = None
+    for s, e in _lines_after(text, b):
+        line = text[s:e].rstrip()
+        start = s + len(line) - len(line.lstrip())
+        if rest in ("", "\\") and line.strip():
+            if line.lstrip()[0] in "\"'`" and not (key and re.match(r"\s*([\"']).*?\1\s*:", line)):
+                yield from _joined(text, start)
+            elif key and start - s > indent and re.fullmatch(r"\s*[^\s#\[{&*!|>-][^\s#]*(?<!:)", line) and re.search(r"\d", line) and not re.search(r"[(){}=]", line):
+                yield start, s + len(line), "bare"
+            return
+        if rest not in ("", "\\"):
+            if line.strip() and start - s <= indent:
+                break
+            if line.strip():
+                if " " in line.strip():
+                    return
+                first, last = start if first is None else first, s + len(line)
+        elif not line.strip():
+            return
+    if first is not None:
+        yield first, last, "named"
+
+
+def _unnamed(text: str) -> Iterator[tuple[int, int]]:
+    """Long tokens without a context that look random and aren't said to be other data."""
+    pems = None
+    for m in LONG.finditer(text):
+        v = m[0]
+        if HEX.fullmatch(v) or UUID.fullmatch(v) or sum(ch.isdigit() for ch in v) < 2 or len(CHANGES.findall(v)) < 0.3 * len(v) or not any(ch.isalpha() for ch in v):
+            continue
+        a = text.rfind("\n", 0, m.start()) + 1
+        b = text.find("\n", m.end())
+        line, before = text[a : len(text) if b < 0 else b], text[a : m.start()]
+        if DATA_BEFORE.search(before):
+            continue
+        bare = line.strip(_AROUND)
+        if bare == v.strip(_AROUND):
+            # A token that fills its line: wrapped data if a line beside it is filled as well, else named by the line before.
+            prev = text[text.rfind("\n", 0, max(0, a - 1)) + 1 : max(0, a - 1)]
+            after = text[b + 1 :].split("\n", 1)[0] if b >= 0 else ""
+            if any(LONG.fullmatch(x.strip(_AROUND)) for x in (prev, after)) or "-----" in prev + after:
+                continue
+            before = prev
+        names = [w.lower() for n in re.findall(r"[\w\-]+(?=[\"']?\]?\s*(?::|=|\())", before)[-1:] for w in WORDS.findall(n)]
+        if DATA_BEFORE.search(before) or names and (names[-1] in ABOUT or DATA & set(names)):
+            continue
+        if pems is None:
+            pems = [x.span() for x in PEM.finditer(text)] if "-----BEGIN " in text else []
+        if not any(s < m.end() and m.start() < e for s, e in pems):
+            yield m.span()
 
 
 def _joined(text: str, at: int) -> Iterator[tuple[int, int, str]]:
     """A quoted literal and those it is put together with; parts after the first may be short."""
     context = "named"
+    q3 = text[at : at + 3]
+    if q3 in ('"""', "'''"):
+        end = text.find(q3, at + 3)
+        v = text[at + 3 : end].strip() if end >= 0 else ""
+        if v and not re.search(r"\s", v):
+            s = text.index(v, at + 3)
+            yield s, s + len(v), context
+        return
     while q := QUOTED.match(text, at):
         yield q.start("v"), q.end("v"), context
         if excluded(q["v"], context):
@@ -216,7 +364,12 @@ def _values(text: str, a: int, b: int, m: re.Match) -> Iterator[tuple[int, int,
     rest = text[at:b]
     if m[0].endswith(":") and not m["close"] and not rest.startswith((" ", "\t")):
         return  # name:value within a string is a scope, a tag or a time
-    if not rest or rest[0] in "[{|>&*#(":
+    if rest.strip() in ("", "\\") or BLOCK_SCALAR.fullmatch(rest):
+        yield from _below(text, a, b, m)
+    if not rest.strip() or rest[0] in "[{#(":
+        yield from _listed(text, a, b, m)
+        return
+    if rest[0] in "|>&*\\":
         return
     if inner := CALL.match(rest):
         found = list(QUOTED.finditer(text, at + inner.end(), b))
@@ -265,13 +418,16 @@ def hinted_lines(low: str) -> list[tuple[int, int]]:
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that may be credentials, with their context; overlapping ones are resolved to the narrowest."""
     out: dict[tuple[int, int], str] = {}
+    listed: list[tuple[int, int]] = []
     low = _lower(text)
     blocks = [m.span() for m in KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
     for a, b in hinted_lines(low):
         if any(s <= a and b <= e for s, e in blocks):
             continue
         for s, e, c in _line_spans(text, a, b, low[a:b]):
-            if e > s and (out.get((s, e)) is None or c == "format"):
+            if c == "listed":
+                listed.append((s, e))
+            elif e > s and (out.get((s, e)) is None or c == "format"):
                 out[s, e] = c
     if "value" in low and "name" in low:
         for m in ITEM.finditer(text):
@@ -291,6 +447,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 at += len(text[at : m.end("body")]) - len(text[at : m.end("body")].lstrip())
                 for s, e, c in _joined(text, at):
                     out.setdefault((s, e), c)
+    for s, e in listed:
+        if e > s:
+            out.setdefault((s, e), "listed")
     spans = [(s, e, c) for (s, e), c in out.items() if not any(x < e and s < y for x, y in blocks)]
     spans += [(s, e, "block") for s, e in blocks]
     # A span that holds another one is a wrapper (a URL, a header, a whole document).
@@ -298,6 +457,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for x in sorted(spans, key=lambda x: (x[2] != "format", x[1] - x[0])):
         if not any(x[0] < k[1] and k[0] < x[1] for k in kept):
             kept.append(x)
+    kept += [(s, e, "unnamed") for s, e in _unnamed(text) if not any(s < y and x < e for x, y, _ in spans)]
     return sorted(kept)
 
 
@@ -309,7 +469,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for s, e, c in candidates(text):
                 v = text[s:e]
-                row = (fid, s, e, c, alphabet(v), e - s, entropy(v[:4096]), None if c == "block" else excluded(v, c))
+                row = (fid, s, e, c, alphabet(v), e - s, entropy(v), None if c == "block" else excluded(v, c))
                 for col, x in zip(cols, row):
                     col.append(x)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string()]
@@ -331,7 +491,7 @@ def threshold() -> Column:
         full = F.when(hit, bits) if full is None else full.when(hit, bits)
     reachable = F.least(full, F.log2(F.col("length").cast("double")))
     share = F.when(F.col("context").isin("named", "flag", "pair", "url", "query", "bare", "prose"), 0.4).otherwise(0.6)
-    return reachable * share
+    return reachable * F.when(F.col("context") == "unnamed", 0.85).otherwise(share)
 
 
 def credentials(found: DataFrame) -> DataFrame:

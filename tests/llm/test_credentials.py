@@ -83,3 +83,31 @@ def test_alphabets(v, want):
 def test_empty(spark):
     df, found = spans(spark, [])
     assert found.count() == 0
+
+
+RANDOM = "q7Rk2VxT9mLz4WpB8sNd3HyJ"
+FOUND_ELSEWHERE = [
+    (f'x = "{RANDOM}"', [RANDOM]),
+    (f'API_KEYS = ["{HEX}", "{PASS}"]', [HEX, PASS]),
+    (f'tokens = [\n    "{PASS}",  # it\'s old\n]', [PASS]),
+    (f"tokens:\n  - {PASS}\n  - '{HEX}'\nusers:\n  - kettle7drum\n", [PASS, HEX]),
+    (f"password: |\n  {PASS}\nuser: svc\n", [PASS]),
+    (f"password: >-\n  {PASS}\n", [PASS]),
+    (f"const apiKey =\n  '{PASS}';", [PASS]),
+    (f'password = """{PASS}"""', [PASS]),
+    (f"sshpass -p {PASS} ssh svc@h.example", [PASS]),
+    (f'passcode = "{PASS}"', [PASS]),
+]
+OTHER_DATA = [
+    f'icon = "data:image/png;base64,{RANDOM}"', f'fixture_blob = "{RANDOM}"', f"const integrity = 'sha512-{RANDOM}{RANDOM}=='", f'PUBLIC = "ssh-ed25519 {RANDOM}"', f"u = 'https://h.example/{RANDOM}'",
+    f"-----BEGIN CERTIFICATE-----\n{RANDOM}\n-----END CERTIFICATE-----", 'tokens = ["alpha", "beta"]', "max_tokens: 4096", 'class Token:\n    """A token of the 3rd kind."""\n', "const normalizeCapability5 = async (url) => {", "secret:\n  name: prod-db1\n",
+]
+
+
+def test_context_beyond_the_line(spark):
+    texts = [t for t, _ in FOUND_ELSEWHERE] + OTHER_DATA
+    df, found = spans(spark, texts)
+    got: dict[int, list[str]] = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.file_id, []).append(texts[r.file_id][r.start_pos : r.end_pos])
+    assert got == {i: want for i, (_, want) in enumerate(FOUND_ELSEWHERE)}
