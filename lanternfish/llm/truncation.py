@@ -3,8 +3,10 @@
 Positives are made by cutting intact texts inside a word or sentence; the rest are texts as they stand. Features
 are the closing characters, punctuation, words and line of a text, how often its last words end a line elsewhere
 in the corpus, and how far its length piles up at a limit of its source. Fitting takes a bounded sample
-(``sample_rows``); corpus counts and scores cover every row. A second fit leaves out the texts that the first one
-found to be cut.
+(``sample_rows``); corpus counts and scores cover every row. Every training row has the bucket that its length has in
+its source. The first fit goes without lengths. The second one leaves out the texts that the first one found to be cut;
+half its cuts are made at lengths at which these texts pile up in a source, and rows with and without such a length are
+weighed to be as frequent among cuts and whole texts as the first fit found them.
 
 Null and empty texts are never cut. Equal texts of one source get equal scores. A null source counts as one source
 of its own. A corpus without any text gives no rows.
@@ -123,6 +125,14 @@ def describe(text: str) -> tuple[list[int], str, str]:
     return sorted({RESERVED + zlib.crc32(x.encode()) % (DIM - RESERVED) for x in f}), tok, tok2
 
 
+def _inside(left: str, right: str) -> bool:
+    """Whether the place between two parts of a text lies inside a word or sentence."""
+    kept, rest = left.rstrip(), right.lstrip(" ")
+    if len(left) < 8 or not kept or not rest or rest[0] in "\n\r.!?," or left[-1] in "\n\r" or kept[-1] in "|`":
+        return False
+    return not (SENTENCE_END.search(kept[-4:] + " ") and kept[-1] in ".!?\"')")
+
+
 def cut_points(text: str, seed: int, n: int) -> list[str]:
     """The text cut at up to n places inside a word or sentence, some with signs of omission or damage."""
     rng = np.random.default_rng(seed & 0x7FFFFFFF)
@@ -132,8 +142,8 @@ def cut_points(text: str, seed: int, n: int) -> list[str]:
             break
         at = int(rng.integers(8, len(text) - 1))
         left, right = text[:at], text[at:]
-        kept, rest = left.rstrip(), right.lstrip(" ")
-        if not kept or not rest or rest[0] in "\n\r.!?," or left[-1] in "\n\r" or SENTENCE_END.search(kept[-4:] + " ") and kept[-1] in ".!?\"')" or kept[-1] in "|`":
+        kept = left.rstrip()
+        if not _inside(left, right):
             continue
         u = rng.random()
         out.append(left if u < 0.62 else kept if u < 0.72 else kept + "…" if u < 0.82 else kept + "..." if u < 0.9 else left + "�" if u < 0.94 else left + "%C" if u < 0.97 else kept + " …")
@@ -171,19 +181,35 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(i, s, 0, n, *describe(t)) for i, s, t, n in zip(ids, sources, texts, limits)])
 
 
-def _cutter(times: int):
-    """Makes 2 * times cuts and up to times whole prefixes of each text."""
+def _cutter(times: int, piles: list[tuple[str, int]]):
+    """Makes 2 * times cuts and up to times whole prefixes of each text; limit is their length.
+
+    piles: (source, length) of texts whose length piles up. Every other cut is made at such a length where the text is
+    long enough, and has that source.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, s, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                 seed = zlib.crc32(f"{i}".encode())
+                rng = np.random.default_rng(seed ^ 0x2545F491)
                 for k, x in enumerate(cut_points(t, seed, 2 * times)):
-                    rows.append((i, s, 1, (5 if (seed >> k % 16) & 1 else 0), *describe(x)))
+                    at = None
+                    for _ in range(8 if piles and k % 2 else 0):
+                        at = piles[int(rng.integers(len(piles)))]
+                        if _inside(t[: at[1]], t[at[1] :]):
+                            break
+                        at = None
+                    if at:
+                        u = rng.random()
+                        mark = "" if u < 0.7 else "…" if u < 0.85 else "..."
+                        rows.append((i, at[0], 1, at[1], *describe(t[: at[1] - len(mark)] + mark)))
+                    else:
+                        rows.append((i, s, 1, len(x), *describe(x)))
                 for k in range(times):
                     if x := whole_prefix(t, seed + k):
-                        rows.append((i, s, 0, 5 if (seed + k) & 4 else 0, *describe(x)))
+                        rows.append((i, s, 0, len(x), *describe(x)))
             yield _batch(rows)
 
     return run
@@ -228,15 +254,36 @@ def _indexed(rows: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
     return joined.select("doc_id", "source", "label", F.concat(own, "hashed").alias("features"))
 
 
-def _fit(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression over sets of feature indices."""
+def _with_limits(rows: DataFrame, lim: DataFrame) -> DataFrame:
+    """Made rows, whose limit is their length, with the bucket of that length in their source."""
+    return rows.withColumnRenamed("limit", "n").join(lim, ["source", "n"], "left").withColumn("limit", F.coalesce("limit", F.lit(0)))
+
+
+def _piled() -> Column:
+    return F.arrays_overlap("features", F.array(F.lit(163), F.lit(165)))
+
+
+def _fit(rows: DataFrame, piled: dict[int, float] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression over sets of feature indices.
+
+    piled: what share of the rows of each label is to have a length that piles up; without it lengths are left out.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
 
     dim = DIM
     vector = F.udf(lambda ix: Vectors.sparse(dim, sorted(set(ix)), [1.0] * len(set(ix))), VectorUDT())
-    train = written(rows.select(F.col("label").cast("double").alias("label"), vector("features").alias("features")), "train")
-    model = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False).fit(train)
+    weight = F.lit(1.0)
+    if piled is None:
+        rows = rows.withColumn("features", F.filter("features", lambda x: ~x.between(160, 169)))
+    else:
+        counts = {(r.label, r.piled): r["count"] for r in rows.groupBy("label", _piled().alias("piled")).count().collect()}
+        for (label, at), n in counts.items():
+            if (label, not at) in counts:
+                share = piled[label] if at else 1 - piled[label]
+                weight = F.when((F.col("label") == label) & (_piled() == at), share * (n + counts[label, not at]) / n).otherwise(weight)
+    train = written(rows.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), vector("features").alias("features")), "train")
+    model = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False, weightCol="weight").fit(train)
     return model.coefficients.toArray(), float(model.intercept)
 
 
@@ -248,7 +295,7 @@ def _scored(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         z = np.array([weights[np.unique(x)].sum() for x in ix], dtype=float) + bias
         return pd.Series(1 / (1 + np.exp(-z)))
 
-    return rows.select("doc_id", "source", score("features").alias("score"))
+    return rows.select("doc_id", "source", score("features").alias("score"), _piled().alias("piled"))
 
 
 def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -260,7 +307,7 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", normal_source(F.col("source")).alias("source"), "text")
     one, two = line_end_counts(docs)
     one = written(one, "tokens")
-    lim = limits(docs)
+    lim = written(limits(docs), "limits")
     withlim = docs.withColumn("n", F.length("text")).join(lim, ["source", "n"]).select("doc_id", "source", "text", "limit")
     whole = written(_indexed(withlim.mapInArrow(_plain, _FEATURED), one, two), "ends")
     n = whole.count()
@@ -269,18 +316,21 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     share = min(1.0, sample_rows / 4 / n)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))
     picked = written(docs.where(draw), "picked")
-    cuts = written(_indexed(picked.mapInArrow(_cutter(max(1, min(4, int(sample_rows / 4 / n)))), _FEATURED), one, two), "cuts")
+    times = max(1, min(4, int(sample_rows / 4 / n)))
+
+    def made(piles: list[tuple[str, int]]) -> DataFrame:
+        return written(_indexed(_with_limits(picked.mapInArrow(_cutter(times, piles), _FEATURED), lim), one, two), "cuts")
+
     plain = whole.join(picked.select("doc_id"), "doc_id", "left_semi")
-    scores = None
-    for _ in range(2):
-        if scores is not None:
-            intact = scores.where("score < 0.5").select("doc_id")
-            keep = written(plain.join(intact, "doc_id", "left_semi"), "intact")
-            made = cuts.join(intact, "doc_id", "left_semi")
-        else:
-            keep, made = plain, cuts
-        scores = _scored(whole, _fit(keep.unionByName(made)))
-    return scores
+    first = written(_scored(whole, _fit(plain.unionByName(made([])))), "first")
+    shares = {int(r.hit): r.share for r in first.groupBy((F.col("score") >= 0.5).alias("hit")).agg(F.avg(F.col("piled").cast("double")).alias("share")).collect()}
+    piled = {k: min(0.99, max(0.01, shares.get(k, 0.0))) for k in (0, 1)}
+    # At most a row per picked text: a length is there as often as cut texts have it.
+    on = picked.join(first.where("piled AND score >= 0.5").select("doc_id"), "doc_id", "left_semi")
+    piles = sorted((r.source, r.n) for r in on.select("source", F.length("text").alias("n")).collect())
+    intact = first.where("score < 0.5").select("doc_id")
+    keep = written(plain.join(intact, "doc_id", "left_semi"), "intact")
+    return _scored(whole, _fit(keep.unionByName(made(piles).join(intact, "doc_id", "left_semi")), piled)).drop("piled")
 
 
 def truncated(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

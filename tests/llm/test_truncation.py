@@ -46,3 +46,15 @@ def test_held_out_accuracy(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert T.truncation_scores(df).count() == 0
+
+
+def test_made_rows_have_the_bucket_of_their_length(spark):
+    r = random.Random(5)
+    texts = [document(r) for _ in range(300)]
+    rows = [(i, "feed", t[:80] if i % 10 < 3 else t[:120] if i % 10 == 3 else t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    lim = spark.createDataFrame([("feed", 80, 5), ("feed", 120, 3)], "source string, n int, limit int")
+    made = df.mapInArrow(T._cutter(2, [("feed", 80), ("feed", 120)]), T._FEATURED)
+    got = {(x.label, x.n, x.limit) for x in T._with_limits(made, lim).collect()}
+    assert all(limit == {80: 5, 120: 3}.get(n, 0) for _, n, limit in got)
+    assert {limit for label, _, limit in got if label == 1} == {0, 3, 5} and {label for label, *_ in got} == {0, 1}
