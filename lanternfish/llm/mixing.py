@@ -3,8 +3,9 @@
 Each source is due a number of tokens; every record gets the same expected number of copies, whose whole part is
 given at once and whose fraction is an inclusion probability. The cube method moves these probabilities in the null
 space of the balancing constraints (number of records, number of tokens) until all but a few are 0 or 1. It runs in
-blocks of bounded size; what a block leaves undecided meets in the blocks of the next round, and a last small landing
-takes the choice nearest to the due tokens.
+blocks of bounded size; what a block leaves undecided meets in the blocks of the next round. In the round in which a
+source fits into one block it lands: the choice of the last undecided records that is nearest to the due tokens, then
+exchanges of single records in that block.
 
 Sources are compared without case, outer blanks and with - for _. Records without a token, a source or a target are
 not used; a source with a target and no record supplies nothing, and the others share its part in proportion.
@@ -13,11 +14,9 @@ Repeated texts are records of their own. Equal sizes are balanced by number alon
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm.truncation import normal_source
@@ -25,6 +24,8 @@ from lanternfish.sources.storage import cut
 
 #: Records of a block on average.
 BLOCK = 512
+#: The size of a mix whose total isn't given, as a share of the tokens of all targeted sources.
+TOTAL_SHARE = 0.5
 
 
 def flight(tokens: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -58,23 +59,19 @@ def _move(p: list[float], units: tuple, u: tuple, rng: np.random.Generator) -> N
 
 
 def landing(tokens: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """0 or 1 for a few undecided records so that their tokens come nearest to what is due."""
+    """0 or 1 for the records a flight leaves undecided (two at most) so that their tokens come nearest to what is due."""
     due = float((tokens * chance).sum())
-    order = np.argsort(-tokens, kind="stable")
-    if len(tokens) <= 12:
-        best = min(range(1 << len(tokens)), key=lambda m: abs(sum(int(tokens[i]) for i in range(len(tokens)) if m >> i & 1) - due))
-        return np.array([(best >> i) & 1 for i in range(len(tokens))], dtype=float)
-    out, left = np.zeros(len(tokens)), due
-    for i in order:
-        if tokens[i] <= left + tokens[i] / 2:
-            out[i], left = 1.0, left - tokens[i]
-    return out
-
-
-def improved(tokens: np.ndarray, chosen: np.ndarray, due: float, steps: int = 60) -> np.ndarray:
-    """A choice brought nearer to the due tokens by adding, dropping or exchanging single records."""
+    best = min(range(1 << len(tokens)), key=lambda m: abs(sum(int(tokens[i]) for i in range(len(tokens)) if m >> i & 1) - due))
+    return np.array([(best >> i) & 1 for i in range(len(tokens))], dtype=float)
+
+
+def improved(tokens: np.ndarray, chosen: np.ndarray, due: float) -> np.ndarray:
+    """A choice brought nearer to the due tokens by adding, dropping or exchanging single records, until none helps.
+
+    Every step comes nearer to the due number and choices are finite, so it ends.
+    """
     out = chosen.copy()
-    for _ in range(steps):
+    while True:
         gap = due - float(tokens[out > 0].sum())
         inside, outside = np.flatnonzero(out > 0), np.flatnonzero(out == 0)
         best, move = abs(gap), None
@@ -89,43 +86,50 @@ def improved(tokens: np.ndarray, chosen: np.ndarray, due: float, steps: int = 60
                 i, j = np.unravel_index(int(left.argmin()), left.shape)
                 best, move = float(left.min()), [outside[i], inside[j]]
         if move is None:
-            break
+            return out
         out[move] = 1 - out[move]
-    return out
 
 
-def source_budget(records: DataFrame, targets: DataFrame, total_tokens: int | None = None, short_share: float = 0.02) -> DataFrame:
-    """``source, target_share, max_repeats, n_records, available, share, due, rate`` of the targeted sources with records.
+def dues(limits: dict[str, float], shares: dict[str, float], total: float) -> dict[str, float]:
+    """Tokens each source is to supply of a total: its share, at most its limit; what the exhausted ones can't supply is
+    spread over the others in proportion to their shares, until it fits or all are exhausted."""
+    full: dict[str, float] = {}
+    while True:
+        rest = total - sum(full.values())
+        free = {s: x for s, x in shares.items() if s not in full}
+        whole = sum(free.values())
+        over = [s for s, x in free.items() if x / whole * rest >= limits[s]]
+        if not over:
+            return full | {s: x / whole * rest for s, x in free.items()}
+        full |= {s: limits[s] for s in over}
+
 
-    share is the target over those present; due the tokens a source is to supply; rate the expected copies of each
-    record. Without total_tokens the total is the greatest for which sources that can't reach their share within their
-    repeats make up at most short_share of the targets; those give all they can.
+def source_budget(records: DataFrame, targets: DataFrame, total_tokens: int | None = None, total_share: float = TOTAL_SHARE) -> DataFrame:
+    """``source, target_share, max_repeats, n_records, available, due, rate`` of the targeted sources with records.
+
+    due is the tokens a source is to supply (see :func:`dues`), rate the expected copies of each of its records. The
+    total is total_tokens, or else total_share of the tokens that all targeted sources have.
     """
     t = targets.where("target_share > 0").groupBy(normal_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     have = records.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("tokens").alias("available"))
-    both = cut(t.join(have, "source").where("max_repeats >= 1 AND available > 0"), "sources")  # at most a row per target
-    present = both.agg(F.sum("target_share")).first()[0]
-    shared = both.withColumn("share", F.col("target_share") / F.lit(present))
-    if total_tokens is None:
-        limit = F.col("available") * F.col("max_repeats") / F.col("share")
-        upto = Window.orderBy("limit", "source")  # over the list of targets, a few rows
-        ranked = shared.withColumn("limit", limit).withColumn("short", F.sum("share").over(upto))
-        total = ranked.where(F.col("short") > short_share).agg(F.min("limit")).first()[0]
-    else:
-        total = float(total_tokens)
-    out = shared.withColumn("due", F.least(F.col("share") * F.lit(total), F.col("available") * F.col("max_repeats")))
+    both = cut(t.join(have, "source").where("max_repeats >= 1 AND available > 0"), "sources")
+    rows = both.collect()  # a row per target: the list of targets, not data
+    total = float(total_tokens) if total_tokens is not None else total_share * sum(r.available for r in rows)
+    due = dues({r.source: float(r.available * r.max_repeats) for r in rows}, {r.source: r.target_share for r in rows}, total)
+    wanted = both.sparkSession.createDataFrame(sorted(due.items()), "source string, due double")
+    out = both.join(F.broadcast(wanted), "source")
     return out.withColumn("rate", F.least(F.col("due") / F.col("available"), F.col("max_repeats").cast("double")))
 
 
-def _round(undecided: DataFrame, blocks: DataFrame, seed: int, last: bool) -> DataFrame:
-    """One round of flights over ``source, doc_id, tokens, chance``; the last one lands."""
+def _round(undecided: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """One round of flights over ``source, doc_id, tokens, chance``; a source of one block lands in it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id")
         rng = np.random.default_rng(abs(hash((seed, int(rows["doc_id"].iloc[0]), len(rows)))) % (1 << 32))
         size = rows["tokens"].to_numpy(dtype=float)
         p = flight(size, rows["chance"].to_numpy(), rng)
-        if last:
+        if rows["blocks"].iloc[0] == 1:
             open_ = (p > 0) & (p < 1)
             if open_.any():
                 p[open_] = landing(size[open_], p[open_])
@@ -136,29 +140,28 @@ def _round(undecided: DataFrame, blocks: DataFrame, seed: int, last: bool) -> Da
     return keyed.groupBy("source", "block").applyInPandas(run, "source string, doc_id bigint, tokens bigint, chance double")
 
 
-def mix(records: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, seed: int = 7) -> DataFrame:
+def mix(records: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, total_share: float = TOTAL_SHARE, seed: int = 7) -> DataFrame:
     """``doc_id, source, tokens, copies`` of the records used, from ``doc_id, source, tokens``."""
     named = records.where("doc_id IS NOT NULL AND tokens > 0").select("doc_id", normal_source(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"))
     named = named.where("source <> ''")
-    budget = cut(source_budget(named, targets, total_tokens), "budget")
+    budget = cut(source_budget(named, targets, total_tokens, total_share), "budget")
     # One row per target: the budget may be broadcast, its size is that of the list of targets.
-    rated = named.join(F.broadcast(budget.select("source", "rate", "n_records")), "source")
+    rated = named.join(F.broadcast(budget.select("source", "rate")), "source")
     base = F.floor(F.col("rate") + 1e-12)
     rated = cut(rated.select("source", "doc_id", "tokens", base.cast("int").alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("chance")), "rated")
-    left = rated.where("chance > 0").select("source", "doc_id", "tokens", "chance")
-    most = budget.agg(F.max("n_records")).first()[0] or 0
-    decided = None
+    left = rated.where("chance > 1e-9").select("source", "doc_id", "tokens", "chance")
+    decided = left.select("doc_id", F.lit(1).alias("extra")).where("false")
     while True:
-        blocks = left.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        last = most <= BLOCK
-        # Small sources come whole into their last block; of others the last block holds what is left undecided.
-        done = cut(_round(left, blocks, seed, last), "round")
-        part = done.where("chance >= 1").select("doc_id", F.lit(1).alias("extra"))
-        decided = part if decided is None else decided.unionByName(part)
-        if last:
+        # A source that fits into one block lands in this round, whatever the size of the others.
+        blocks = cut(left.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "blocks")
+        most = blocks.agg(F.max("blocks")).first()[0]
+        if not most:
+            break
+        done = cut(_round(left, blocks, seed), "round")
+        decided = decided.unionByName(done.where("chance >= 1").select("doc_id", F.lit(1).alias("extra")))
+        if most == 1:
             break
-        left = done.where("chance > 0 AND chance < 1")
-        most, seed = math.ceil(most / BLOCK) * 2 if most > 2 * BLOCK else BLOCK, seed + 1
+        left, seed = done.where("chance > 0 AND chance < 1"), seed + 1
     out = rated.join(decided, "doc_id", "left").withColumn("copies", F.col("base") + F.coalesce("extra", F.lit(0)))
     return out.where("copies > 0").select("doc_id", "source", "tokens", "copies")
 

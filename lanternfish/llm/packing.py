@@ -1,8 +1,8 @@
 """Items of varying size in containers of fixed capacity, filled exactly where sizes complement each other.
 
-Only the histogram of sizes is planned over, and it has at most as many rows as the capacity: sums of one, two and
-three sizes that fill a gap exactly are taken with the multiplicity that their counts allow, then what is left goes
-best-fit. The plan says which ranks of each size go where; the items find their place by their rank, which needs no
+Only the histogram of sizes is planned over, and it has at most as many rows as the capacity: sizes, and an index of the
+sums of two and three sizes, that fill a gap exactly are taken with the multiplicity that their counts allow (a fill is
+missed only if none exists), then what is left goes best-fit. The plan says which ranks of each size go where; the items find their place by their rank, which needs no
 sort of a whole size.
 
 An item larger than the capacity is cut: its full parts fill containers of their own, the rest is an item like any
@@ -24,96 +24,117 @@ from lanternfish.sources.storage import cut
 
 #: Ranks within a size are given in this many parts, so one frequent size isn't one task.
 SALTS = 256
-#: At most this many sizes are tried as the first of three that fill a gap.
-TRIPLE_TRIES = 64
 
 
-def _complements(counts: np.ndarray, capacity: int, emit) -> None:
-    """Takes combinations that fill the capacity exactly, the largest size first."""
+class _Index:
+    """Available sizes and, for every sum up to the capacity, the number of pairs of available sizes that give it."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
+        n = len(counts)
+        have = (counts > 0).astype(float)
+        have[0] = 0
+        width = 1 << (2 * n - 1).bit_length()
+        ordered = np.rint(np.fft.irfft(np.fft.rfft(have, width) ** 2, width)[:n]).astype(np.int64)
+        ordered[0 : n : 2] -= have[: (n + 1) // 2].astype(np.int64)  # s + s is looked at on its own
+        self.pairs = ordered // 2
+        self.twice = np.zeros(n, dtype=bool)
+        self.twice[0 : n : 2] = counts[: (n + 1) // 2] >= 2
 
-    def take(parts: list[int]) -> bool:
-        """Uses up a combination as often as the counts allow."""
+    def take(self, parts: list[int]) -> tuple[dict[int, int], int] | None:
+        """Uses up a combination as often as the counts allow; what it takes of each size, and how often."""
         need: dict[int, int] = {}
         for p in parts:
             need[p] = need.get(p, 0) + 1
-        times = min(counts[s] // k for s, k in need.items())
+        times = min(int(self.counts[s]) // k for s, k in need.items())
         if times <= 0:
-            return False
+            return None
         for s, k in need.items():
-            counts[s] -= k * times
-        emit(need, int(times))
-        return True
+            self.counts[s] -= k * times
+            if 2 * s < len(self.counts):
+                self.twice[2 * s] = self.counts[s] >= 2
+            if not self.counts[s]:
+                other = np.flatnonzero(self.counts[: len(self.counts) - s])
+                self.pairs[s + other[other > 0]] -= 1
+        return need, times
+
+    def pair(self, total: int) -> list[int] | None:
+        """Two available sizes of a sum, those of the most even availability; null if there are none."""
+        if total < 2 or not (self.pairs[total] or self.twice[total]):
+            return None
+        low = np.arange(1, total // 2 + 1)
+        high = total - low
+        n = np.minimum(self.counts[low], self.counts[high])
+        if total % 2 == 0:
+            n[-1] = self.counts[low[-1]] // 2
+        i = int(np.argmax(n))
+        return [int(high[i]), int(low[i])] if n[i] > 0 else None
+
+    def triple(self, total: int) -> list[int] | None:
+        """Three available sizes of a sum, the most frequent first size first; null if there are none."""
+        if total < 3:
+            return None
+        some = np.flatnonzero(self.counts[1 : total - 1]) + 1
+        some = some[(self.pairs[total - some] > 0) | self.twice[total - some]]
+        for b in some[np.argsort(-self.counts[some], kind="stable")]:
+            self.counts[b] -= 1
+            found = self.pair(total - int(b))
+            self.counts[b] += 1
+            if found:
+                return [int(b), *found]
+        return None
+
 
+def _complements(counts: np.ndarray, capacity: int, emit) -> None:
+    """Takes combinations that fill the capacity exactly, the largest size first: one size that fills the gap, else two,
+    else three, until none of them is there."""
+    index = _Index(counts)
     for a in range(capacity, 0, -1):
-        if counts[a] and a == capacity:
-            take([a])
-            continue
         while counts[a]:
             gap = capacity - a
-            if gap <= a and counts[gap] and take([a, gap]):
-                continue
-            if gap > a and counts[gap]:  # only smaller partners remain for larger sizes; this one is smaller
-                if take([a, gap]):
-                    continue
-            counts[a] -= 1  # one is set aside while partners are sought
-            pair = _pair(counts, gap)
-            triple = None if pair else _triple(counts, gap)
-            counts[a] += 1
-            if pair and take([a, *pair]) or triple and take([a, *triple]):
-                continue
-            break
-
-
-def _pair(counts: np.ndarray, total: int) -> list[int] | None:
-    """Two available sizes of a sum, the most even availability first."""
-    if total < 2 or total >= 2 * len(counts):
-        return None
-    low = np.arange(max(1, total - len(counts) + 1), total // 2 + 1)
-    if not len(low):
-        return None
-    high = total - low
-    n = np.minimum(counts[low], counts[high])
-    if total % 2 == 0 and len(low) and low[-1] == high[-1]:
-        n[-1] = counts[low[-1]] // 2
-    i = int(np.argmax(n))
-    return [int(high[i]), int(low[i])] if n[i] > 0 else None
-
-
-def _triple(counts: np.ndarray, total: int) -> list[int] | None:
-    """Three available sizes of a sum; the first is among the most frequent ones."""
-    if total < 3:
-        return None
-    some = np.flatnonzero(counts[1:total]) + 1
-    for b in some[np.argsort(-counts[some], kind="stable")][:TRIPLE_TRIES]:
-        counts[b] -= 1
-        pair = _pair(counts, total - int(b))
-        counts[b] += 1
-        if pair:
-            return [int(b), *pair]
-    return None
+            parts = [a] if not gap else [a, gap] if counts[gap] > (gap == a) else None
+            if parts is None:
+                counts[a] -= 1  # one is set aside while partners are sought
+                more = index.pair(gap) or index.triple(gap)
+                counts[a] += 1
+                parts = [a, *more] if more else None
+            took = index.take(parts) if parts else None
+            if not took:
+                break
+            emit(*took, None)
 
 
 def _best_fit(counts: np.ndarray, capacity: int, emit) -> None:
-    """Fills containers with what is left: the largest size, then always the largest that still fits."""
-    while True:
-        left = np.flatnonzero(counts)
-        if not len(left):
-            return
-        need: dict[int, int] = {}
-        gap, top = capacity, len(left)
-        while gap > 0 and top:
-            top = int(np.searchsorted(left[:top], gap, side="right"))
-            if not top:
-                break
-            s = int(left[top - 1])
-            k = min(gap // s, int(counts[s]))
-            need[s] = need.get(s, 0) + k
-            gap -= k * s
-            top -= 1
-        times = min(int(counts[s]) // k for s, k in need.items())
-        for s, k in need.items():
-            counts[s] -= k * times
-        emit(need, times)
+    """Best fit of what is left, the largest sizes first: an item goes into the fullest container that still takes it.
+
+    Containers of one gap are kept as ranges (first, number), so equal items go into equal containers in one step.
+    """
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    open_ = np.zeros(capacity + 1, dtype=bool)
+
+    def put(gap: int, first: int, number: int) -> None:
+        if gap and number:
+            gaps.setdefault(gap, []).append((first, number))
+            open_[gap] = True
+
+    for s in np.flatnonzero(counts)[::-1]:
+        s, n = int(s), int(counts[s])
+        while n:
+            at = int(np.argmax(open_[s:])) + s
+            if open_[at]:
+                first, number = gaps[at].pop()
+                if not gaps[at]:
+                    open_[at] = False
+            else:
+                at, first, number = capacity, None, n
+            per = min(at // s, n)
+            times = min(number, n // per)
+            base = emit({s: per}, times, first)
+            n -= per * times
+            put(at - per * s, base, times)
+            if first is not None:
+                put(at, first + times, number - times)
+        counts[s] = 0
 
 
 def plan(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> pd.DataFrame:
@@ -125,12 +146,15 @@ def plan(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> pd.DataFrame:
     rows: list[tuple[int, int, int, int, int]] = []
     base = 0
 
-    def emit(need: dict[int, int], times: int) -> None:
+    def emit(need: dict[int, int], times: int, into: int | None) -> int:
+        """Puts items of some sizes into new containers or into those from ``into`` on; the first container's number."""
         nonlocal base
+        first = base if into is None else into
         for s, k in need.items():
-            rows.append((s, int(used[s]), int(used[s]) + k * times, base, k))
+            rows.append((s, int(used[s]), int(used[s]) + k * times, first, k))
             used[s] += k * times
-        base += times
+        base += times if into is None else 0
+        return first
 
     _complements(counts, capacity, emit)
     _best_fit(counts, capacity, emit)
@@ -164,9 +188,10 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
         out.insert(0, "pack_id", int(rows["pack_id"].iloc[0]))
         return out
 
-    table = histogram.groupBy("pack_id").applyInPandas(planned, "pack_id int, size bigint, since bigint, until bigint, base bigint, per bigint")
-    # The plan's size is bounded by the capacities: each step uses up a size, and there are no more sizes than tokens.
-    plans = spark.sparkContext.broadcast({(int(p), int(s)): g[["since", "base", "per"]].to_numpy() for (p, s), g in table.toPandas().sort_values("since").groupby(["pack_id", "size"])})
+    # The plan's size is bounded by the capacities, whatever the number of items: each step of complements uses up a size,
+    # each step of best fit a size or a gap, and there are no more of either than tokens of capacity.
+    table = histogram.groupBy("pack_id").applyInPandas(planned, "pack_id int, size bigint, since bigint, until bigint, base bigint, per bigint").toPandas()
+    plans = spark.sparkContext.broadcast({(int(p), int(s)): g[["since", "base", "per"]].to_numpy() for (p, s), g in table.sort_values("since").groupby(["pack_id", "size"])})
     inside = Window.partitionBy("pack_id", "rest", "salt").orderBy("doc_id")
     ranked = rest.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["pack_id", "rest", "salt"])
     ranked = ranked.select("pack_id", "doc_id", "full", "capacity", "rest", (F.col("r") + F.col("offset")).alias("rank"))
@@ -190,10 +215,10 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
     totals = whole.groupBy("pack_id", "salt").agg(F.sum("full").alias("n"))
     w = Window.partitionBy("pack_id").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0))).select("pack_id", "salt", "offset")
-    ends = {int(p): int(n) for p, n in table.groupBy("pack_id").agg(F.max(F.expr("base + (until - since) div per")).alias("n")).collect()}
+    ends = (table["base"] + (table["until"] - table["since"]) // table["per"]).groupby(table["pack_id"]).max().to_dict()
     first = F.lit(0).cast("bigint")
     for p, n in ends.items():
-        first = F.when(F.col("pack_id") == p, F.lit(n).cast("bigint")).otherwise(first)
+        first = F.when(F.col("pack_id") == int(p), F.lit(int(n)).cast("bigint")).otherwise(first)
     own = Window.partitionBy("pack_id", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     numbered = whole.withColumn("at", F.coalesce(F.sum("full").over(own), F.lit(0))).join(starts, ["pack_id", "salt"])
     large = numbered.select("pack_id", "doc_id", "capacity", (first + F.col("offset") + F.col("at")).alias("start"), F.posexplode(F.array_repeat(F.lit(0), F.col("full").cast("int"))).alias("piece", "_"))

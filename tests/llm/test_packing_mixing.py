@@ -84,7 +84,8 @@ def test_mix_reaches_shares(spark, monkeypatch):
     rows += [(5000, "Big", 0), (5001, "Big", None)]
     records = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small-one", 0.15, 4), ("absent", 0.05, 3)], "source string, target_share double, max_repeats int")
-    out = mixing.mix(records, targets).collect()
+    # A total that every source can supply its share of.
+    out = mixing.mix(records, targets, total_tokens=45_000).collect()
     assert len({r.doc_id for r in out}) == len(out) and {r.source for r in out} == {"big", "mid", "small-one"}
     limit = {"big": 1, "mid": 2, "small-one": 4}
     assert all(1 <= r.copies <= limit[r.source] for r in out)
@@ -94,3 +95,39 @@ def test_mix_reaches_shares(spark, monkeypatch):
     report = {r.source: r.actual_share for r in mixing.share_report(spark.createDataFrame(out), targets).collect()}
     assert report["absent"] == 0.0 and abs(sum(report.values()) - 1) < 1e-9
     assert mixing.mix(records.where("false"), targets).count() == 0
+
+
+def test_short_source_moves_neither_total_nor_other_shares(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, s, int(rng.integers(20, 400))) for i, s in enumerate(["big"] * 900 + ["mid"] * 700)]
+    tiny = [(9000 + i, "tiny", 50) for i in range(3)]
+    targets = spark.createDataFrame([("big", 0.4, 1), ("mid", 0.3, 1), ("tiny", 0.3, 2)], "source string, target_share double, max_repeats int")
+    for have in (rows, rows + tiny):
+        out = mixing.mix(spark.createDataFrame(have, "doc_id long, source string, tokens long"), targets).collect()
+        got = {s: sum(r.tokens * r.copies for r in out if r.source == s) for s in ("big", "mid", "tiny")}
+        total = sum(t for _, _, t in have) * mixing.TOTAL_SHARE
+        assert got["tiny"] == (300 if have is not rows else 0)
+        assert abs(sum(got.values()) - total) < 0.01 * total
+        assert abs(got["big"] / (got["big"] + got["mid"]) - 4 / 7) < 0.01
+
+
+def test_dues_fill_up_in_proportion():
+    assert mixing.dues({"a": 10.0, "b": 100.0, "c": 100.0}, {"a": 0.5, "b": 0.25, "c": 0.25}, 100.0) == pytest.approx({"a": 10, "b": 45, "c": 45})
+    assert mixing.dues({"a": 10.0}, {"a": 1.0}, 100.0) == {"a": 10.0}
+    assert mixing.dues({}, {}, 0.0) == {}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=30, max_size=30), st.integers(1, 29))
+def test_triples_and_pairs_are_found_whenever_they_exist(numbers, total):
+    counts = np.array([0, *numbers[:29]])
+    index = packing._Index(counts)
+    have = [s for s in range(1, 30) for _ in range(counts[s])]
+    pair = any(a + b == total for i, a in enumerate(have) for b in have[i + 1 :])
+    triple = any(a + b + c == total for i, a in enumerate(have) for j, b in enumerate(have[i + 1 :], i + 1) for c in have[j + 1 :])
+    assert bool(index.pair(total)) == pair and bool(index.triple(total)) == triple
+    for search in (index.pair, index.triple):
+        found = search(total)
+        assert not found or sum(found) == total and index.take(found)
+    fresh = packing._Index(counts.copy())
+    assert (fresh.pairs == index.pairs).all() and (fresh.twice == index.twice).all()
