@@ -3,10 +3,13 @@
 Every snapshot becomes a Merkle tree over ranges of the key's hash. Consecutive snapshots are compared from the
 top down, and rows meet only within sub-ranges whose digests differ.
 
-Every snapshot is a few nodes (ranges of the key's hash, one for a small snapshot), each with a digest of its own
-and the digests of its sixteen sub-ranges. A digest is the xor of a 64-bit hash of each row. It doesn't depend on
-the order of rows, so it needs no sort and combines upward by xor; the xor of both snapshots' digests is zero
-where a range is equal (unequal ranges agree with a chance of 2**-64 each).
+The leaves of the tree are nodes: ranges of about NODE_ROWS keys whatever the size of a snapshot, each with the digests
+of its sixteen sub-ranges; above them every sixteen nodes are a node up to the root, as many levels as the largest
+snapshot needs. A digest is the xor of a 64-bit hash of each row. It doesn't depend on the order of rows, so it needs no
+sort and combines upward by xor; the xor of both snapshots' digests is zero where a range is equal.
+
+Rows travel as 64-bit hashes of key and value; the keys of the changes are looked up at the end. So unequal ranges, and
+unequal values, agree with a chance of 2**-64 each, and two of n keys of a group with one of less than n**2 * 2**-65.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ from pyspark.sql import functions as F
 
 from lanternfish.sources.storage import cut
 
+#: Children of a node, and sub-ranges of the lowest nodes.
 FANOUT = 16
 #: Snapshots of up to this many rows form one node; larger ones are split into ranges of about this size.
 NODE_ROWS = 4096
-#: At most this many snapshots count as large, whatever the size of the table (see large_groups).
-MAX_LARGE = 4096
+#: The table of groups with a large snapshot is broadcast up to this many rows; beyond it the rows meet it by salted keys.
+BROADCAST_ROWS = 100_000
+SALTS = 64
+NODE = ["g", "s", "bits", "node"]
 #: Span of snapshot numbers within which neighbours are looked up at once.
 BLOCK = 1024
 
@@ -49,24 +55,54 @@ def snapshot_links(snapshots: DataFrame, group: str, number: str) -> DataFrame:
 
 
 def large_groups(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """``group, bits``: into how many (2**bits) ranges the snapshots of a group with a large snapshot are split.
-
-    A snapshot is large beyond max(NODE_ROWS, rows / MAX_LARGE) rows, so there are at most MAX_LARGE of them and
-    the result may be broadcast.
-    """
-    limit = max(NODE_ROWS, rows.count() // MAX_LARGE)
+    """``group, bits`` of the groups with a snapshot of more than NODE_ROWS rows: into how many (2**bits) nodes their
+    snapshots are split, so that a node has NODE_ROWS rows or fewer on average."""
     return (
         rows.groupBy(group, number)
         .count()
-        .where(F.col("count") > limit)
+        .where(F.col("count") > NODE_ROWS)
         .groupBy(group)
-        .agg(F.ceil(F.log2(F.max("count") / F.lit(limit))).cast("int").alias("bits"))
+        .agg(F.ceil(F.log2(F.max("count") / F.lit(NODE_ROWS))).cast("int").alias("bits"))
     )
 
 
-def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    best = F.max(F.struct("at", "idx", "value")).alias("best")
-    return rows.groupBy(*keys).agg(best).select(*keys, F.col("best.at"), F.col("best.idx"), F.col("best.value"))
+def node_of(key_hash: Column, bits: Column) -> Column:
+    """The node of a key: the first bits of its hash."""
+    return F.when(bits > 0, F.call_function("shiftrightunsigned", key_hash, 64 - bits)).otherwise(F.lit(0).cast("bigint"))
+
+
+def _with_bits(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``g, s, k, v, at, idx`` with the bits of their group."""
+    if large.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(large), "g", "left")
+    else:
+        # A group may hold a third of all rows: it is spread over SALTS tasks, and the table repeated for each.
+        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod("k", F.lit(SALTS)).cast("int")).join(salts, ["g", "salt"], "left").drop("salt")
+    return joined.withColumn("bits", F.coalesce("bits", F.lit(0)))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    best = F.max(F.struct("at", "idx", "v")).alias("best")
+    return rows.groupBy(*NODE, "k").agg(best).select(*NODE, "k", "best.*")
+
+
+def _differing(compared: DataFrame, bits: int) -> DataFrame:
+    """The lowest nodes that differ, top down: only below nodes that differ is the next level compared."""
+
+    def level(n: int) -> DataFrame:
+        if n == 0:
+            return compared.where("whole <> 0")
+        up = F.shiftright("node", 4 * n).alias("node")
+        return compared.groupBy("g", "pair", "bits", up).agg(F.bit_xor("whole").alias("whole")).where("whole <> 0")
+
+    top = -(-bits // 4)
+    opened = level(top)
+    for n in range(top - 1, -1, -1):
+        parents = opened.select("g", "pair", "bits", F.col("node").alias("above"))
+        below = level(n).withColumn("above", F.shiftright("node", 4))
+        opened = below.join(parents, ["g", "pair", "bits", "above"], "left_semi").drop("above")
+    return opened
 
 
 def snapshot_changes(
@@ -75,39 +111,31 @@ def snapshot_changes(
     """``group, number, key, change_kind`` for every two consecutive snapshots of a group.
 
     rows: full deliveries; of several rows for one key in a snapshot the one with the latest ``at`` counts, then
-    the highest ``idx``, then the greatest value. snapshots: further snapshots that may have no rows.
+    the highest ``idx``, then the greatest hash of the value. snapshots: further snapshots that may have no rows.
     A null key is ignored; a null value counts as present but never as changed; an empty table gives no rows;
     further columns are ignored. change_kind is added, removed or changed; ``number`` is the later snapshot's.
     """
     rows = rows.where(F.col(group).isNotNull() & F.col(number).isNotNull())
     names = [F.col(group).alias("g"), F.col(number).alias("s")]
     links = cut(snapshot_links(rows.select(*names).unionByName(snapshots.select(*names)), "g", "s"), "links")
-    large = F.broadcast(large_groups(rows, group, number).select(F.col(group).alias("__g"), F.col("bits").alias("__bits")))
-
-    binary = F.coalesce(F.unhex("text"), F.encode("text", "UTF-8"))  # half the bytes of a hexadecimal digest
-    zero = F.lit(0).cast("bigint")
-
-    def base(of: DataFrame, *also: Column) -> DataFrame:
-        named = of.select(*names, *also, key.alias("key"), value.alias("text"), F.col(at).alias("at"), F.col(idx).alias("idx"))
-        return named.where(F.col("key").isNotNull()).select("g", "s", *(["bits"] if also else []), "key", binary.alias("value"), "at", "idx")
+    large = cut(large_groups(rows, group, number).select(F.col(group).alias("g"), "bits"), "large")
+    bits = large.agg(F.max("bits")).first()[0] or 0
 
+    keyed = rows.select(*names, key.alias("key"), value.alias("text"), F.col(at).alias("at"), F.col(idx).alias("idx")).where("key IS NOT NULL")
+    hashed = keyed.select("g", "s", F.xxhash64("key").alias("k"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("v"), "at", "idx")
+    placed = _with_bits(hashed, large).withColumn("node", node_of(F.col("k"), F.col("bits")))
     # Large snapshots may repeat one key any number of times: combine before the shuffle. Others are bounded.
-    node = ["g", "s", "bits", "node"]
-    same = F.col(group) == F.col("__g")
-    small = base(rows.join(large, same, "left_anti")).withColumn("bits", F.lit(0)).withColumn("node", zero)
-    split = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(xxhash64(key), 64 - bits)")).otherwise(zero)
-    big = _latest(base(rows.join(large, same), F.coalesce("__bits", F.lit(0)).alias("bits")).withColumn("node", split), [*node, "key"])
-    rest = ["key", "at", "idx", "value"]
-    placed = small.select(*node, *rest).unionByName(big.select(*node, *rest)).repartition(*node)
+    columns = [*NODE, "k", "at", "idx", "v"]
+    spread = placed.where("bits = 0").select(*columns)
+    if bits:
+        spread = spread.unionByName(_latest(placed.where("bits > 0")).select(*columns))
     # One shuffle brings a node's rows together; the two steps below work within it.
-    current = _latest(placed, [*node, "key"]).select(*node, "key", "value")
-    bucket = F.expr("cast(shiftrightunsigned(shiftleft(xxhash64(key), bits), 60) as int)")
-    held = current.withColumn("bucket", bucket)
+    held = _latest(spread.repartition(*NODE)).select(*NODE, "k", "v", F.expr("cast(shiftrightunsigned(shiftleft(k, bits), 60) as int)").alias("bucket"))
 
+    zero = F.lit(0).cast("bigint")
     digests = [f"d{i}" for i in range(FANOUT)]
-    leaf = F.xxhash64(F.lit(1), "key", F.col("value").isNull(), "value")
-    nodes = held.withColumn("leaf", leaf).groupBy(*node).agg(
-        F.bit_xor(F.xxhash64(F.lit(2), "leaf", "value")).alias("whole"),
+    nodes = held.withColumn("leaf", F.xxhash64("k", F.col("v").isNull(), "v")).groupBy(*NODE).agg(
+        F.bit_xor(F.xxhash64(F.lit(2), "leaf")).alias("whole"),
         *[F.bit_xor(F.when(F.col("bucket") == i, F.col("leaf")).otherwise(zero)).alias(d) for i, d in enumerate(digests)],
     )
     # A node takes part as the later side of its own pair and as the earlier side of the next one; the xor over
@@ -115,28 +143,32 @@ def snapshot_changes(
     pairs = F.explode(F.array_compact(F.array(F.when(F.col("prev_no").isNotNull(), F.col("s")), F.col("next_no"))))
     sided = nodes.join(links, ["g", "s"]).select("g", pairs.alias("pair"), "bits", "node", "whole", *digests)
     compared = sided.groupBy("g", "pair", "bits", "node").agg(*[F.bit_xor(c).alias(c) for c in ["whole", *digests]])
+    if bits:
+        compared = cut(compared, "compared")
     mask = F.lit(0)
     for i, d in enumerate(digests):
         mask = mask.bitwiseOR(F.when(F.col(d) != 0, F.lit(1 << i)).otherwise(F.lit(0)))
-    # Top down: equal nodes end here, of the others only the sub-ranges in the mask are opened.
-    opened = compared.where("whole <> 0").select("g", "pair", "bits", "node", mask.alias("mask"))
+    # Equal nodes end here, of the others only the sub-ranges in the mask are opened.
+    opened = _differing(compared.select("g", "pair", "bits", "node", "whole", mask.alias("mask")), bits)
     both = F.explode(F.array(F.struct(F.col("pair").alias("s"), F.lit(1).alias("later")), F.struct(F.col("prev_no").alias("s"), F.lit(0).alias("later"))))
     todo = (
         opened.join(links.select("g", F.col("s").alias("pair"), "prev_no"), ["g", "pair"])
         .select("g", both.alias("e"), "bits", "node", "pair", "mask")
         .select("g", "e.s", "e.later", "bits", "node", "pair", "mask")
     )
-    touched = held.join(todo, node).where("shiftright(mask, bucket) & 1 = 1")
-    sides = touched.groupBy("g", "pair", "key").agg(
+    touched = held.join(todo, NODE).where("shiftright(mask, bucket) & 1 = 1")
+    sides = touched.groupBy("g", "pair", "k").agg(
         F.max("later").alias("in_new"),
         F.min("later").alias("in_old"),
-        F.bit_xor(F.xxhash64("value")).alias("differs"),
-        F.count("value").alias("known"),
+        F.bit_xor("v").alias("differs"),
+        F.count("v").alias("known"),
     )
     kind = (
         F.when(F.col("in_old") == 1, "added")
         .when(F.col("in_new") == 0, "removed")
         .when((F.col("known") == 2) & (F.col("differs") != 0), "changed")
     )
-    return sides.select(F.col("g").alias(group), F.col("pair").alias(number), "key", kind.alias("change_kind")).where("change_kind IS NOT NULL")
-
+    changes = sides.select("g", "pair", "k", kind.alias("change_kind")).where("change_kind IS NOT NULL")
+    # A group delivers the same keys again and again: they are combined before they meet the changes.
+    spelled = keyed.groupBy("g", F.xxhash64("key").alias("k")).agg(F.min("key").alias("key"))
+    return changes.join(spelled, ["g", "k"]).select(F.col("g").alias(group), F.col("pair").alias(number), "key", "change_kind")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions.normalize import clean_hash, clean_path
@@ -39,9 +40,10 @@ def test_empty_tables(spark):
     assert run(spark, []) == set()
 
 
-def test_large_snapshots_are_split(spark, monkeypatch):
-    monkeypatch.setattr(S, "NODE_ROWS", 50)
-    monkeypatch.setattr(S, "MAX_LARGE", 10_000)
+@pytest.mark.parametrize(("width", "broadcast"), [(50, 100), (50, 0), (2, 100)])
+def test_large_snapshots_are_split(spark, monkeypatch, width, broadcast):
+    monkeypatch.setattr(S, "NODE_ROWS", width)
+    monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     state, leaves, want = {}, [], set()
     for n in range(1, 5):
@@ -58,6 +60,16 @@ def test_large_snapshots_are_split(spark, monkeypatch):
     assert run(spark, leaves) == want
 
 
+def test_nodes_stay_as_wide_when_rows_double(spark, monkeypatch):
+    monkeypatch.setattr(S, "NODE_ROWS", 64)
+    widest = []
+    for n in (4_000, 8_000, 16_000):
+        rows = spark.range(n).select(F.lit("p").alias("g"), F.lit(1).alias("s"), F.xxhash64("id").alias("k"))
+        placed = S._with_bits(rows, S.large_groups(rows, "g", "s")).groupBy(S.node_of(F.col("k"), F.col("bits")).alias("node")).count()
+        widest.append(placed.agg(F.max("count")).first()[0])
+    assert max(widest) < 1.2 * min(widest) < 2 * 64
+
+
 def test_neighbours_across_blocks(spark):
     df = spark.createDataFrame([("p", n) for n in (1, 5, 1023, 1024, 9000)], "g string, n int")
     got = {(r.n, r.prev_no, r.next_no) for r in S.snapshot_links(df, "g", "n").collect()}
