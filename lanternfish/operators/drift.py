@@ -21,6 +21,8 @@ from lanternfish.functions.jsontext import canonical, kind, strict_loads
 from lanternfish.sources.storage import cut
 
 FILE = ["producer_id", "artifact", "file_seq"]
+#: The list of fields that vanish or appear is broadcast up to this many rows; beyond it the join is a shuffle.
+BROADCAST_ROWS = 200_000
 #: Objects under these keys are single values.
 WHOLE = frozenset({"capabilities"})
 _FIELDS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("path", "type", "value")]))
@@ -88,12 +90,18 @@ def file_pairs(loaded: DataFrame) -> DataFrame:
 def _renames(gone: DataFrame, come: DataFrame, loaded: DataFrame, pairs: DataFrame) -> DataFrame:
     """``FILE, old, new``: a vanished and an appearing field of one type with equal values in at least half of
     the packages that carry both; the highest share first, then by path, each field once."""
-    value = F.struct("f.path", F.xxhash64("f.value").alias("v1"), F.xxhash64(F.lit(1), F.col("f.value")).alias("v2"))
-    rows = loaded.where("package_id IS NOT NULL").select(*FILE, "package_id", F.explode("fields").alias("f")).select(*FILE, "package_id", value.alias("x")).select(*FILE, "package_id", "x.*")
     key = ["producer_id", "artifact", "file_seq"]
-    before = rows.withColumnRenamed("file_seq", "prev_seq").join(pairs, ["producer_id", "artifact", "prev_seq"])
-    before = before.join(gone.select(*key, "path", "type"), [*key, "path"]).select(*key, "package_id", F.col("path").alias("old"), "type", "v1", "v2").distinct()
-    after = rows.join(come.select(*key, "path", "type"), [*key, "path"]).select(*key, "package_id", F.col("path").alias("new"), "type", "v1", "v2").distinct()
+    old = gone.join(pairs, key).select("producer_id", "artifact", F.col("prev_seq").alias("file_seq"), F.col("file_seq").alias("pair"), F.lit(0).alias("later"), "path", "type")
+    new = come.select(*key, F.col("file_seq").alias("pair"), F.lit(1).alias("later"), "path", "type")
+    watched = cut(old.unionByName(new), "watched")
+    # Fields that neither vanish nor appear go no further than this join, which is a lookup while the list is short.
+    small = watched.count() <= BROADCAST_ROWS
+    rows = loaded.where("package_id IS NOT NULL").select(*key, "package_id", F.explode("fields").alias("f")).select(*key, "package_id", "f.path", "f.value")
+    rows = rows.join(F.broadcast(watched) if small else watched, [*key, "path"])
+    rows = rows.select("producer_id", "artifact", F.col("pair").alias("file_seq"), "later", "package_id", "path", "type", F.xxhash64("value").alias("v1"), F.xxhash64(F.lit(1), "value").alias("v2"))
+    rows = cut(rows.distinct(), "moved")
+    before = rows.where("later = 0").withColumnRenamed("path", "old").drop("later")
+    after = rows.where("later = 1").withColumnRenamed("path", "new").drop("later")
     equal = before.join(after, [*key, "package_id", "type", "v1", "v2"]).select(*key, "old", "new", "package_id").distinct()
     equal = equal.groupBy(*key, "old", "new").agg(F.count(F.lit(1)).alias("n_equal"))
     # Only pairs with an equal value need their number of common packages.
