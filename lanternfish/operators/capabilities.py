@@ -39,6 +39,12 @@ def capability_set(rows: DataFrame) -> DataFrame:
     return rows.select("package_id", "category", "action", "scope").distinct()
 
 
+def known_capabilities(named: DataFrame, column: str, categories: list[str], actions: list[str]) -> DataFrame:
+    """The rows whose ``category:action`` text names a known category and action."""
+    parts = F.split(column, ":")
+    return named.where((F.size(parts) == 2) & parts[0].isin(*categories) & parts[1].isin(*actions))
+
+
 def scope_elements(rows: DataFrame) -> DataFrame:
     """``package_id, category, action, value``: one row per scope element, repeated ones included."""
     return rows.select("package_id", "category", "action", F.explode("scope").alias("value"))
@@ -88,8 +94,8 @@ def fired_combinations(spark: SparkSession, rows: DataFrame, used: DataFrame, al
 
 
 def path_violations(spark: SparkSession, rows: DataFrame, globs: list[str]) -> DataFrame:
-    """``package_id, value, glob``: a row for every write, delete or read scope and denied glob that matches."""
-    values = scope_elements(rows.where("category = 'fs'")).where("value <> '*'")
+    """``package_id, value, glob``: a row for every scope that is written or deleted and denied glob that matches."""
+    values = scope_elements(rows.where("category = 'fs' AND action IN ('write', 'delete')")).where("value <> '*'")
     clean = F.translate(F.when(F.startswith("value", F.lit("~")), F.concat(F.lit("/home/user"), F.substring("value", 2, 2**31 - 1))).otherwise(F.col("value")), "\\", "/")
     hits = F.array_compact(F.array(*[F.when(clean.rlike(glob_regex(g)), F.lit(g)) for g in globs]))
     return values.select("package_id", "value", F.explode(hits).alias("glob"))
@@ -171,6 +177,13 @@ def set_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return a.join(b, keys, "full").select(*keys, side.alias("side"))
 
 
+def absent_paths(named: DataFrame, have: DataFrame) -> DataFrame:
+    """``package_id, path`` of named paths that a package has neither by path nor by the name of a file."""
+    base = F.element_at(F.split("path", "/"), -1).alias("name")
+    rest = named.join(have, ["package_id", "path"], "left_anti").select("package_id", "path", base)
+    return rest.join(have.select("package_id", base).distinct(), ["package_id", "name"], "left_anti").select("package_id", "path")
+
+
 def top_per_group(rows: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
     """The first n rows of each group, with ``rank``; partial results are cut to n before the shuffle by Spark."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)

@@ -9,12 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.functions.rules import LineRule
+from lanternfish.functions.rules import NO_WIDTH, LineRule
+from lanternfish.sources.storage import cut
 
 #: Every line end that Python's splitlines knows.
 LINE_END = "\r\n|[\n\x0b\f\r\x1c-\x1e\u0085\u2028\u2029]"
-#: Everything before a # that stands outside quotes; an open quote keeps the rest.
-SHELL_CODE = r"^((?:[^#'\"\\]|\\.|'[^']*'|\"(?:[^\"\\]|\\.)*\")*)#"
+#: Quoted runs and escapes, which are kept, or a comment; an open quote keeps the rest of the line.
+SHELL_PIECES = r"""('[^']*+(?:'|$)|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?$)|\\.)|#.*"""
+#: Strings, templates, comments and what lies between them in JavaScript.
+JS_PIECES = (
+    r"""(?s)"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"""
+    r"""|//[^\r\n]*+|/\*.*?(?:\*/|\z)|[^"'`/]++|."""
+)
+LANGUAGES = {
+    "python": [".py"],
+    "shell": [".sh", ".bat", ".ps1", ".bash", ".zsh", ".fish"],
+    "javascript": [".js", ".ts", ".mjs", ".cjs", ".jsx", ".tsx"],
+    "config": [".json", ".yaml", ".yml", ".toml", ".cfg", ".ini"],
+}
 
 
 def with_suffix(files: DataFrame, path: str = "path") -> DataFrame:
@@ -22,18 +34,21 @@ def with_suffix(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("suffix", F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
 
 
+def language(suffix: Column) -> Column:
+    """The language of a suffix, null for others."""
+    return F.coalesce(*[F.when(suffix.isin(*s), F.lit(k)) for k, s in LANGUAGES.items()])
+
+
 def routes(path: Column, suffix: Column) -> Column:
     """All scanners that take a file, as an array: by exact suffix, Dockerfiles by their name."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    kinds = {
-        "python": [".py"],
-        "shell": [".sh", ".bash", ".zsh", ".ksh"],
-        "javascript": [".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx"],
-        "config": [".json", ".yaml", ".yml", ".toml", ".ini", ".cfg"],
-    }
-    each = [F.when(suffix.isin(*s), F.lit(k)) for k, s in kinds.items()]
-    docker = F.when((name == "dockerfile") | name.startswith("dockerfile.") | name.endswith(".dockerfile"), F.lit("docker"))
-    return F.array_compact(F.array(*each, docker))
+    docker = F.when(name.isin("dockerfile", "containerfile") | name.startswith("dockerfile.") | name.endswith(".dockerfile"), F.lit("docker"))
+    return F.array_compact(F.array(language(suffix), docker))
+
+
+def text_files(files: DataFrame, binary: list[str]) -> DataFrame:
+    """Files whose suffix, in whatever case, isn't one of files that hold no text; needs ``suffix``."""
+    return files.where(~F.lower("suffix").isin(*binary))
 
 
 def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
@@ -46,6 +61,21 @@ def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
     return out
 
 
+def ignore_files(files: DataFrame, name: str) -> DataFrame:
+    """``package_id, patterns`` from root-level ignore files (``package_id, path, text``): a pattern a line, blank lines and
+    comments aside. Several such files of a package count together."""
+    lines = lines_of(files.where(F.col("path") == name), "package_id").select("package_id", F.trim("text").alias("p"))
+    return lines.where("p <> '' AND NOT startswith(p, '#')").groupBy("package_id").agg(F.collect_set("p").alias("patterns"))
+
+
+def not_ignored_by_package(files: DataFrame, ignores: DataFrame) -> DataFrame:
+    """Files of ``package_id, path`` that no pattern of their own package ignores; packages without patterns keep all."""
+    parts = F.split("path", "/")
+    hit = F.exists("patterns", lambda p: F.when(p.startswith("*"), F.endswith(F.col("path"), F.substring(p, 2, 2**31 - 1))).otherwise(F.array_contains(parts, F.rtrim(p, F.lit("/")))))
+    joined = files.join(ignores.select("package_id", "patterns"), "package_id", "left")
+    return joined.where(F.col("patterns").isNull() | ~F.coalesce(hit, F.lit(False))).drop("patterns")
+
+
 def lines_of(files: DataFrame, *keys: str) -> DataFrame:
     """``keys, line, text`` with lines counted from 1, without line ends; the empty rest after the last end is no line."""
     pieces = F.split(F.col("text"), LINE_END, -1)
@@ -55,48 +85,79 @@ def lines_of(files: DataFrame, *keys: str) -> DataFrame:
 
 
 def shell_code(text: Column) -> Column:
-    """A shell line without its comment."""
-    return F.when(text.rlike(SHELL_CODE), F.regexp_extract(text, SHELL_CODE, 1)).otherwise(text)
+    """A shell line without its comment, which begins at the first # outside quotes."""
+    return F.when(F.contains(text, F.lit("#")), F.regexp_replace(text, SHELL_PIECES, "$1")).otherwise(text)
+
+
+def js_code(text: Column) -> Column:
+    """A JavaScript text without its comments, whose line ends stay, so that lines keep their numbers."""
+    piece = lambda p: F.when(p.startswith("//") | p.startswith("/*"), F.regexp_replace(p, r"[^\r\n\u2028\u2029]", "")).otherwise(p)
+    bare = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(JS_PIECES), F.lit(0)), piece), "")
+    return F.when(F.contains(text, F.lit("//")) | F.contains(text, F.lit("/*")), bare).otherwise(text)
+
+
+def code_lines(files: DataFrame, *keys: str) -> DataFrame:
+    """``keys, language, line, text`` of files with ``suffix, text`` in a known language, without comments of shell and
+    JavaScript."""
+    known = files.withColumn("language", language(F.col("suffix"))).where("language IS NOT NULL")
+    text = F.when(F.col("language") == "javascript", js_code(F.col("text"))).otherwise(F.col("text"))
+    rows = lines_of(known.withColumn("text", text), *keys, "language")
+    return rows.withColumn("text", F.when(F.col("language") == "shell", shell_code(F.col("text"))).otherwise(F.col("text")))
 
 
 def hit(text: Column, rule: LineRule) -> Column:
     """Whether a line matches; the substring test comes first."""
-    return F.contains(text, F.lit(rule.literal)) & text.rlike(rule.pattern)
+    found = text.rlike(rule.pattern)
+    return F.contains(text, F.lit(rule.literal)) & found if rule.literal else found
 
 
 def _found(rule: LineRule) -> Column:
+    # No capturing group in a rule, so that the quoted text is the first one.
+    quoted = F.regexp_extract("text", f"(?:{rule.pattern})" + r"""[^'"]*['"]([^'"]+)['"]""", 1) if rule.scoped else None
+    scope = F.when(quoted.startswith("http") | quoted.startswith("/"), quoted).otherwise("*") if rule.scoped else F.lit("*")
     return F.struct(
         F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.ord).alias("rule_ord"), F.lit(rule.severity).alias("severity"),
-        F.lit(rule.category).alias("category"), F.lit(rule.action).alias("action"), F.lit(rule.once).alias("once"),
+        F.lit(rule.category).alias("category"), F.lit(rule.action).alias("action"), F.lit(rule.once).alias("once"), scope.alias("scope"),
     )
 
 
+def _matches(rules: list[LineRule]) -> Column:
+    return F.array_compact(F.array(*[F.when(hit(F.col("text"), r), _found(r)) for r in rules]))
+
+
 def every_match(lines: DataFrame, rules: list[LineRule]) -> DataFrame:
     """A row for every line and rule that match."""
-    found = F.array_compact(F.array(*[F.when(hit(F.col("text"), r), _found(r)) for r in rules]))
-    return lines.withColumn("f", F.explode(found)).select("*", "f.*").drop("f", "once")
+    return lines.withColumn("f", F.explode(_matches(rules))).select("*", "f.*").drop("f", "once", "scope")
+
+
+def every_match_by_language(lines: DataFrame, rules: dict[str, list[LineRule]]) -> DataFrame:
+    """:func:`every_match` with the rules of each line's ``language``, in one pass over the lines."""
+    of = F.coalesce(*[F.when(F.col("language") == k, _matches(r)) for k, r in rules.items()])
+    return lines.withColumn("f", F.explode(of)).select("*", "f.*").drop("f", "once", "scope")
 
 
 def first_matches(lines: DataFrame, tables: list[list[LineRule]]) -> DataFrame:
-    """A row for every line and table: the table's first rule that matches the line."""
+    """A row for every line and table: the table's first rule that matches the line; where that is an "info" rule, none."""
     firsts = []
     for rules in tables:
         firsts.append(F.coalesce(*[F.when(hit(F.col("text"), r), _found(r)) for r in rules]))
-    return lines.withColumn("f", F.explode(F.array_compact(F.array(*firsts)))).select("*", "f.*").drop("f")
+    rows = lines.withColumn("f", F.explode(F.array_compact(F.array(*firsts))))
+    return rows.where("f.severity <> 'info'").select("*", "f.*").drop("f")
 
 
 def once_per_file(matches: DataFrame, *keys: str) -> DataFrame:
     """Of the matches of one file and capability (or file and rule) the earliest; a line's first match has been chosen
     before, so a later rule on a claimed line is lost. Combines before the shuffle."""
     key = F.concat_ws(":", "category", "action", F.when(F.col("once") == "rule", F.col("rule_id")))
-    best = F.min(F.struct("line", "rule_ord", "rule_id", "severity", "category", "action")).alias("b")
+    best = F.min(F.struct("line", "rule_ord", "rule_id", "severity", "category", "action", "scope")).alias("b")
     return matches.groupBy(*keys, key.alias("claim")).agg(best).select(*keys, "claim", "b.*")
 
 
 def greedy_once(lines: DataFrame, rules: list[LineRule], *keys: str) -> DataFrame:
     """A rule once per document and a line for one rule, in order of lines: a line is claimed by its first matching rule
-    that no earlier line has claimed. One round per rule, each a window over the matching lines that are left."""
-    left = every_match(lines, rules).select(*keys, "line", "rule_id", "rule_ord", "severity")
+    that no earlier line has claimed. One round per rule, each a window over the matching lines that are left; the
+    matches are written once, so that no round scans the texts again."""
+    left = cut(every_match(lines, rules).select(*keys, "line", "rule_id", "rule_ord", "severity"), "matches")
     out = None
     for rule in rules:
         own = Window.partitionBy(*keys)
@@ -112,21 +173,21 @@ def without_native(added: DataFrame, native: DataFrame, *keys: str) -> DataFrame
     return added.join(native.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def hidden_characters(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def hidden_characters(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Documents with zero-width characters (a BOM at the start aside): how many, which, and the line of the first."""
     inner = F.when(F.startswith(F.col(text), F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(F.col(text))
-    marks = F.lit("[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
-    rows = docs.select(key, inner.alias("t")).withColumn("hits", F.regexp_extract_all("t", marks, F.lit(0))).where(F.size("hits") > 0)
+    marks = F.lit(NO_WIDTH)
+    rows = docs.select(*keys, inner.alias("t")).withColumn("hits", F.regexp_extract_all("t", marks, F.lit(0))).where(F.size("hits") > 0)
     first = F.regexp_instr("t", marks)
     before = F.substring(F.col("t"), F.lit(1), first - 1)
-    return rows.select(key, F.size("hits").alias("n_hidden"), F.array_sort(F.array_distinct(F.transform("hits", lambda c: F.hex(F.encode(c, "UTF-16BE"))))).alias("codes"), (F.regexp_count(before, F.lit("\n")) + 1).alias("first_line"))
+    return rows.select(*keys, F.size("hits").alias("n_hidden"), F.array_sort(F.array_distinct(F.transform("hits", lambda c: F.hex(F.encode(c, "UTF-16BE"))))).alias("codes"), (F.regexp_count(before, F.lit("\n")) + 1).alias("first_line"))
 
 
-def foreign_letters(docs: DataFrame, key: str, pattern: str, text: str = "text") -> DataFrame:
-    """``key, n_foreign, first_line`` of texts with letters of a class (look-alikes of other scripts, say)."""
-    rows = docs.select(key, F.col(text).alias("t"), F.regexp_count(text, F.lit(pattern)).alias("n_foreign")).where("n_foreign > 0")
+def foreign_letters(docs: DataFrame, keys: list[str], pattern: str, text: str = "text") -> DataFrame:
+    """``keys, n_foreign, first_line`` of texts with letters of a class (look-alikes of other scripts, say)."""
+    rows = docs.select(*keys, F.col(text).alias("t"), F.regexp_count(text, F.lit(pattern)).alias("n_foreign")).where("n_foreign > 0")
     before = F.substring(F.col("t"), F.lit(1), F.regexp_instr("t", F.lit(pattern)) - 1)
-    return rows.select(key, "n_foreign", (F.regexp_count(before, F.lit("\n")) + 1).alias("first_line"))
+    return rows.select(*keys, "n_foreign", (F.regexp_count(before, F.lit("\n")) + 1).alias("first_line"))
 
 
 def shadowing_modules(files: DataFrame, modules: list[str], sensitive: list[str]) -> DataFrame:

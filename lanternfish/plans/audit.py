@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,17 @@ from lanternfish.functions.normalize import clean_hash, clean_path
 from lanternfish.operators import capabilities as C
 from lanternfish.operators import integrity as I
 from lanternfish.operators import lines as L
-from lanternfish.operators import pyast as A
-from lanternfish.sources.config import config_entries
 from lanternfish.sources.storage import cut, spread, table
 from lanternfish.streaming.sessions import session_envelopes
 
-IGNORED = ["tests", "*.toml", "node_modules", ".git"]
-STDLIB = ["index", "queue", "token", "json", "types", "select", "signal", "cursor", "policy", "profile", "record", "archive", "code", "secrets"]
-SENSITIVE_STDLIB = ["json", "types", "secrets", "code"]
-FOREIGN = "[À-ÿ]"
+#: Modules of the standard library, by the interpreter that runs the driver.
+STDLIB = sorted(m for m in sys.stdlib_module_names if not m.startswith("_"))
+# Library modules that are dangerous to shadow.
+SENSITIVE_STDLIB = (
+    "os sys subprocess signal shutil platform posix pty runpy socket http urllib ftplib smtplib telnetlib xmlrpc socketserver ssl imaplib poplib pickle marshal shelve json xml "
+    "plistlib csv configparser sqlite3 hashlib hmac secrets random inspect code codeop gc dis ast compileall threading multiprocessing concurrent asyncio io tempfile glob zipfile tarfile "
+    "pathlib ctypes importlib builtins abc email logging re string base64 binascii struct collections functools operator itertools copy types traceback warnings atexit"
+).split()
 CLAIM = "([a-z]+:[a-z]+)"
 QUIET = ["system", "crypto", "concurrency"]
 #: (text, advice): the first text found in a finding's pattern or message, in lower case, gives its advice.
@@ -33,11 +37,6 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return L.with_suffix(table(spark, d, "source_files"))
 
 
-def _python(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the syntax trees of all Python files."""
-    return A.syntax_rows(spread(_files(spark, d).where("suffix = '.py'").select("file_id", "text")))
-
-
 def _lines(spark: SparkSession, d: str, *suffixes: str) -> DataFrame:
     files = _files(spark, d)
     if suffixes:
@@ -68,7 +67,7 @@ def file_routes(spark: SparkSession, d: str) -> DataFrame:
 
 def files_kept(spark: SparkSession, d: str) -> DataFrame:
     """Files per package that no ignore pattern hides."""
-    kept = L.not_ignored(table(spark, d, "source_files").select("package_id", "path"), IGNORED)
+    kept = L.not_ignored(table(spark, d, "source_files").select("package_id", "path"), R.IGNORED)
     return kept.groupBy("package_id").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"))
 
 
@@ -83,41 +82,50 @@ def main_file(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy("package_id").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 
+def _code(spark: SparkSession, d: str, language: str) -> DataFrame:
+    """Lines of the files of one language without comments."""
+    files = _files(spark, d).where(L.language(F.col("suffix")) == language)
+    return L.code_lines(files, "file_id")
+
+
+def _prohibited(spark: SparkSession, d: str, language: str) -> DataFrame:
+    return L.every_match(_code(spark, d, language), R.PROHIBITED[language]).select("file_id", "line", "rule_id", "severity", "category", "action")
+
+
+def _capabilities(spark: SparkSession, d: str, language: str) -> DataFrame:
+    found = L.once_per_file(L.first_matches(_code(spark, d, language), R.SCANS[language]), "file_id")
+    return found.select("file_id", "claim", "line", "rule_id", "severity", "category", "action", "scope")
+
+
 def shell_prohibited(spark: SparkSession, d: str) -> DataFrame:
     """Every match of a prohibited pattern in shell code."""
-    code = _lines(spark, d, ".sh").withColumn("text", L.shell_code(F.col("text")))
-    return L.every_match(code, R.SHELL_PROHIBITED).select("file_id", "line", "rule_id", "severity", "category", "action")
+    return _prohibited(spark, d, "shell")
 
 
 def shell_capabilities(spark: SparkSession, d: str) -> DataFrame:
     """First match of each table per line, then one finding per file and capability or command."""
-    code = _lines(spark, d, ".sh").withColumn("text", L.shell_code(F.col("text")))
-    return L.once_per_file(L.first_matches(code, R.SCANS[".sh"]), "file_id").drop("rule_ord")
+    return _capabilities(spark, d, "shell")
 
 
 def js_prohibited(spark: SparkSession, d: str) -> DataFrame:
     """Every match of a prohibited pattern in JavaScript."""
-    return L.every_match(_lines(spark, d, ".js"), R.JS_PROHIBITED).select("file_id", "line", "rule_id", "severity", "category", "action")
+    return _prohibited(spark, d, "javascript")
 
 
 def js_capabilities(spark: SparkSession, d: str) -> DataFrame:
-    """Capabilities of JavaScript files, block comments left out."""
-    files = _files(spark, d).where("suffix = '.js'").withColumn("text", F.regexp_replace("text", r"/\*[^*]*\*+([^/*][^*]*\*+)*/", ""))
-    return L.once_per_file(L.first_matches(L.lines_of(files, "file_id"), R.SCANS[".js"]), "file_id").drop("rule_ord")
+    """Capabilities of JavaScript files with the address or path they name."""
+    return _capabilities(spark, d, "javascript")
 
 
 def python_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Pattern rules on Python lines: one per rule and line."""
-    return L.every_match(_lines(spark, d, ".py"), R.PY_RULES).select("file_id", "line", "rule_id", "severity", "category", "action")
+    return L.every_match(_code(spark, d, "python"), R.PY_RULES).select("file_id", "line", "rule_id", "severity", "category", "action")
 
 
 def pattern_totals(spark: SparkSession, d: str) -> DataFrame:
-    """All scanners put together: findings, files and packages per rule."""
-    parts = []
-    for suffix, tables in R.SCANS.items():
-        rows = _files(spark, d).where(F.col("suffix") == suffix)
-        parts.append(L.every_match(L.lines_of(rows, "file_id", "package_id"), [r for t in tables for r in t]).select("file_id", "package_id", "rule_id"))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """All scanners put together in one pass over the texts: findings, files and packages per rule."""
+    rules = {k: [r for t in [*tables, R.PROHIBITED.get(k, [])] for r in t] for k, tables in R.SCANS.items()}
+    every = L.every_match_by_language(L.code_lines(_files(spark, d), "file_id", "package_id"), rules).select("file_id", "package_id", "rule_id")
     return every.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("file_id").alias("n_files"), F.countDistinct("package_id").alias("n_packages"))
 
 
@@ -144,25 +152,31 @@ def config_detections(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("package_id", "path", "detector", claim.alias("claim")).agg(F.min("key_path").alias("key_path"), F.count(F.lit(1)).alias("n"))
 
 
-def config_parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Settings flattened from the files themselves."""
-    return config_entries(table(spark, d, "source_files")).distinct()
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return L.text_files(_files(spark, d), R.BINARY_SUFFIXES)
 
 
 def hidden_characters(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with zero-width or direction marks."""
-    return L.hidden_characters(table(spark, d, "documents"), "doc_id").withColumn("codes", F.concat_ws(",", "codes"))
+    """Documents and text files with characters of no width."""
+    both = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    both = both.unionByName(_texts(spark, d).select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), "text"))
+    return L.hidden_characters(both, ["kind", "id"]).withColumn("codes", F.concat_ws(",", "codes"))
 
 
 def foreign_letters(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with accented letters: how many, and the line of the first."""
-    return L.foreign_letters(table(spark, d, "documents"), "doc_id", FOREIGN)
+    """Source files with letters of other scripts that look like Latin ones: how many, and the line of the first."""
+    return L.foreign_letters(_files(spark, d).where(F.lower("suffix").isin(*R.SOURCE_SUFFIXES)), ["file_id"], R.LOOK_ALIKES)
 
 
 def persuasion(spark: SparkSession, d: str) -> DataFrame:
-    """Persuasive lines of documents: a rule once a document, a line for one rule."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return L.greedy_once(L.lines_of(docs, "doc_id"), R.PERSUASION, "doc_id")
+    """Persuasive lines of text files: a rule once a file, a line for one rule."""
+    return L.greedy_once(L.lines_of(_texts(spark, d), "file_id"), R.PERSUASION, "file_id").select("file_id", "line", "rule_id", "severity")
+
+
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files and characters that text scanners see, by suffix in lower case."""
+    kept = _texts(spark, d).select(F.lower("suffix").alias("suffix"), F.length("text").alias("n"))
+    return kept.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 def shadowing_modules(spark: SparkSession, d: str) -> DataFrame:
@@ -249,11 +263,22 @@ def claimed_and_used(spark: SparkSession, d: str) -> DataFrame:
     """Capabilities that a package's documents name against those its findings show."""
     docs = table(spark, d, "documents").where("package_id IS NOT NULL")
     claimed = docs.select("package_id", F.explode(F.regexp_extract_all("text", F.lit(CLAIM), F.lit(1))).alias("cap"))
+    claimed = C.known_capabilities(claimed, "cap", R.CATEGORIES, R.ACTIONS)
     used = _caps(spark, d).select("package_id", C.cap().alias("cap"))
     return C.set_difference(claimed, used, ["package_id", "cap"])
 
 
-MENTIONS = {"path": "`([a-z_/0-9]+[.](?:py|js|sh|json|yaml|toml|md|txt))`", "rule": "rule ([a-z]+-[a-z]+-[0-9]+)", "version": "([0-9]+[.][0-9]+[.][0-9]+)"}
+# Names of common tools and technologies that texts speak of.
+TOOLS = "docker kubernetes terraform ansible git curl wget ssh rsync jq npm pip cargo make bash python node java postgres mysql redis kafka spark airflow nginx"
+#: What texts name, by the first group of a pattern.
+MENTIONS = {
+    "path": r"((?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_-]+[.](?:py|js|ts|sh|json|yaml|yml|toml|md|txt|cfg|ini))\b",
+    "version": r"\b(\d+[.]\d+[.]\d+)\b",
+    "variable": r"\$\{?([A-Z][A-Z0-9_]{2,})",
+    "tool": r"\b(" + "|".join(TOOLS.split()) + r")\b",
+    "url": r"(https?://[A-Za-z0-9./_-]+)",
+    "head": r"(?m)^#{1,6} (\S[^\r\n]*)$",
+}
 
 
 def document_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -272,9 +297,16 @@ def ghost_files(spark: SparkSession, d: str) -> DataFrame:
     """Files that findings name and that exist neither by path nor by name in the package."""
     have = table(spark, d, "source_files").select("package_id", clean_path(F.col("path")).alias("path"))
     named = _findings(spark, d, "package_id", "file").where("package_id IS NOT NULL AND file IS NOT NULL").select("package_id", clean_path(F.col("file")).alias("path")).distinct()
-    base = F.element_at(F.split("path", "/"), -1)
-    by_name = have.select("package_id", base.alias("name")).distinct()
-    return named.join(have.distinct(), ["package_id", "path"], "left_anti").withColumn("name", base).join(by_name, ["package_id", "name"], "left_anti").select("package_id", "path")
+    return C.absent_paths(named, have.distinct())
+
+
+def ghost_references(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that a package's documents name and that its files have neither by path nor by name."""
+    docs = table(spark, d, "documents").where("package_id IS NOT NULL AND text IS NOT NULL")
+    named = docs.select("package_id", F.explode(F.regexp_extract_all("text", F.lit(MENTIONS["path"]), F.lit(1))).alias("path"))
+    named = named.select("package_id", F.ltrim("path", F.lit("./")).alias("path")).where("path <> ''").distinct()
+    have = table(spark, d, "source_files").select("package_id", F.ltrim(clean_path(F.col("path")), F.lit("./")).alias("path")).distinct()
+    return C.absent_paths(named, have)
 
 
 def keyword_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -357,47 +389,53 @@ def merkle_verified(spark: SparkSession, d: str) -> DataFrame:
     return I.verified(levels, I.proofs(levels, ["package_id"]), ["package_id"])
 
 
-def lock_verified(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves of the latest snapshot of each package against the texts there now, by status."""
-    leaves = table(spark, d, "merkle_leaves").where("path IS NOT NULL AND hash IS NOT NULL").select("package_id", "snapshot_no", clean_path(F.col("path")).alias("path"), clean_hash(F.col("hash")).alias("hash"))
+def _locked(spark: SparkSession, d: str) -> DataFrame:
+    """``package_id, path, hash`` of the last snapshot of each package; of several deliveries of a path the latest counts."""
+    leaves = table(spark, d, "merkle_leaves").where("path IS NOT NULL AND hash IS NOT NULL")
+    leaves = leaves.select("package_id", "snapshot_no", clean_path(F.col("path")).alias("path"), clean_hash(F.col("hash")).alias("hash"), "received_at", "idx")
     last = leaves.groupBy("package_id").agg(F.max("snapshot_no").alias("snapshot_no"))
-    locked = leaves.join(last, ["package_id", "snapshot_no"], "left_semi").select("package_id", "path", "hash").distinct()
-    now = table(spark, d, "source_files").where("text IS NOT NULL").select("package_id", clean_path(F.col("path")).alias("path"), F.substring(I.text_hash(F.col("text")), 8, 64).alias("hash"))
-    return I.compared_files(locked, now).groupBy("package_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    rows = leaves.join(last, ["package_id", "snapshot_no"], "left_semi")
+    return rows.groupBy("package_id", "path").agg(F.max_by("hash", F.struct("received_at", "idx", "hash")).alias("hash"))
 
 
-def escaping_scopes(spark: SparkSession, d: str) -> DataFrame:
-    """File scopes that leave the package."""
-    values = C.scope_elements(_caps(spark, d).where("category = 'fs'")).select("package_id", "value").distinct()
-    return values.select("package_id", "value", I.path_escapes(F.col("value")).alias("escapes"))
+def _now(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_files").where("text IS NOT NULL").select("package_id", clean_path(F.col("path")).alias("path"), F.substring(I.text_hash(F.col("text")), 8, 64).alias("hash"))
 
 
-def python_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Calls of Python files with their capability and scope."""
-    return A.call_capabilities(spark, _python(spark, d))
+def lock_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of the last lock of each package against the texts there now, by status, and whether the roots agree."""
+    compared = cut(I.compared_files(_locked(spark, d), _now(spark, d)), "compared")
+    counts = compared.groupBy("package_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(I.root_matches(compared).select("package_id", "root_ok"), "package_id")
 
 
-def python_imports(spark: SparkSession, d: str) -> DataFrame:
-    """Imports of listed modules."""
-    return A.import_capabilities(spark, _python(spark, d))
+def locks(spark: SparkSession, d: str) -> DataFrame:
+    """The lock of each package as canonical JSON: number of files and root over their normalised texts."""
+    tops = I.roots(_tree(spark, d), ["package_id"])
+    return tops.select("package_id", I.lock_text(F.col("package_id"), F.col("n_leaves"), F.col("root")).alias("lock"))
 
 
-def python_flows(spark: SparkSession, d: str) -> DataFrame:
-    """Input from outside that reaches a command, address or path."""
-    return A.tainted_sinks(spark, _python(spark, d))
+def file_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Single files against their package's lock: the main file of each, by its leaf and its proof."""
+    leaves = cut(I.numbered(_locked(spark, d), ["package_id"], F.split("path", "/")), "leaves")
+    wanted = main_file(spark, d).select("package_id", clean_path(F.col("path")).alias("path"))
+    return I.verified_files(leaves, _now(spark, d), wanted)
 
 
-def python_complexity(spark: SparkSession, d: str) -> DataFrame:
-    """Functions with their cyclomatic complexity."""
-    rows = _python(spark, d).where("kind = 'function'")
-    return rows.select("file_id", "line", F.col("name").alias("function"), F.col("number").alias("complexity"))
+def escaping_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """File scopes that leave the package."""
+    values = C.scope_elements(_caps(spark, d).where("category = 'fs'")).select("package_id", "value").distinct()
+    return values.select("package_id", "value", I.path_escapes(F.col("value")).alias("escapes"))
 
 
 def package_reports(spark: SparkSession, d: str) -> DataFrame:
-    """One canonical JSON text per package, keys in order."""
+    """One canonical JSON text per package, keys in order: counts, and its five files with most findings."""
     f = _findings(spark, d, "package_id", "severity", "file").where("package_id IS NOT NULL")
-    n = f.groupBy("package_id").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "prohibited").alias("prohibited"), F.count_distinct("file").alias("files"))
-    return n.select("package_id", F.to_json(F.struct("files", "findings", "package_id", "prohibited")).alias("report"))
+    n = f.groupBy("package_id").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "prohibited").alias("prohibited"), F.count_if(F.col("severity") == "restricted").alias("restricted"))
+    top = top_files(spark, d).where("file IS NOT NULL").groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file", "n"))).alias("top"))
+    listed = F.transform(F.coalesce("top", F.array().cast("array<struct<rank:int,file:string,n:bigint>>")), lambda x: F.struct(x["file"].alias("file"), x["n"].alias("findings")))
+    counts = F.struct("files", "findings", "prohibited", "restricted").alias("counts")
+    return n.join(top, "package_id", "left").select("package_id", F.to_json(F.struct(counts, "package_id", listed.alias("top_files"))).alias("report"))
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -413,8 +451,8 @@ def severity_cube(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = [
     "line_counts", "file_routes", "files_kept", "main_file", "shell_prohibited", "shell_capabilities", "js_prohibited", "js_capabilities", "python_patterns", "pattern_totals",
-    "config_detections", "config_parsed", "hidden_characters", "foreign_letters", "persuasion", "shadowing_modules", "deduplicated_findings", "capability_set", "capability_map",
+    "config_detections", "hidden_characters", "text_files", "foreign_letters", "persuasion", "shadowing_modules", "deduplicated_findings", "capability_set", "capability_map",
     "visible_map", "binary_classes", "combinations", "path_violations", "policy_decisions", "static_risk", "plain_risk", "unresolved_scopes", "quality_score", "unexpected_categories",
     "claimed_and_used", "document_mentions", "documentation_scores", "ghost_files", "keyword_classes", "top_findings", "top_files", "advice", "weaknesses", "gates", "badges", "first_paths", "merkle_roots", "merkle_proofs",
-    "merkle_verified", "lock_verified", "escaping_scopes", "python_calls", "python_imports", "python_flows", "python_complexity", "package_reports", "sessions", "severity_cube",
+    "merkle_verified", "lock_verified", "locks", "file_verified", "ghost_references", "escaping_scopes", "package_reports", "sessions", "severity_cube",
 ]

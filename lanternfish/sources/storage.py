@@ -25,16 +25,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode
+    and an error on a cluster, whose machines don't share one."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lanternfish-")
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir() or at
     return at
 
 
+def write_lines(texts: DataFrame, path: str) -> None:
+    """Reports and locks, one text column, as lines of text files; the folder must not be there yet."""
+    texts.write.text(path, lineSep="\n")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: later plans start from the files, so a lost
     executor costs no recomputation. The files are removed when the driver's Python ends."""
