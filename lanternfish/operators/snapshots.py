@@ -17,15 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.sources.storage import cut
+from lanternfish.sources.storage import cut, looked_up
 
 #: Children of a node, and sub-ranges of the lowest nodes.
 FANOUT = 16
 #: Snapshots of up to this many rows form one node; larger ones are split into ranges of about this size.
 NODE_ROWS = 4096
-#: The table of groups with a large snapshot is broadcast up to this many rows; beyond it the rows meet it by salted keys.
-BROADCAST_ROWS = 100_000
-SALTS = 64
 NODE = ["g", "s", "bits", "node"]
 #: Span of snapshot numbers within which neighbours are looked up at once.
 BLOCK = 1024
@@ -73,12 +70,7 @@ def node_of(key_hash: Column, bits: Column) -> Column:
 
 def _with_bits(rows: DataFrame, large: DataFrame) -> DataFrame:
     """``g, s, k, v, at, idx`` with the bits of their group."""
-    if large.count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(large), "g", "left")
-    else:
-        # A group may hold a third of all rows: it is spread over SALTS tasks, and the table repeated for each.
-        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod("k", F.lit(SALTS)).cast("int")).join(salts, ["g", "salt"], "left").drop("salt")
+    joined = looked_up(rows, large, ["g"], "k")
     return joined.withColumn("bits", F.coalesce("bits", F.lit(0)))
 
 

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -43,14 +45,30 @@ def write_lines(texts: DataFrame, path: str) -> None:
     texts.write.text(path, lineSep="\n")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: later plans start from the files, so a lost
-    executor costs no recomputation. The files are removed when the driver's Python ends."""
+    executor costs no recomputation. schema: types to read it with where they are stored alike. The files are removed
+    when the driver's Python ends."""
     spark = df.sparkSession
     at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(at)
     _written.append((spark, at))
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(schema or df.schema).parquet(at)
+
+
+#: A table is broadcast up to this many narrow rows; beyond it :func:`looked_up` joins by salted keys.
+BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` left joined with a table of unique ``keys``, whatever share of the rows one key holds: a lookup while the
+    table is short, else each key's rows are spread over SALTS tasks by the hash of the column ``by``, and the table is
+    repeated for each."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, "left")
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], "left").drop("__salt")
 
 
 def release() -> None:

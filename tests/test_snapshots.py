@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions.normalize import clean_hash, clean_path
 from lanternfish.operators import snapshots as S
+from lanternfish.sources import storage
 
 LEAVES = "package_id string, snapshot_no int, idx long, path string, hash string, received_at timestamp_ntz, count long"
 
@@ -43,7 +44,7 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize(("width", "broadcast"), [(50, 100), (50, 0), (2, 100)])
 def test_large_snapshots_are_split(spark, monkeypatch, width, broadcast):
     monkeypatch.setattr(S, "NODE_ROWS", width)
-    monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     state, leaves, want = {}, [], set()
     for n in range(1, 5):
