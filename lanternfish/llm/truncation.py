@@ -23,14 +23,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lanternfish.sources.storage import cut as written
+from lanternfish.sources.storage import looked_up
 
 DIM = 1 << 15
 #: The first indices are kept for the counts that Spark joins to a text.
 RESERVED = 256
-#: At most about this many labelled rows are used for each fit.
+#: At most about this many labelled rows are used for each fit, in this many parts.
 SAMPLE_ROWS = 32_000
+FIT_PARTS = 2
 OMISSION = re.compile(r"(?:\s*(?:…|\.\.\.|\[\.\.\.\]|\[…\]))+$")
 DAMAGE = re.compile(r"(?:�|%[0-9A-Fa-f]{0,2}|&#?\w{0,6}|\\u?[0-9a-fA-F]{0,3}|Ã.?|â€?.?)+$")
 SENTENCE_END = re.compile(r"[.!?。][)\"'”»\]]*(?=\s|$)")
@@ -109,13 +112,12 @@ def describe(text: str) -> tuple[list[int], str, str]:
     flat = re.sub(r"\d+", "0", line.strip().lower())
     f = [
         f"c={cls}", f"cc={kind},{cls},{done}", f"m={marks}", f"mk={marks},{done},{kind}", f"k={kind},{prev_kind}", f"done={done}",
-        f"t={tok[:24]}", f"t2={tok2[:24]} {tok[:24]}", f"kt={kind},{tok[:24]}", f"sh={kind},{shape}", f"e3={t[-3:].lower()}", f"since={kind},{done},{min(since, 8)}",
-        f"w={kind},{min(len(words), 10)}", f"p={' '.join(words[:2]).lower()[:24]},{min(len(words), 12)},{done}", f"len={_bucket(len(t))},{kind}", f"tl={kind},{min(len(tok), 12)}", f"mt={marks},{tok[:24]}",
-        f"fl={' '.join(words[:2]).lower()[:24]}|{tok[:24]}|{min(len(words), 12)}",
+        f"t={tok}", f"t2={tok2} {tok}", f"kt={kind},{tok}", f"sh={kind},{shape}", f"e3={t[-3:].lower()}", f"since={kind},{done},{min(since, 8)}",
+        f"w={kind},{min(len(words), 10)}", f"p={' '.join(words[:2]).lower()},{min(len(words), 12)},{done}", f"len={_bucket(len(t))},{kind}", f"tl={kind},{min(len(tok), 12)}", f"mt={marks},{tok}",
+        f"fl={' '.join(words[:2]).lower()}|{tok}|{min(len(words), 12)}",
         f"open={line.count('(') > line.count(')')},{line.count('`') % 2},{kind}", f"q={line.count(chr(34)) % 2},{kind}", f"fenced={fenced and kind != 'close'},{cls}",
+        f"l={flat}", f"pl={re.sub(r'[0-9]+', '0', prev.lower())}|{flat}",
     ]
-    if len(flat) <= 48:
-        f += [f"l={flat}", f"pl={re.sub(r'[0-9]+', '0', prev.lower())[:24]}|{flat}"]
     if kind == "table":
         f.append(f"tb={line.count('|') - prev.count('|')},{cls}")
     if m := re.search(r"(?:^|:)([0-9a-f]+)$", last):
@@ -165,24 +167,24 @@ def whole_prefix(text: str, seed: int) -> str | None:
     return None
 
 
-_FEATURED = "doc_id bigint, source string, label int, limit int, hashed array<int>, tok string, tok2 string"
+_FEATURED = "doc_id bigint, source string, label int, n int, hashed array<int>, tok string, tok2 string"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
-    names = ["doc_id", "source", "label", "limit", "hashed", "tok", "tok2"]
+    names = ["doc_id", "source", "label", "n", "hashed", "tok", "tok2"]
     columns = list(zip(*rows)) if rows else [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, sources, texts, limits = (b.column(i).to_pylist() for i in range(4))
-        yield _batch([(i, s, 0, n, *describe(t)) for i, s, t, n in zip(ids, sources, texts, limits)])
+        ids, sources, texts = (b.column(i).to_pylist() for i in range(3))
+        yield _batch([(i, s, 0, len(t), *describe(t)) for i, s, t in zip(ids, sources, texts)])
 
 
 def _cutter(times: int, piles: list[tuple[str, int]]):
-    """Makes 2 * times cuts and up to times whole prefixes of each text; limit is their length.
+    """Makes 2 * times cuts and up to times whole prefixes of each text; n is their length.
 
     piles: (source, length) of texts whose length piles up. Every other cut is made at such a length where the text is
     long enough, and has that source.
@@ -215,21 +217,19 @@ def _cutter(times: int, piles: list[tuple[str, int]]):
     return run
 
 
-def line_end_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Over all texts, how often a token (and a pair of tokens) occurs and ends a line that isn't the last one."""
+def line_end_counts(docs: DataFrame) -> DataFrame:
+    """``tok, tok2, n, e``: over all texts, how often a token follows another in a line, and how often it then ends a line
+    that isn't the last one."""
     lines = docs.select(F.split(F.rtrim("text"), "\\r\\n|\\n|\\r").alias("ls")).select(F.posexplode("ls").alias("at", "line"), F.size("ls").alias("n"))
     plain = F.trim(F.regexp_replace(F.lower("line"), r"[0-9]+", "0"))
-    words = lines.select(F.split(plain, r"\s+").alias("ws"), (F.col("at") == F.col("n") - 1).alias("final")).where("ws[0] <> ''")
-    form = lambda w: F.trim(w, F.lit(".,;:!?()[]\"'`*…"))
-    forms = words.select(F.transform("ws", form).alias("ws"), "final")
+    words = lines.where("trim(line) <> ''").select(F.split(plain, r"\s+").alias("ws"), (F.col("at") == F.col("n") - 1).alias("final"))
     before = F.concat(F.array(F.lit("")), F.slice("ws", 1, F.size("ws") - 1))
-    flat = forms.select("final", F.size("ws").alias("n"), F.posexplode(F.arrays_zip(F.col("ws").alias("tok"), before.alias("tok2"))).alias("i", "p"))
-    flat = flat.select("final", (F.col("i") == F.col("n") - 1).alias("ends"), "p.tok", "p.tok2")
-    flat = flat.where(~(F.col("ends") & F.col("final")))
-    two = flat.groupBy("tok", "tok2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ends").cast("int")).alias("e"))
-    two = written(two, "pairs")
-    one = two.groupBy("tok").agg(F.sum("n").alias("n1"), F.sum("e").alias("e1"))
-    return one, two.select("tok", "tok2", F.col("n").alias("n2"), F.col("e").alias("e2"))
+    flat = words.select("final", F.size("ws").alias("n"), F.posexplode(F.arrays_zip(F.col("ws").alias("tok"), before.alias("tok2"))).alias("i", "p"))
+    flat = flat.select("final", (F.col("i") == F.col("n") - 1).alias("ends"), "p.tok", "p.tok2").where("NOT (ends AND final)")
+    # Counted as they are written, then once more by their form: a spelling is brought to its form once.
+    raw = flat.groupBy("tok", "tok2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ends").cast("int")).alias("e"))
+    form = lambda c: F.trim(c, F.lit(".,;:!?()[]\"'`*…")).alias(c)
+    return raw.select(form("tok"), form("tok2"), "n", "e").groupBy("tok", "tok2").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
 def limits(docs: DataFrame) -> DataFrame:
@@ -248,15 +248,16 @@ def _share(base: int, n: Column, e: Column) -> Column:
     return F.when(n.isNull() | (n == 0), F.lit(base)).otherwise(F.lit(base + 1) + size * 8 + part)
 
 
-def _indexed(rows: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
-    joined = rows.join(one, "tok", "left").join(two, ["tok", "tok2"], "left")
-    own = F.array(_share(0, F.col("n1"), F.col("e1")), _share(80, F.col("n2"), F.col("e2")), F.lit(160) + F.col("limit"))
-    return joined.select("doc_id", "source", "label", F.concat(own, "hashed").alias("features"))
-
+def _indexed(rows: DataFrame, one: DataFrame, two: DataFrame, lim: DataFrame) -> DataFrame:
+    """Rows with the indices of their counts and of how far their length piles up in their source.
 
-def _with_limits(rows: DataFrame, lim: DataFrame) -> DataFrame:
-    """Made rows, whose limit is their length, with the bucket of that length in their source."""
-    return rows.withColumnRenamed("limit", "n").join(lim, ["source", "n"], "left").withColumn("limit", F.coalesce("limit", F.lit(0)))
+    Counts meet the distinct pairs of last tokens, not the rows, of which one pair or length may hold a large share.
+    """
+    pairs = rows.select("tok", "tok2").distinct().join(one, "tok", "left").join(two, ["tok", "tok2"], "left")
+    pairs = written(pairs.select("tok", "tok2", _share(0, F.col("n1"), F.col("e1")).alias("i1"), _share(80, F.col("n2"), F.col("e2")).alias("i2")), "lookup")
+    joined = looked_up(looked_up(rows, pairs, ["tok", "tok2"], "doc_id"), lim, ["source", "n"], "doc_id")
+    own = F.array("i1", "i2", F.lit(160) + F.coalesce("limit", F.lit(0)))
+    return joined.select("doc_id", "source", "label", "n", F.concat(own, "hashed").alias("features"))
 
 
 def _piled() -> Column:
@@ -269,10 +270,8 @@ def _fit(rows: DataFrame, piled: dict[int, float] | None = None) -> tuple[np.nda
     piled: what share of the rows of each label is to have a length that piles up; without it lengths are left out.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
-    dim = DIM
-    vector = F.udf(lambda ix: Vectors.sparse(dim, sorted(set(ix)), [1.0] * len(set(ix))), VectorUDT())
     weight = F.lit(1.0)
     if piled is None:
         rows = rows.withColumn("features", F.filter("features", lambda x: ~x.between(160, 169)))
@@ -282,7 +281,12 @@ def _fit(rows: DataFrame, piled: dict[int, float] | None = None) -> tuple[np.nda
             if (label, not at) in counts:
                 share = piled[label] if at else 1 - piled[label]
                 weight = F.when((F.col("label") == label) & (_piled() == at), share * (n + counts[label, not at]) / n).otherwise(weight)
-    train = written(rows.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), vector("features").alias("features")), "train")
+    # A sparse vector as it is stored, read back as one.
+    places = F.array_sort(F.array_distinct("features"))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(DIM).alias("size"), places.alias("indices"), F.array_repeat(F.lit(1.0), F.size(places)).alias("values"))
+    schema = StructType([StructField("label", DoubleType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])
+    stored = rows.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), vector.alias("features"))
+    train = written(stored.coalesce(FIT_PARTS), "train", schema)
     model = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False, weightCol="weight").fit(train)
     return model.coefficients.toArray(), float(model.intercept)
 
@@ -305,11 +309,11 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     and texts that end with one of their inner lines.
     """
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", normal_source(F.col("source")).alias("source"), "text")
-    one, two = line_end_counts(docs)
-    one = written(one, "tokens")
+    two = written(line_end_counts(docs), "pairs")
+    one = two.groupBy("tok").agg(F.sum("n").alias("n1"), F.sum("e").alias("e1"))
+    two = two.select("tok", "tok2", F.col("n").alias("n2"), F.col("e").alias("e2"))
     lim = written(limits(docs), "limits")
-    withlim = docs.withColumn("n", F.length("text")).join(lim, ["source", "n"]).select("doc_id", "source", "text", "limit")
-    whole = written(_indexed(withlim.mapInArrow(_plain, _FEATURED), one, two), "ends")
+    whole = written(_indexed(written(docs.mapInArrow(_plain, _FEATURED), "described"), one, two, lim), "ends")
     n = whole.count()
     if not n:
         return whole.select("doc_id", "source", F.lit(0.0).alias("score"))
@@ -319,7 +323,7 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     times = max(1, min(4, int(sample_rows / 4 / n)))
 
     def made(piles: list[tuple[str, int]]) -> DataFrame:
-        return written(_indexed(_with_limits(picked.mapInArrow(_cutter(times, piles), _FEATURED), lim), one, two), "cuts")
+        return written(_indexed(written(picked.mapInArrow(_cutter(times, piles), _FEATURED), "made"), one, two, lim), "cuts")
 
     plain = whole.join(picked.select("doc_id"), "doc_id", "left_semi")
     first = written(_scored(whole, _fit(plain.unionByName(made([])))), "first")

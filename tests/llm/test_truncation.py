@@ -55,6 +55,18 @@ def test_made_rows_have_the_bucket_of_their_length(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     lim = spark.createDataFrame([("feed", 80, 5), ("feed", 120, 3)], "source string, n int, limit int")
     made = df.mapInArrow(T._cutter(2, [("feed", 80), ("feed", 120)]), T._FEATURED)
-    got = {(x.label, x.n, x.limit) for x in T._with_limits(made, lim).collect()}
-    assert all(limit == {80: 5, 120: 3}.get(n, 0) for _, n, limit in got)
-    assert {limit for label, _, limit in got if label == 1} == {0, 3, 5} and {label for label, *_ in got} == {0, 1}
+    none = [spark.createDataFrame([], c) for c in ("tok string, n1 long, e1 long", "tok string, tok2 string, n2 long, e2 long")]
+    places = [(x.label, x.n, [f - 160 for f in x.features if 160 <= f < 170]) for x in T._indexed(made, *none, lim).collect()]
+    assert all(bucket == [{80: 5, 120: 3}.get(n, 0)] for _, n, bucket in places)
+    assert {b[0] for label, _, b in places if label == 1} == {0, 3, 5} and {label for label, *_ in places} == {0, 1}
+
+
+def test_counts_of_line_ends(spark):
+    df = spark.createDataFrame([(1, "A b, c\nb c\n\nx 12\nlast C"), (2, None), (3, "")], "doc_id long, text string")
+    got = {(x.tok2, x.tok): (x.n, x.e) for x in T.line_end_counts(df).collect()}
+    assert got == {("", "a"): (1, 0), ("a", "b"): (1, 0), ("b", "c"): (2, 2), ("", "b"): (1, 0), ("", "x"): (1, 0), ("x", "0"): (1, 1), ("", "last"): (1, 0)}
+
+
+def test_long_lines_keep_all_their_features():
+    one, two = ("word " * 40 + x + " the end of the lin" for x in ("alpha", "beta"))
+    assert T.describe(one)[0] != T.describe(two)[0]
