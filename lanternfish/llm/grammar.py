@@ -122,9 +122,9 @@ array: '[' (value (',A' value)*)? ']'
 TOML = """
 doc: line? (NL line?)*
 line: '[H' key ']H' | pair
-key: K ('.' K)*
+key: K ('.K' K)*
 pair: key '=' value
-value: STR | NUM | LIT | list | table
+value: STR | STR3 | NUM | LIT | list | table
 list: '[' NL* (value NL* (',A' NL* value NL*)* (',A' NL*)?)? ']'
 table: '{' (pair (',O' pair)*)? '}'
 """
@@ -142,13 +142,24 @@ YAML_PAIRS = {
 }
 
 
+#: A flow collection of YAML.
+YAML_FLOW = """
+flow: list | map
+list: 'f[' (entry ('f,' entry)* 'f,'?)? 'f]'
+map: 'f{' (entry ('f,' entry)* 'f,'?)? 'f}'
+entry: node ('f:' node?)? | 'f:' node?
+node: fS | fS? list | fS? map
+"""
+
+
 def yaml_pairs() -> set[tuple[str, str]]:
-    """Pairs of adjacent lines; the earlier line's place doesn't matter."""
-    out = set()
+    """Pairs of adjacent lines, where the earlier line's place doesn't matter, and of tokens in flow collections."""
+    out = {(a + "F" if a == "^" else a, b + "F" if b == "$" else b) for a, b in permitted(YAML_FLOW, "flow")}
     for a, follows in YAML_PAIRS.items():
         for form in (a, f">{a}", f"={a}", f"<{a}"):
             out |= {(form, b) for b in follows}
-    return out
+    # A scalar that deeper lines carry on leaves the level as it was.
+    return out | {(">PLAIN", b) for b in ("=KEY", "=KV", "=DASH", "=ITEM")}
 
 
 PYTHON = """
@@ -157,19 +168,19 @@ statement: simple (';' simple)* ';'? NL | compound
 compound: decorator* (asy? (define | classdef | for | with)) | if | while | try | match
 asy: 'async'
 decorator: '@' expr NL
-define: 'def' NAME typeparams? '(' params? ')' ('->' expr)? ':' block
-classdef: 'class' NAME typeparams? ('(' args? ')')? ':' block
+define: 'def' NAME typeparams? '(' params? ')' ('->' expr)? 'B:' block
+classdef: 'class' NAME typeparams? ('(' args? ')')? 'B:' block
 typeparams: '[' NAME (':' expr)? (',' NAME)* ']'
-for: 'for' exprs 'in' exprs ':' block else?
-with: 'with' (expr ('as' expr)?) (',' expr ('as' expr)?)* ':' block
-if: 'if' named ':' block ('elif' named ':' block)* else?
-else: 'else' ':' block
-while: 'while' named ':' block else?
-try: 'try' ':' block ('except' '*'? (exprs ('as' NAME)?)? ':' block)* else? ('finally' ':' block)?
-match: MATCH exprs ':' NL case+
-case: CASE pattern ('if' named)? ':' block
+for: 'for' exprs 'in' exprs 'B:' block else?
+with: 'with' (expr ('as' expr)?) (',' expr ('as' expr)?)* 'B:' block
+if: 'if' named 'B:' block ('elif' named 'B:' block)* else?
+else: 'else' 'B:' block
+while: 'while' named 'B:' block else?
+try: 'try' 'B:' block ('except' '*'? (expr ('as' NAME)?)? 'B:' block)* else? ('finally' 'B:' block)?
+match: MATCH exprs 'B:' 'NL:' IN case+
+case: CASE pattern ('if' named)? 'B:' block
 pattern: exprs | expr 'as' NAME | expr '|' expr
-block: simple (';' simple)* NL | NL statement
+block: simple (';' simple)* NL | 'NL:' IN statement
 simple: exprs | assign | 'return' exprs? | 'raise' (expr ('from' expr)?)? | 'pass' | 'break' | 'continue' | 'del' exprs | 'assert' expr (',' expr)? | 'global' NAME (',' NAME)* | import | TYPE NAME typeparams? '=' expr
 assign: exprs ('=' exprs)+ | expr ':' expr ('=' exprs)? | exprs AUG exprs
 import: 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)* | 'from' ('.' | '...')* dotted? 'import' ('*' | '('? NAME ('as' NAME)? (',' NAME ('as' NAME)?)* ','? ')'?)
@@ -198,6 +209,11 @@ pair: expr ':' expr | '**' expr
 generator: ('async'? 'for' exprs 'in' or ('if' named)*)+
 """
 
+#: A line of Python by its first word (H opens a block, S is any other statement) and its end.
+PYTHON_LINE = """
+line: 'L:H' 'L::' | 'L:S' 'L:$'
+"""
+
 #: Statements of one block of Python, by their first word; s is any simple statement.
 PYTHON_BLOCK = """
 block: (s | if | loop | try | decorated | other | MATCH)+
@@ -249,10 +265,10 @@ arrow: 'async'? (params | ID) '=>' (block | assign)
 conditional: binary ('?' assign ':T' assign)?
 binary: unary (BIN unary | '+' unary | '*' unary | '/' unary | 'in' unary)*
 unary: (UN | '+' | 'await')* left '++'? | '++' left
-left: ('new' | 'super')? primary suffix*
-suffix: '.' ID | '[' expr ']' | '(' (arg (',' arg)* ','?)? ')' | TEMPLATE | template
+left: 'new'* primary suffix*
+suffix: ('.' | '?.') ID | '?.'? '[' expr ']' | '?.'? '(' (arg (',' arg)* ','?)? ')' | TEMPLATE | template
 arg: '...'? assign
-primary: ID | NUM | STR | REGEX | TEMPLATE | template | array | object | function | classdef | '(' expr ')' | 'import' | 'new' '.' ID
+primary: ID | NUM | STR | REGEX | TEMPLATE | template | array | object | function | classdef | '(' expr ')' | 'super' | 'import' | 'new' '.' ID
 template: '`' expr ('}`' expr)* '`}'
 array: '[' (','* ('...'? assign) (','+ '...'? assign)* ','*)? ']'
 object: '{O' (property (',' property)* ','?)? '}O'

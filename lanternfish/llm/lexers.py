@@ -1,8 +1,10 @@
 """Lexers of six languages: adjacent pairs of token classes, and the bracket events of a text.
 
-Each lexer returns (pairs, nest): the distinct pairs of adjacent classes ("a b" joined by a tab; ``^`` starts and ``$``
-ends a text) and the bracket events in order, positive for an opening and negative for a closing one of a kind.
-A class that no grammar knows (``BAD``) makes its pairs impermissible.
+Each lexer returns (pairs, nest, keys): the distinct pairs of adjacent classes (``^`` starts and ``$`` ends a text), the
+events of nesting in order, positive for an opening and negative for a closing one of a kind, and names that a text may
+give once only. Lexers judge nothing: what they can't name is a token spelled as it stands, a quote that isn't closed is an
+opening event, a line at a depth where nothing is open closes what was never opened. Some classes tell places apart that
+a pair can't see (``,O`` in an object, ``;(`` in round brackets, ``return^`` outside functions).
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 import re
 
 # Kinds of brackets and of the sections of compound commands.
-ROUND, SQUARE, CURLY, THEN, COND, DO, LOOP, CASE_HEAD, CASE_BODY, INTERP = range(1, 11)
+ROUND, SQUARE, CURLY, THEN, COND, DO, LOOP, CASE_HEAD, CASE_BODY, INTERP, QUOTE, TERNARY, LAMBDA, TEST, PATTERN = range(1, 16)
+#: Levels of indentation are kinds from here on.
+LEVEL = 1000
 _OPEN = {"(": ROUND, "[": SQUARE, "{": CURLY}
 _CLOSE = {")": ROUND, "]": SQUARE, "}": CURLY}
 
@@ -18,26 +22,27 @@ _CLOSE = {")": ROUND, "]": SQUARE, "}": CURLY}
 class Trace:
     """Collects pairs and bracket events while a lexer runs."""
 
-    __slots__ = ("pairs", "nest", "prev")
+    __slots__ = ("pairs", "nest", "keys", "prev")
 
     def __init__(self) -> None:
         self.pairs: set[tuple[str, str]] = set()
         self.nest: list[int] = []
+        self.keys: list[str] = []
         self.prev = "^"
 
     def add(self, cls: str) -> None:
         self.pairs.add((self.prev, cls))
         self.prev = cls
 
-    def end(self) -> tuple[set[tuple[str, str]], list[int]]:
+    def end(self) -> tuple[set[tuple[str, str]], list[int], list[str]]:
         self.add("$")
-        return self.pairs, self.nest
+        return self.pairs, self.nest, self.keys
 
 
-_JSON = re.compile(r'[ \t\r\n]*(?:(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<lit>(?:true|false|null)(?!\w))|(?P<p>[\[\]{},:])|(?P<bad>[^ \t\r\n]))', re.S)
+_JSON = re.compile(r'[ \t\r\n]*(?:(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<lit>(?:true|false|null)(?!\w))|(?P<p>[\[\]{},:])|(?P<word>[\w.+-]+|//|/\*)|(?P<open>["\x27])|(?P<other>[^ \t\r\n]))', re.S)
 
 
-def json_tokens(text: str) -> tuple[set, list]:
+def json_tokens(text: str) -> tuple[set, list, list]:
     """JSON without extensions."""
     t, stack = Trace(), []
     for m in _JSON.finditer(text):
@@ -58,19 +63,39 @@ def json_tokens(text: str) -> tuple[set, list]:
             else:
                 t.add(c if c == ":" else ",O" if stack and stack[-1] == CURLY else ",A")
         else:
-            t.add({"num": "NUM", "lit": "LIT", "bad": "BAD"}[kind])
+            if kind == "open":
+                t.nest.append(QUOTE)
+            t.add({"num": "NUM", "lit": "LIT", "word": "WORD", "open": "STR"}.get(kind) or m[kind])
     return t.end()
 
 
+_ESCAPE = r'\\(?:["\\bfnrt]|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})'
 _TOML = re.compile(
-    r'[ \t]+|(?P<nl>\r?\n)|(?P<c>#[^\r\n]*)|(?P<str>"""(?:[^\\]|\\.)*?"""+|\'\'\'(?s:.*?)\'\'\'+|"(?:[^"\\\n]|\\.)*"|\'[^\'\n]*\')|(?P<p>[\[\]{},=])|(?P<w>[A-Za-z0-9_+\-:.]+(?:[ ](?=\d\d:)[\d:.]+)?)|(?P<bad>.)', re.S
+    r'[ \t]+|(?P<nl>\r?\n)|(?P<c>#[^\r\n\x00-\x08\x0b-\x1f\x7f]*)'
+    r'|(?P<str>"""(?:[^\\\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|' + _ESCAPE + r'|\\[ \t]*\r?\n)*?"""{1,3}(?!")|\'\'\'[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f]*?\'\'\'{1,3}(?!\')'
+    r'|"(?!"")(?:[^"\\\x00-\x08\x0a-\x1f\x7f]|' + _ESCAPE + r')*"|\'(?!\'\')[^\'\x00-\x08\x0a-\x1f\x7f]*\')'
+    r'|(?P<p>[\[\]{},=])|(?P<w>[A-Za-z0-9_+\-:.]+(?:[ ](?=\d\d:)[\dZz:.+-]+)?)|(?P<bad>.)', re.S
 )
-_TOML_VALUE = re.compile(r"[+-]?(?:inf|nan)|true|false|[+-]?\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|0x[0-9a-fA-F_]+|0o[0-7_]+|0b[01_]+|\d{4}-\d\d-\d\d(?:[Tt ][\d:.]+(?:[Zz]|[+-]\d\d:\d\d)?)?|\d\d:\d\d(?::[\d.]+)?")
+_DIGITS = r"\d(?:_?\d)*"
+_TIME = r"(?:[01]\d|2[0-3]):[0-5]\d:(?:[0-5]\d|60)(?:\.\d+)?"
+_TOML_VALUE = re.compile(
+    rf"[+-]?(?:inf|nan)|true|false|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.{_DIGITS})?(?:[eE][+-]?{_DIGITS})?|0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*"
+    rf"|\d{{4}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?:[Tt ]{_TIME}(?:[Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)?)?|{_TIME}"
+)
+
+
+def toml_tokens(text: str) -> tuple[set, list, list]:
+    """TOML 1.0; keys and headers are names that may be given once."""
+    t, stack, header, key, path = Trace(), [], False, True, ""
+    tables: dict[str, str] = {}  # of each array of tables its present one
 
+    def whole(names: list[str]) -> str:
+        at = ""
+        for n in names:
+            at = f"{at}.{n}" if at else n
+            at = tables.get(at, at)
+        return at
 
-def toml_tokens(text: str) -> tuple[set, list]:
-    """TOML 1.0; a key or header that comes twice is BAD."""
-    t, stack, header, key, path, seen = Trace(), [], False, True, "", set()
     line_key: list[str] = []
     for m in _TOML.finditer(text):
         kind = m.lastgroup
@@ -78,29 +103,28 @@ def toml_tokens(text: str) -> tuple[set, list]:
             continue
         v = m[0]
         if kind == "nl":
-            if stack and stack[-1] == CURLY:
-                t.add("BAD")
             if not stack:
                 key, line_key = True, []
-            t.add("NL")
+            t.add("NLO" if stack and stack[-1] == CURLY else "NL")
         elif kind == "p":
             if v == "[" and key and not stack and not header:
                 double = text.startswith("[[", m.start())
                 header = True
                 t.add("[H")
                 t.nest.append(SQUARE)
-                seen_mark = double
+                several = double
             elif v == "[" and header and t.prev == "[H":
                 t.nest.append(SQUARE)
             elif v == "]" and header:
                 t.nest.append(-SQUARE)
                 if t.prev != "]H":
-                    path = ".".join(line_key)
-                    if not seen_mark and ("H", path) in seen:
-                        t.add("BAD")
-                    seen.add(("H", path))
-                    if seen_mark:
-                        path += f"#{m.start()}"
+                    if several:
+                        outer = whole(line_key[:-1])
+                        name = f"{outer}.{line_key[-1]}" if outer else "".join(line_key[-1:])
+                        tables[name] = path = f"{name}#{m.start()}"
+                    else:
+                        path = whole(line_key)
+                    t.keys.append(path)
                     t.add("]H")
                 if not text.startswith("]", m.end()):
                     header = False
@@ -117,34 +141,31 @@ def toml_tokens(text: str) -> tuple[set, list]:
                 t.add(v)
             elif v == ",":
                 inner = stack and stack[-1] == CURLY
-                t.add(",O" if inner else ",A" if stack else "BAD")
+                t.add(",O" if inner else ",A" if stack else ",")
                 key = bool(inner)
             else:
-                if not stack:
-                    name = (path, ".".join(line_key))
-                    if name in seen:
-                        t.add("BAD")
-                    seen.add(name)
-                t.add("=" if key else "BAD")
+                if not stack and key:
+                    t.keys.append(".".join([path, *line_key] if path else line_key))
+                t.add("=")
                 key = False
         elif kind in ("str", "w") and key:
-            if kind == "str" and v.startswith(('"""', "'''")):
-                t.add("BAD")
             for i, part in enumerate([v.strip("\"'")] if kind == "str" else v.split(".")):
                 if i:
                     t.add(".K")
-                elif kind == "w" and v.startswith("."):
-                    t.add("BAD")
-                if not part or re.search(r"[+:]", part) and kind == "w":
-                    t.add("BAD")
-                t.add("K")
+                if kind == "str":
+                    t.add("STR3" if v.startswith(('"""', "'''")) else "K")
+                elif part:
+                    t.add("WORD" if re.search(r"[+:]", part) else "K")
                 line_key.append(part)
         elif kind == "str":
-            t.add("STR")
+            t.add("STR3" if v.startswith(('"""', "'''")) else "STR")
         elif kind == "w":
-            t.add("NUM" if _TOML_VALUE.fullmatch(v) else "BAD")
+            t.add("NUM" if _TOML_VALUE.fullmatch(v) else "WORD")
+        elif v in "\"'":
+            t.nest.append(QUOTE)
+            t.add("STR")
         else:
-            t.add("BAD")
+            t.add(v)
     return t.end()
 
 
@@ -152,78 +173,127 @@ _YKEY = re.compile(r"""(?P<k>"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#&*!|>'"%@`\[\
 _YSCALAR = re.compile(r"""\s*(?:(?:[&!][^\s]*)\s+)*(?:(?P<q>"(?:[^"\\]|\\.)*"|'(?:[^']|'')*')\s*(?:\s\#.*)?$|(?P<flow>[\[{])|(?P<block>[|>][+-]?\d?[+-]?)\s*(?:\#.*)?$|(?P<alias>\*[^\s]+)\s*(?:\#.*)?$|(?P<none>(?:[&!]\S*)?\s*(?:\#.*)?)$|(?P<plain>[^\s"'\[\]{}#&*!|>%@`,].*)$)""", re.S)
 
 
-def yaml_tokens(text: str) -> tuple[set, list]:
-    """One or more YAML documents, by lines."""
-    t, levels = Trace(), []  # levels: (indent, 'M' or 'S')
+_YQUOTED = re.compile(r"""(?:"(?:[^"\\]|\\.)*+"|'(?:[^']|'')*+')""")
+_YFLOW = re.compile(r"""(?P<q>"(?:[^"\\]|\\.)*"|'(?:[^']|'')*')|(?P<o>[\[{])|(?P<x>[\]}])|(?P<c>(?:^|\s)\#.*)|(?P<b>(?<![\w.)])["'])|(?P<m>,|:(?=[\s,\[\]{}]|$)|(?<=["'\]}]):)|(?P<w>\s+)|(?P<t>(?:[^\s,\[\]{}:\#"']|:(?![\s,\[\]{}]|$)|(?<!\s)[\#"'])+)""")
+
+
+def yaml_tokens(text: str) -> tuple[set, list, list]:
+    """One or more YAML documents, by lines; flow collections are a chain of tokens of their own."""
+    t = Trace()
+    levels: list[tuple[int, str]] = []  # (indent, 'M' or 'S')
     lines = re.split(r"\r\n|\n|\r", text)
-    i, block = 0, None
+    i, block, running = 0, None, False  # running: a plain scalar that deeper lines carry on
+
+    def code(level: tuple[int, str]) -> int:
+        return LEVEL + 2 * level[0] + (level[1] == "S")
+
+    def flow(at: int, rest: str) -> tuple[int, str]:
+        """Follows a flow collection over lines; its last line and what stands after it."""
+        stack, j, cur, prev = [], at, rest, "^F"
+
+        def put(cls: str) -> None:
+            nonlocal prev
+            if (prev, cls) != ("fS", "fS"):  # words of one scalar
+                t.pairs.add((prev, cls))
+            prev = cls
 
-    def flow(at: int, rest: str) -> tuple[int, bool]:
-        """Follows a flow collection over lines; (last line, well formed)."""
-        stack, j = [], at
-        cur = rest
         while True:
-            for m in re.finditer(r"""(?P<q>"(?:[^"\\]|\\.)*"|'(?:[^']|'')*')|(?P<o>[\[{])|(?P<x>[\]}])|(?P<c>\s\#.*)|(?P<b>["'])|.""", cur):
-                if not stack and m.start() > 0 and m.lastgroup != "o" and not m[0].isspace():
-                    if m.lastgroup == "c":
-                        break
-                    return j, False
-                if m.lastgroup == "o":
+            for m in _YFLOW.finditer(cur):
+                kind = m.lastgroup
+                if kind == "o":
                     stack.append(_OPEN[m[0]])
                     t.nest.append(_OPEN[m[0]])
-                elif m.lastgroup == "x":
+                    put("f" + m[0])
+                elif kind == "x":
                     t.nest.append(-_CLOSE[m[0]])
                     if stack:
                         stack.pop()
-                elif m.lastgroup == "c":
+                    put("f" + m[0])
+                    if not stack:
+                        put("$F")
+                        return j, cur[m.end() :]
+                elif kind == "c":
                     break
-                elif m.lastgroup == "b":
-                    return j, False
-            if not stack:
-                return j, True
+                elif kind == "b":  # a quote that isn't closed on this line
+                    q = m[0]
+                    close = re.compile(r'(?:[^"\\]|\\.)*+"' if q == '"' else r"(?:[^']|'')*+'")
+                    k = j + 1
+                    while k < len(lines) and not close.match(lines[k]):
+                        k += 1
+                    put("fS")
+                    if k == len(lines):
+                        t.nest.append(QUOTE)
+                        return k, ""
+                    j, cur = k - 1, lines[k]
+                    lines[k] = cur[close.match(cur).end() :]
+                    break
+                elif not stack:
+                    continue  # an anchor or a tag
+                elif kind == "m":
+                    put("f" + m[0])
+                elif kind != "w":
+                    put("fS")
             j += 1
             if j >= len(lines):
-                return j, False
+                return j, ""
             cur = lines[j]
 
-    def scalar(v: str) -> str:
-        """Kind of a value: none, value, block, flow or bad."""
+    def scalar(v: str) -> tuple[str, str]:
+        """Kind of a value (none, value, block, flow, quote or plain) and, where it holds a token too many, that token."""
         m = _YSCALAR.match(v)
         if not m:
-            return "quote" if re.match(r"""\s*["']""", v) else "bad"
+            bare = v.lstrip()
+            if bare[:1] in ("'", '"'):
+                whole = _YQUOTED.match(bare)
+                return ("value", "TEXT") if whole else ("quote", "")
+            return "plain", bare[:1] or "TEXT"
         if m["plain"] is not None:
             p = re.split(r"\s#", m["plain"])[0].rstrip()
-            if re.search(r":(\s|$)", p) or p[:2] in ("- ", "? ") or p == "-":
-                return "bad"
-            return "plain"
+            if re.search(r":(\s|$)", p):
+                return "plain", ":"
+            if p[:2] in ("- ", "? ") or p == "-":
+                return "plain", p[0]
+            return "plain", ""
         for k in ("q", "flow", "block", "alias"):
             if m[k] is not None:
-                return {"q": "value", "alias": "value"}.get(k, k)
-        return "none"
+                return {"q": "value", "alias": "value"}.get(k, k), ""
+        return "none", ""
+
+    def pop() -> None:
+        t.nest.append(-code(levels.pop()))
+
+    def push(level: tuple[int, str]) -> None:
+        levels.append(level)
+        t.nest.append(code(level))
 
     def place(indent: int, sort: str) -> str:
         """Relation of a line to the open levels, which are updated."""
+        level = (indent, sort)
         if not levels:
-            levels.append((indent, sort))
+            push(level)
             return ""
         if indent > levels[-1][0]:
-            levels.append((indent, sort))
+            push(level)
             return ">"
         back = False
         while levels and indent < levels[-1][0]:
-            levels.pop()
+            pop()
             back = True
-        if not levels or levels[-1][0] != indent:
-            return "!"
-        if levels[-1][1] != sort:
+        if levels and levels[-1] == level:
+            return "<" if back else "="
+        if levels and levels[-1][0] == indent:
             if sort == "S" and levels[-1][1] == "M" and not back and t.prev.endswith("KEY"):
-                levels.append((indent, "S"))
+                push(level)
                 return "="
-            if sort == "M" and levels[-1][1] == "S" and len(levels) > 1 and levels[-2] == (indent, "M"):
-                levels.pop()
+            if sort == "M" and len(levels) > 1 and levels[-2] == level:
+                pop()
                 return "<"
-            return "!"
-        return "<" if back else "="
+        t.nest.append(-code(level))  # no such level is open
+        return "<"
+
+    def clear() -> None:
+        while levels:
+            pop()
 
     while i < len(lines):
         raw = lines[i]
@@ -238,71 +308,93 @@ def yaml_tokens(text: str) -> tuple[set, list]:
             block = None
             if raw.lstrip().startswith("#"):
                 continue
-        if raw[indent : indent + 1] == "\t":
-            t.add("BAD")
+        if raw[indent : indent + 1] == "\t" and indent <= (levels[-1][0] if levels else -1):
+            t.add("TAB")
             continue
+        if running and indent > (levels[-1][0] if levels else -1) and not (m := _YKEY.match(raw[indent:])):
+            t.add((">" if levels else "=") + "PLAIN")
+            if re.search(r":(?:\s|$)", re.split(r"\s#", raw)[0]):
+                t.add(":")
+            continue
+        running = False
         if raw.startswith(("---", "...")) and (len(raw) == 3 or raw[3] in " \t"):
             t.add("DOC")
-            levels.clear()
+            clear()
             rest = raw[3:].strip()
-            if rest and not rest.startswith("#") and scalar(rest) in ("bad", "quote"):
-                t.add("BAD")
+            running = False
+            if raw[0] == "-" and rest and not rest.startswith("#"):
+                kind, more = scalar(rest)
+                if kind == "block":
+                    block = -1
+                elif kind == "flow":
+                    i, after = flow(i - 1, rest)
+                    i += 1
+                    more = "TEXT" if after.strip() and not re.match(r"\s*#", after) else ""
+                if more:
+                    t.add(more)
+                elif kind != "none":
+                    t.add("VALUE")
             continue
         if raw.startswith("%"):
             continue
         body = raw[indent:]
         while True:
-            if body == "-" or body.startswith(("- ", "-\t")):
+            if body[:1] in "-?:" and body[1:2] in ("", " ", "\t") and body:
+                sort, own_class = ("S", "DASH") if body[0] == "-" else ("M", "KEY")  # ? and : set a key and its value apart
                 rest = body[1:]
-                rel = place(indent, "S")
+                rel = place(indent, sort)
                 inner = rest.lstrip(" ")
                 if not inner or inner.startswith("#"):
-                    t.add(rel + "DASH")
+                    t.add(rel + own_class)
                     break
                 if inner.startswith("- ") or inner == "-" or _YKEY.match(inner) and not inner.startswith(("[", "{")):
-                    t.add(rel + "DASH")
+                    t.add(rel + own_class)
                     indent += 1 + len(rest) - len(inner)
                     body = inner
                     continue
-                kind, at, own, name = scalar(inner), inner, indent, "ITEM"
+                (kind, more), at, own, name = scalar(inner), inner, indent, "ITEM" if sort == "S" else "KV"
             elif m := _YKEY.match(body):
                 rel = place(indent, "M")
-                kind, at, own, name = scalar(m["v"]), m["v"].strip(), indent, "KV"
+                (kind, more), at, own, name = scalar(m["v"]), m["v"].strip(), indent, "KV"
                 if kind == "none":
                     t.add(rel + "KEY")
                     break
             else:
-                kind, at, own, name = scalar(body), body, indent, "PLAIN"
+                (kind, more), at, own, name = scalar(body), body, indent, "PLAIN"
                 if kind in ("flow", "value"):
                     name = "VALUE"
-                rel = ("" if t.prev in ("^", "DOC") else ">") if not levels or indent > levels[-1][0] else "!"
+                top = levels[-1][0] if levels else -1
+                rel = ("" if t.prev in ("^", "DOC") else ">") if indent > top else "=" if indent == top else "<"
                 if t.prev.lstrip("<=>") == "PLAIN" and not levels:
                     rel = "="
-            if kind == "bad" or name == "PLAIN" and kind != "plain":
-                t.add("BAD")
+            t.add(rel + name)
+            running = kind == "plain" and not more
+            if more:
+                t.add(more)
             elif kind == "block":
                 block = own
-                t.add(rel + name)
             elif kind == "flow":
-                i, fine = flow(i - 1, at)
+                i, after = flow(i - 1, at)
                 i += 1
-                t.add(rel + name if fine else "BAD")
+                if after.strip() and not re.match(r"\s+#", after):
+                    t.add(":" if after.lstrip().startswith(":") and name == "VALUE" else "TEXT")
             elif kind == "quote":
                 q = at.lstrip()[0]
-                close = re.compile(r'(?:[^"\\]|\\.)*"' if q == '"' else r"(?:[^']|'')*'")
+                close = re.compile(r'(?:[^"\\]|\\.)*+"' if q == '"' else r"(?:[^']|'')*+'")
                 while i < len(lines) and not close.match(lines[i]):
                     i += 1
-                done = i < len(lines) and close.match(lines[i])
-                t.add(rel + name if done and re.fullmatch(r"\s*(?:\s#.*)?", lines[i][done.end() :]) else "BAD")
+                if i == len(lines):
+                    t.nest.append(QUOTE)
+                elif not re.fullmatch(r"\s*(?:\s#.*)?", lines[i][close.match(lines[i]).end() :]):
+                    t.add("TEXT")
                 i += 1
-            else:
-                t.add(rel + name)
             break
+    clear()
     return t.end()
 
 
 _PY = re.compile(
-    r"""[ \t\f]*(?:(?P<w>[^\W\d]\w*)(?!["'])|(?P<nl>\r\n|\n|\r)|(?P<c>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\n|\r))"""
+    r"""[ \t\f]*(?:(?P<w>[^\W\d][\w\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u065f\u0900-\u0e4e\u200c\u200d]*+)(?!["'])|(?P<nl>\r\n|\n|\r)|(?P<c>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\n|\r))"""
     r"""|(?P<str>[rRbBuUfFtT]{0,2}(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'))"""
     r"""|(?P<num>0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)|(?P<word>[^\W\d]\w*)"""
     r"""|(?P<p>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[+\-*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<bad>\S))""",
@@ -310,16 +402,25 @@ _PY = re.compile(
 )
 _PYKEY = frozenset("if else for in is not lambda await async yield from import as return raise assert del global nonlocal pass break continue def class with while try except finally elif and or".split())
 _PYOP = {"and": "OP", "or": "OP", "nonlocal": "global", "-": "+", "//": "OP", "%": "OP", "<<": "OP", ">>": "OP", "<=": "OP", ">=": "OP", "==": "OP", "!=": "OP", "&": "OP", "^": "OP", "<": "OP", ">": "OP"}
+#: Classes after which a statement starts.
+_PYSTART = frozenset(["^", "NL", "NL:", "IN"])
 _HEADS = frozenset("if elif else for while try except finally def class with".split())
 
 
-def python_tokens(text: str) -> tuple[set, list]:
-    """Python 3.13; pairs of statements of one block are given as pairs of classes beginning with H:."""
+def python_tokens(text: str) -> tuple[set, list, list]:
+    """Python 3.13. Statements of one block give pairs of classes beginning with H:, the kind of a line and how it ends pairs
+    of classes beginning with L:. Indentation, conditionals up to their else and lambdas up to their colon nest."""
     t, depth, start, head, colon = Trace(), 0, True, "", False
     indents: list[tuple[int, str, int]] = [(0, "H:^", 0)]
-    owed: list[list[int]] = [[0, 0, 0]]  # of each open bracket: conditionals without else, lambdas without colon, for seen
-    opens = False  # the line before ends with a block's colon
-    space, chars, prev_end, fresh = 0, 0, -1, True
+    owed: list[list[int]] = [[0, 0]]  # of each open bracket: lambdas without colon, for seen
+
+    def finish() -> None:
+        """The end of a statement's line."""
+        kind = "H" if head in _HEADS or head in ("match", "case") else "S"
+        t.pairs.add(("L:" + kind, "L::" if (colon if kind == "H" else t.prev == ":") else "L:$"))
+        t.add("NL:" if t.prev == "B:" else "NL")
+
+    space, chars, fresh = 0, 0, True
     for m in _PY.finditer(text.lstrip("\ufeff") if text[:1] == "\ufeff" else text):
         kind = m.lastgroup
         v = m[kind]
@@ -332,12 +433,8 @@ def python_tokens(text: str) -> tuple[set, list]:
             kind = "w"
         if kind == "nl":
             if depth == 0 and not start:
-                compound = head in _HEADS or head in ("match", "case") and t.prev == ":"
-                opens = compound and t.prev == ":"
-                if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0 or t.prev == ":" and not opens:
-                    t.add("BAD")
-                t.add("NL")
-                start, owed = True, [[0, 0, 0]]
+                finish()
+                start, owed = True, [[0, 0]]
             fresh = depth == 0
             continue
         if start and depth == 0:
@@ -349,17 +446,17 @@ def python_tokens(text: str) -> tuple[set, list]:
             soft = head in ("match", "case") and re.match(r"(?:match|case)\b(?!\s*[=.,)\]:(]|\s*$|\s+(?:in|is|and|or|not|if)\b)[^\r\n]*:\s*(?:#.*)?$|(?:match|case)\s*[\[({][^\r\n]*:\s*(?:#.*)?$", text[m.start(m.lastgroup) : m.start(m.lastgroup) + 400].split("\n")[0].rstrip("\r"))
             if head in ("match", "case") and not soft:
                 head = ""
-            if opens:
-                if space <= indents[-1][0] or chars <= indents[-1][2]:
-                    t.add("BAD")
+            if space > indents[-1][0] and chars > indents[-1][2]:
                 indents.append((space, "H:^M" if indents[-1][1] == "H:MATCH" else "H:^", chars))
+                t.nest.append(LEVEL + 1024 * space + chars)
+                t.add("IN")
             else:
                 while len(indents) > 1 and space < indents[-1][0]:
-                    t.pairs.add((indents[-1][1], "H:$"))
-                    indents.pop()
+                    last = indents.pop()
+                    t.pairs.add((last[1], "H:$"))
+                    t.nest.append(-(LEVEL + 1024 * last[0] + last[2]))
                 if space != indents[-1][0] or chars != indents[-1][2]:
-                    t.add("BAD")
-            opens = False
+                    t.nest.append(-(LEVEL + 1024 * space + chars))  # no such level is open
             label = "H:" + (head if head in _HEADS else {"match": "MATCH", "case": "CASE"}.get(head, "@" if v == "@" else "S"))
             t.pairs.add((indents[-1][1], label))
             indents[-1] = (indents[-1][0], label, indents[-1][2])
@@ -368,59 +465,63 @@ def python_tokens(text: str) -> tuple[set, list]:
                 cls = _PYOP.get(v, v)
                 own = owed[-1]
                 if v == "lambda":
-                    own[1] += 1
+                    own[0] += 1
+                    t.nest.append(LAMBDA)
                 elif v == "for":
-                    own[2] = 1
+                    own[1] = 1
+                elif t.prev in _PYSTART:
+                    pass
                 elif v == "else":
-                    own[0] -= 1
-                elif v == "if" and not own[2] and t.prev not in ("NL", "^", "else") and not (head == "case" and depth == 0):
-                    own[0] += 1
-            elif v in ("match", "case") and t.prev in ("NL", "^") and head == v:
+                    t.nest.append(-TERNARY)
+                elif v == "if" and not own[1] and not (head == "case" and depth == 0):
+                    t.nest.append(TERNARY)
+            elif v in ("match", "case") and t.prev in _PYSTART and head == v:
                 cls = v.upper()
-            elif v == "type" and t.prev in ("NL", "^", ";") and re.match(r"type\s+[^\W\d]\w*\s*[=\[]", text[m.start(m.lastgroup) : m.start(m.lastgroup) + 80]):
+            elif v == "type" and (t.prev in _PYSTART or t.prev == ";") and re.match(r"type\s+[^\W\d]\w*\s*[=\[]", text[m.start(m.lastgroup) : m.start(m.lastgroup) + 80]):
                 cls = "TYPE"
             else:
                 cls = "NAME"
-                if t.prev == "NUM" and m.start(m.lastgroup) == prev_end:
-                    cls = "BAD"
         elif kind == "str":
             cls = "STR"
         elif kind == "num":
-            cls = "NUM" if not re.match(r"0\d*[1-9]\d*$", v) else "BAD"
+            cls = "NUM"
+            if re.match(r"0\d*[1-9]\d*$", v):  # a zero and another number
+                t.add("NUM")
         elif kind == "p":
             cls = _PYOP.get(v, v)
             if len(v) > 1 and v[-1] == "=" and v not in ("==", "!=", "<=", ">=", ":="):
                 cls = "AUG"
             if v in _OPEN:
                 depth += 1
-                owed.append([0, 0, 0])
+                owed.append([0, 0])
                 t.nest.append(_OPEN[v])
             elif v in _CLOSE:
                 depth = max(0, depth - 1)
-                last = owed.pop() if len(owed) > 1 else [0, 0, 0]
-                if last[0] > 0 or last[1] > 0:
-                    t.add("BAD")
+                if len(owed) > 1:
+                    owed.pop()
                 t.nest.append(-_CLOSE[v])
-            elif v == ":" and owed[-1][1] > 0:
-                owed[-1][1] -= 1
+            elif v == ":" and owed[-1][0] > 0:
+                owed[-1][0] -= 1
+                t.nest.append(-LAMBDA)
                 cls = "L:"
             elif v == ":" and depth == 0:
                 colon = True
+                cls = "B:" if head in _HEADS or head in ("match", "case") else ":"
+            elif v == "," and depth == 0 and head == "except":
+                cls = ",E"
+        elif v in "\"'":
+            t.nest.append(QUOTE)
+            cls = "STR"
         else:
-            cls = "BAD"
+            cls = v
         t.pairs.add((t.prev, cls))
         t.prev = cls
-        prev_end = m.end()
     if not start:
-        if depth == 0:
-            opens = (head in _HEADS or head in ("match", "case")) and t.prev == ":"
-            if head in _HEADS and not colon or owed[-1][0] > 0 or owed[-1][1] > 0 or t.prev == ":" and not opens:
-                t.add("BAD")
-        t.add("NL")
-    if opens:
-        t.add("BAD")
-    for _, label, _ in indents:
+        finish()
+    for space, label, chars in indents[::-1]:
         t.pairs.add((label, "H:$"))
+        if label and (space or chars):
+            t.nest.append(-(LEVEL + 1024 * space + chars))
     return t.end()
 
 
@@ -432,64 +533,78 @@ _SH_NEST = {
 _SH = re.compile(r"(?P<ws>(?:[ \t]|\\\n)+)|(?P<nl>\r?\n)|(?P<c>(?<![^\s;&|()])#[^\n]*)|(?P<p>;;&|;;|;&|;|&&|\|\||\|&|&>>|&>|\||&|\(\(|[()])|(?P<r>\d*(?:<<<|<<-|<<|<&|<>|>>|>&|>\||<\(|>\(|<|>)(?:-(?=\s))?)|(?P<w>.)", re.S)
 
 
-def _sh_word(text: str, i: int) -> tuple[int, bool]:
-    """End of the word at i, and whether its quotes and expansions are closed."""
+_SH_PATTERN = re.compile(r"""(?:\\.|"(?:[^"\\]|\\.)*"|'[^']*'|[^\n)\\])*""", re.S)
+
+
+def _sh_word(t: Trace, text: str, i: int) -> int:
+    """End of the word at i; quotes and expansions that aren't closed are opening events."""
     n = len(text)
     while i < n:
         c = text[i]
         if c in " \t\n;&|()<>" or c == "\r" and text.startswith("\r\n", i):
-            return i, True
+            return i
         if c == "\\":
             i += 2
         elif c == "'":
-            j = text.find("'", i + 1)
-            if j < 0:
-                return n, False
-            i = j + 1
+            i = _sh_until(t, text, i + 1, "'", False)
         elif c == '"':
-            i, fine = _sh_quoted(text, i + 1)
-            if not fine:
-                return n, False
+            i = _sh_quoted(t, text, i + 1)
         elif c in "$`":
-            i, fine = _sh_expand(text, i)
-            if not fine:
-                return n, False
+            i = _sh_expand(t, text, i)
         else:
             i += 1
-    return min(i, n), i <= n
+    return min(i, n)
+
+
+def _sh_until(t: Trace, text: str, i: int, close: str, escapes: bool) -> int:
+    """The place after the next closing sign."""
+    n = len(text)
+    if not escapes:
+        j = text.find(close, i)
+    else:
+        j = i
+        while j < n and text[j] != close:
+            j += 2 if text[j] == "\\" else 1
+        j = j if j < n else -1
+    if j < 0:
+        t.nest.append(QUOTE)
+        return n
+    return j + 1
 
 
-def _sh_quoted(text: str, i: int) -> tuple[int, bool]:
+def _sh_quoted(t: Trace, text: str, i: int) -> int:
     n = len(text)
     while i < n:
         c = text[i]
         if c == '"':
-            return i + 1, True
+            return i + 1
         if c == "\\":
             i += 2
         elif c in "$`":
-            i, fine = _sh_expand(text, i)
-            if not fine:
-                return n, False
+            i = _sh_expand(t, text, i)
         else:
             i += 1
-    return n, False
+    t.nest.append(QUOTE)
+    return n
+
+
+def _sh_arith(t: Trace, text: str, i: int) -> int:
+    """The place after )) that closes an arithmetic expression, which begins at i; -1 if no )) does."""
+    n, depth = len(text), 2
+    while i < n and depth:
+        depth += (text[i] == "(") - (text[i] == ")")
+        i += 1
+    return i if not depth and text[i - 2] == ")" else -1
 
 
-def _sh_expand(text: str, i: int) -> tuple[int, bool]:
-    """End of the expansion at i ($x, ${...}, $(...), $((...)), `...`)."""
+def _sh_expand(t: Trace, text: str, i: int) -> int:
+    """End of the expansion at i ($x, ${...}, $(...), $((...)), `...`). The commands of $(...) are a text of their own."""
     n = len(text)
     if text[i] == "`":
-        j = i + 1
-        while j < n and text[j] != "`":
-            j += 2 if text[j] == "\\" else 1
-        return j + 1, j < n
+        return _sh_until(t, text, i + 1, "`", True)
     nxt = text[i + 1 : i + 2]
     if nxt == "'":
-        j = i + 2
-        while j < n and text[j] != "'":
-            j += 2 if text[j] == "\\" else 1
-        return j + 1, j < n
+        return _sh_until(t, text, i + 2, "'", True)
     if nxt == "{":
         j = i + 2
         while j < n and text[j] != "}":
@@ -500,45 +615,64 @@ def _sh_expand(text: str, i: int) -> tuple[int, bool]:
                 k = text.find("'", j + 1)
                 j = k + 1 if k >= 0 else j + 1
             elif c == '"':
-                j, fine = _sh_quoted(text, j + 1)
-                if not fine:
-                    return n, False
+                j = _sh_quoted(t, text, j + 1)
             elif c in "$`":
-                j, fine = _sh_expand(text, j)
-                if not fine:
-                    return n, False
+                j = _sh_expand(t, text, j)
             else:
                 j += 1
-        return j + 1, j < n
+        if j >= n:
+            t.nest.append(CURLY)
+        return min(j + 1, n)
     if nxt == "(":
-        j, depth = i + 2, 1
-        while j < n and depth:
-            c = text[j]
-            if c == "\\":
-                j += 2
-            elif c == "'":
-                k = text.find("'", j + 1)
-                if k < 0:
-                    return n, False
-                j = k + 1
-            elif c == '"':
-                j, fine = _sh_quoted(text, j + 1)
-                if not fine:
-                    return n, False
-            elif c == "`":
-                j, fine = _sh_expand(text, j)
-                if not fine:
-                    return n, False
-            else:
-                depth += (c == "(") - (c == ")")
+        if text.startswith("(", i + 2) and (j := _sh_arith(t, text, i + 3)) >= 0:
+            return j
+        return _sh_inner(t, text, i + 2)
+    return i + 1
+
+
+def _sh_inner(t: Trace, text: str, i: int) -> int:
+    """End of commands in round brackets; they are a chain of tokens of their own."""
+    prev, t.prev = t.prev, "^"
+    t.nest.append(ROUND)
+    i = _shell(t, text, i, True)
+    t.add("$")
+    t.prev = prev
+    return i
+
+
+def _sh_list(t: Trace, text: str, i: int) -> int:
+    """End of an array's items, which begin at i."""
+    n = len(text)
+    t.nest.append(ROUND)
+    while i < n:
+        c = text[i]
+        if c == ")":
+            t.nest.append(-ROUND)
+            return i + 1
+        if c == "#" and text[i - 1] in " \t\n(":
+            j = text.find("\n", i)
+            i = n if j < 0 else j
+        elif c in " \t\r\n":
+            i += 1
+        else:
+            j = _sh_word(t, text, i)
+            if j == i:
+                t.pairs.add(("(A", c))
                 j += 1
-        return j, depth == 0
-    return i + 1, True
+            i = j
+    return n
 
 
-def shell_tokens(text: str) -> tuple[set, list]:
+def shell_tokens(text: str) -> tuple[set, list, list]:
     """bash, by command words; quotes and expansions are part of their word."""
-    t, i, n = Trace(), 0, len(text)
+    t = Trace()
+    _shell(t, text, 0, False)
+    return t.end()
+
+
+def _shell(t: Trace, text: str, i: int, inside: bool) -> int:
+    """Tokens from i on, up to the ) that closes them if they are inside round brackets; the place after it."""
+    n, open_ = len(text), 0
     command, docs, heads = True, [], []  # at a command's start; here-documents to come; open case and for heads
     cases: list[str] = []
     while i < n:
@@ -548,8 +682,6 @@ def shell_tokens(text: str) -> tuple[set, list]:
             i = m.end()
             continue
         if kind == "nl" or v == ";":
-            if kind == "p" and t.prev in ("NL", "^"):
-                t.add("BAD")
             i = m.end()
             if kind == "nl":
                 for word, dash in docs:
@@ -561,40 +693,34 @@ def shell_tokens(text: str) -> tuple[set, list]:
                         if (line.lstrip("\t") if dash else line) == word:
                             break
                 docs = []
-            if t.prev != "NL":
+            if kind == "p" or t.prev != "NL":
                 t.add("NL")
             command = True
             continue
         if kind == "r":
             i = m.end()
             if v.endswith("("):
-                j, fine = _sh_expand("$" + text[i - 1 :], 0)
-                i = i - 2 + j
-                t.add("WORD" if fine else "BAD")
+                i = _sh_inner(t, text, i)
+                t.add("WORD")
                 command = False
                 continue
             while i < n and text[i] in " \t":
                 i += 1
-            end, fine = _sh_word(text, i)
-            if end == i or not fine:
-                t.add("BAD")
-            elif v.lstrip("0123456789") in ("<<", "<<-"):
+            end = _sh_word(t, text, i)
+            if end > i and v.lstrip("0123456789") in ("<<", "<<-"):
                 docs.append((re.sub(r"[\\'\"]", "", text[i:end]), v.endswith("-")))
                 t.add("HEREDOC")
             else:
                 t.add(">")
-                t.add("WORD")
+                if end > i:
+                    t.add("WORD")
             i = end
             continue
         if kind == "p":
             i = m.end()
-            if v == "((" and command:
-                depth = 2
-                while i < n and depth:
-                    depth += (text[i] == "(") - (text[i] == ")")
-                    i += 1
-                t.add("ARITH" if not depth else "BAD")
-                command = False
+            if v == "((" and command and (end := _sh_arith(t, text, i)) >= 0:
+                t.add("ARITH")
+                i, command = end, False
                 continue
             if v == "((":
                 v, i = "(", i - 1
@@ -605,12 +731,12 @@ def shell_tokens(text: str) -> tuple[set, list]:
                     i, command = close.end(), True
                     continue
                 if t.prev == "WORD" and text[i - 2] == "=" or t.prev == "ASSIGN":
-                    j, fine = _sh_expand("$(" + text[i:], 0)
-                    i += j - 2
-                    t.add("WORD" if fine else "BAD")
+                    i = _sh_list(t, text, i)
+                    t.add("WORD")
                     continue
                 if cases and t.prev in ("in", "NL", ";;") and cases[-1] == "body":
                     continue
+                open_ += 1
                 t.nest.append(ROUND)
                 t.add("(")
                 command = True
@@ -622,6 +748,9 @@ def shell_tokens(text: str) -> tuple[set, list]:
                     command = True
                     continue
                 t.nest.append(-ROUND)
+                if inside and not open_:
+                    return i
+                open_ -= 1
                 t.add(")")
                 command = False
                 continue
@@ -634,27 +763,25 @@ def shell_tokens(text: str) -> tuple[set, list]:
             if v in ("&>", "&>>"):
                 while i < n and text[i] in " \t":
                     i += 1
-                end, fine = _sh_word(text, i)
+                end = _sh_word(t, text, i)
                 t.add(">")
-                t.add("WORD" if fine and end > i else "BAD")
+                if end > i:
+                    t.add("WORD")
                 i = end
                 continue
             t.add({"|&": "|"}.get(v, v))
             command = True
             continue
-        end, fine = _sh_word(text, i)
+        end = _sh_word(t, text, i)
         word = text[i:end]
         i = max(end, i + 1)
-        if not fine:
-            t.add("BAD")
-            continue
         if cases and cases[-1] == "body" and word != "esac":
             cases[-1] = "pattern"
         if cases and cases[-1] == "pattern":
-            rest = re.compile(r"[^\n)]*").match(text, i)
+            rest = _SH_PATTERN.match(text, i)
             i = rest.end()
             if i >= n or text[i] != ")":
-                t.add("BAD")
+                t.nest.append(PATTERN)
             continue
         if heads and word in ("in", "do") and t.prev in ("WORD", "NL"):
             what = heads.pop()
@@ -665,11 +792,14 @@ def shell_tokens(text: str) -> tuple[set, list]:
                     cases.append("body")
                 command = False
                 continue
-        if command and word in _SH_RESERVED:
+        # A word that closes a compound command is one after another such command as well.
+        if word in _SH_RESERVED and (command or t.prev in (")", "fi", "done", "esac", "}") and word in _SH_NEST):
             t.nest += _SH_NEST.get(word, [])
             if word == "[[":
                 stop = re.compile(r"(?:[^\"'\]\n]|\"(?:[^\"\\]|\\.)*\"|'[^']*'|\](?!\]))*\]\]").match(text, i)
-                t.add("TEST" if stop else "BAD")
+                t.add("TEST")
+                if not stop:
+                    t.nest.append(TEST)
                 i = stop.end() if stop else n
                 command = False
                 continue
@@ -685,7 +815,7 @@ def shell_tokens(text: str) -> tuple[set, list]:
             continue
         t.add("WORD")
         command = False
-    return t.end()
+    return n
 
 
 _JS = re.compile(
@@ -696,14 +826,14 @@ _JS = re.compile(
 )
 _JSKEY = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch throw try typeof var void while let async await yield static of".split())
 _JSRESERVED = _JSKEY - {"let", "async", "await", "yield", "static", "of"} | frozenset(["enum", "with"])
-_JSOP = {"delete": "UN", "typeof": "UN", "void": "UN", "!": "UN", "~": "UN", "-": "+", "--": "++", "instanceof": "BIN", "?.": ".", "debugger": "debugger"}
+_JSOP = {"delete": "UN", "typeof": "UN", "void": "UN", "!": "UN", "~": "UN", "-": "+", "--": "++", "instanceof": "BIN", "debugger": "debugger"}
 _JSBIN = frozenset("=== !== >>> == != <= >= && || ?? << >> ** < > % & | ^".split())
 _JSSET = frozenset(">>>= **= <<= >>= &&= ||= ??= += -= *= /= %= &= |= ^=".split())
 _JSREGEX = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*")
 _VALUE_END = frozenset(["ID", "NUM", "STR", "TEMPLATE", "REGEX", ")", "]", "}", "}O", "}C", "`}", "++"])
 
 
-def js_tokens(text: str) -> tuple[set, list]:
+def js_tokens(text: str) -> tuple[set, list, list]:
     """JavaScript, as script or module. Lines that end a statement count as ; where the grammar needs one."""
     t, i, n = Trace(), 0, len(text)
     stack: list[list] = [["B", "", 0]]  # kind of block, word that opened it, open conditionals
@@ -740,7 +870,7 @@ def js_tokens(text: str) -> tuple[set, list]:
             continue
         i = m.end()
         if kind == "w":
-            member = prev == "."
+            member = prev == "." or prev == "?."
             after = text[i : i + 40].lstrip()
             key = top[0] in ("O", "C") and prev in ("{O", "{C", ",", ";", "}", "get", "set", "async", "static", "*", "]", "STR", "ID", "NUM") and after[:1] in ("(", ":", "=", ";", ",", "}")
             if member or v[0] == "#":
@@ -753,6 +883,8 @@ def js_tokens(text: str) -> tuple[set, list]:
                 add(v)
             elif key and (prev in ("{O", "{C", "get", "set", "async", "static", "*") or top[0] == "C" or prev == "," and top[0] == "O"):
                 add("ID")
+            elif prev == "as" and not newline or v == "default" and top[0] == "O" and prev in ("{O", ","):
+                add("ID")  # names that a module gives
             elif v in ("from", "as", "of", "get", "set"):
                 soft = v == "from" and prev in ("ID", "}O", "*") or v == "as" and prev in ("ID", "*", "default") or v == "of" and top[0] == "(" and prev in ("ID", "]", "}O", "}")
                 add(v if soft and not newline else "ID")
@@ -770,11 +902,9 @@ def js_tokens(text: str) -> tuple[set, list]:
             elif v in _JSRESERVED:
                 cls = _JSOP.get(v, v)
                 if v == "return" and not any(s[0] == "B" and s[1] == "function" for s in stack):
-                    cls = "BAD"
+                    cls = "return^"
                 if v in ("case",) and top[0] != "S" or v == "default" and top[0] not in ("S",) and prev not in ("export", ".", "{O", ","):
-                    cls = "BAD"
-                if v in ("enum", "with"):
-                    cls = "BAD"
+                    cls += "^"
                 add(cls)
                 if v in ("case", "default") and top[0] == "S":
                     top[1] = "case"
@@ -783,11 +913,13 @@ def js_tokens(text: str) -> tuple[set, list]:
             else:
                 add("ID")
         elif kind == "num":
-            add("NUM" if not (i < n and (text[i].isalpha() or text[i] == "_")) else "BAD")
+            add("NUM")
         elif kind == "str":
             add("STR")
         elif kind == "bad":
-            add("BAD")
+            if v in "\"'":
+                t.nest.append(QUOTE)
+            add("STR" if v in "\"'" else v)
         elif v == "`" or v == "}" and top[0] == "T":
             if v == "}":
                 t.nest.append(-INTERP)
@@ -796,8 +928,8 @@ def js_tokens(text: str) -> tuple[set, list]:
             while j < n and text[j] != "`" and not text.startswith("${", j):
                 j += 2 if text[j] == "\\" else 1
             if j >= n:
-                add("BAD")
-                t.nest.append(INTERP)
+                add("TEMPLATE" if v == "`" else "`}")
+                t.nest.append(QUOTE)
                 i = n
             elif text[j] == "`":
                 add("TEMPLATE" if v == "`" else "`}")
@@ -873,11 +1005,11 @@ def js_tokens(text: str) -> tuple[set, list]:
                 top[1] = ""
                 add(":C")
             elif top[0] == "O":
-                add(":O" if prev in ("ID", "STR", "NUM", "]") else "BAD")
+                add(":O")
             elif top[0] in ("B", "S") and prev == "ID" and before[0] in ("^", ";", "{", "}", "{T", "{K", "{D"):
                 add(":L")
             else:
-                add("BAD")
+                add(":")
         elif v == "?":
             top[2] += 1
             add("?")
@@ -886,7 +1018,7 @@ def js_tokens(text: str) -> tuple[set, list]:
         elif v in _JSBIN:
             add("BIN")
         elif v == ";" and top[0] == "(" and top[1] != "for":
-            add("BAD")
+            add(";(")
         else:
             add(_JSOP.get(v, v))
         if kind == "w" and v == "class" and t.prev == "class":

@@ -33,7 +33,7 @@ def p2_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "source_files").select("file_id", "path", "text")
-    return syntax.invalid_files(spark, files, cut(syntax.lexed(spread(files)), "lexed"))
+    return syntax.invalid_files(spark, cut(syntax.lexed(spread(files)), "lexed"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_wrong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which impermissible pairs of tokens files have, by language."""
-    rows = syntax.lexed(table(spark, sf_dir, "source_files"))
+    rows = syntax.lexed(spread(table(spark, sf_dir, "source_files").select("file_id", "path", "text")))
     return syntax.wrong_pairs(spark, rows).groupBy("lang", "pair").agg(F.count(F.lit(1)).alias("n_files"))
 
 

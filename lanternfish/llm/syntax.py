@@ -1,19 +1,14 @@
 """Source files that aren't valid in the language of their suffix.
 
-Files are lexed into rows; pairs of adjacent tokens that the language's grammar doesn't permit are found by an
-anti-join, and brackets, blocks and compound commands by windowed reductions over their events. Languages with a
-parser in Python's library get an exact check of the files found so (``confirm``).
+Files are lexed into rows; pairs of adjacent tokens (and of statements of a block, and of the parts of a line) that the
+language's grammar doesn't permit are found by an anti-join, brackets, quotes, indentation, conditional expressions and
+compound commands by windowed reductions over their events, names given twice by a grouping.
 
 A null text or a suffix of no known language gives no row; an empty file is valid except for JSON.
 """
 
 from __future__ import annotations
 
-import ast
-import json
-import sys
-import tomllib
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +41,8 @@ def _shell_pairs() -> set[tuple[str, str]]:
 
 def _python_pairs() -> set[tuple[str, str]]:
     block = grammar.permitted(grammar.PYTHON_BLOCK, "block") | {("^", "$"), ("^M", "CASE"), ("CASE", "CASE"), ("CASE", "$")}
-    return grammar.permitted(grammar.PYTHON, "file") | {("H:" + a, "H:" + b) for a, b in block}
+    lines = {(a, b) for a, b in grammar.permitted(grammar.PYTHON_LINE, "line") if a != "^" and b != "$"}
+    return grammar.permitted(grammar.PYTHON, "file") | {("H:" + a, "H:" + b) for a, b in block} | lines
 
 
 def permitted_pairs() -> dict[str, set[tuple[str, str]]]:
@@ -70,22 +66,24 @@ def language_of(path):
     return out
 
 
-_LEXED = "file_id bigint, lang string, pairs array<string>, nest array<smallint>"
+_LEXED = "file_id bigint, lang string, pairs array<string>, nest array<int>, keys array<string>"
 
 
 def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        pairs, nests = [], []
+        pairs, nests, keys = [], [], []
         for lang, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            p, n = LEXERS[lang](text)
+            p, n, k = LEXERS[lang](text)
             pairs.append([f"{x}\t{y}" for x, y in p])
             nests.append(n)
-        arrays = [b.column(0), b.column(1), pa.array(pairs, pa.list_(pa.string())), pa.array(nests, pa.list_(pa.int16()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "lang", "pairs", "nest"])
+            keys.append(k)
+        strings = pa.list_(pa.string())
+        arrays = [b.column(0), b.column(1), pa.array(pairs, strings), pa.array(nests, pa.list_(pa.int32())), pa.array(keys, strings)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "lang", "pairs", "nest", "keys"])
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """``file_id, lang, pairs, nest`` of each file of ``file_id, path, text`` in a known language."""
+    """``file_id, lang, pairs, nest, keys`` of each file of ``file_id, path, text`` in a known language."""
     known = files.select(F.col("file_id").cast("bigint").alias("file_id"), language_of(F.col("path")).alias("lang"), "text")
     return known.where("file_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_lex, _LEXED)
 
@@ -114,47 +112,15 @@ def wrong_nesting(rows: DataFrame) -> DataFrame:
     return seen.where(~(open_ok | close_ok)).select("file_id", "lang")
 
 
-def _valid(lang: str, text: str) -> bool | None:
-    """Verdict of a full parser; null where none is at hand."""
-    try:
-        if lang == "py":
-            ast.parse(text)
-        elif lang == "json":
-            json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
-        elif lang == "toml":
-            tomllib.loads(text)
-        elif lang == "yaml":
-            try:
-                import yaml
-            except ImportError:
-                return None
-            try:
-                for _ in yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
-                    pass
-            except yaml.YAMLError:
-                return False
-        else:
-            return None
-        return True
-    except (ValueError, SyntaxError):
-        return False
-    except (RecursionError, MemoryError):
-        return None
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    warnings.simplefilter("ignore")
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 5000))
-    for b in batches:
-        keep = [i for i, (lang, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) if _valid(lang, text) is not True]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["file_id", "lang"])
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """``file_id, lang`` of files that give a name twice which may be given once."""
+    keys = rows.where("size(keys) > 0").select("file_id", "lang", F.explode("keys").alias("key"))
+    return keys.groupBy("file_id", "lang", "key").count().where("count > 1").select("file_id", "lang")
 
 
-def invalid_files(spark: SparkSession, files: DataFrame, rows: DataFrame) -> DataFrame:
-    """``file_id, lang`` of the files that don't parse; rows are the lexed files."""
-    found = wrong_pairs(spark, rows).select("file_id").unionByName(wrong_nesting(rows).select("file_id")).distinct()
-    texts = files.select(F.col("file_id").cast("bigint").alias("file_id"), language_of(F.col("path")).alias("lang"), "text")
-    return texts.join(found, "file_id", "left_semi").mapInArrow(_confirm, "file_id bigint, lang string")
+def invalid_files(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``file_id, lang`` of the lexed files that don't parse."""
+    return wrong_pairs(spark, rows).select("file_id", "lang").unionByName(wrong_nesting(rows)).unionByName(repeated_keys(rows)).distinct()
 
 
 def invalid_rates(files: DataFrame, packages: DataFrame, invalid: DataFrame) -> DataFrame:
