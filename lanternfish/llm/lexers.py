@@ -394,7 +394,7 @@ def yaml_tokens(text: str) -> tuple[set, list, list]:
 
 
 _PY = re.compile(
-    r"""[ \t\f]*(?:(?P<w>[^\W\d][\w\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u065f\u0900-\u0e4e\u200c\u200d]*+)(?!["'])|(?P<nl>\r\n|\n|\r)|(?P<c>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\n|\r))"""
+    r"""[ \t\f]*(?:(?P<w>[^\W\d][\w\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u065f\u0900-\u0e4e\u200c\u200d]*+)(?!["'])|(?P<q>[()\[\],])|(?P<nl>\r\n|\n|\r)|(?P<c>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\n|\r))"""
     r"""|(?P<str>[rRbBuUfFtT]{0,2}(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'))"""
     r"""|(?P<num>0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)|(?P<word>[^\W\d]\w*)"""
     r"""|(?P<p>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[+\-*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<bad>\S))""",
@@ -402,6 +402,10 @@ _PY = re.compile(
 )
 _PYKEY = frozenset("if else for in is not lambda await async yield from import as return raise assert del global nonlocal pass break continue def class with while try except finally elif and or".split())
 _PYOP = {"and": "OP", "or": "OP", "nonlocal": "global", "-": "+", "//": "OP", "%": "OP", "<<": "OP", ">>": "OP", "<=": "OP", ">=": "OP", "==": "OP", "!=": "OP", "&": "OP", "^": "OP", "<": "OP", ">": "OP"}
+#: Classes of words and signs wherever in a line they stand; the others depend on their place.
+_PYPLAIN = {k: _PYOP.get(k, k) for k in _PYKEY - {"lambda", "for", "else", "if"}}
+_PYSIGN = {k: _PYOP.get(k, k) for k in "... -> := ** // << >> <= >= == != - + * / % @ & | ^ ~ < > . ; =".split()}
+_PYSIGN |= {k: "AUG" for k in "**= //= >>= <<= += -= *= /= %= @= &= |= ^=".split()}
 #: Classes after which a statement starts.
 _PYSTART = frozenset(["^", "NL", "NL:", "IN"])
 _HEADS = frozenset("if elif else for while try except finally def class with".split())
@@ -412,18 +416,33 @@ def python_tokens(text: str) -> tuple[set, list, list]:
     of classes beginning with L:. Indentation, conditionals up to their else and lambdas up to their colon nest."""
     t, depth, start, head, colon = Trace(), 0, True, "", False
     indents: list[tuple[int, str, int]] = [(0, "H:^", 0)]
+    seq = ["^"]  # all classes in order
+    append = seq.append
     owed: list[list[int]] = [[0, 0]]  # of each open bracket: lambdas without colon, for seen
 
     def finish() -> None:
         """The end of a statement's line."""
         kind = "H" if head in _HEADS or head in ("match", "case") else "S"
-        t.pairs.add(("L:" + kind, "L::" if (colon if kind == "H" else t.prev == ":") else "L:$"))
-        t.add("NL:" if t.prev == "B:" else "NL")
+        t.pairs.add(("L:" + kind, "L::" if (colon if kind == "H" else seq[-1] == ":") else "L:$"))
+        append("NL:" if seq[-1] == "B:" else "NL")
 
     space, chars, fresh = 0, 0, True
     for m in _PY.finditer(text.lstrip("\ufeff") if text[:1] == "\ufeff" else text):
         kind = m.lastgroup
         v = m[kind]
+        if not start and not fresh:
+            cls = None
+            if kind == "w":
+                cls = _PYPLAIN.get(v) if v in _PYKEY else "NAME"
+            elif kind == "p":
+                cls = _PYSIGN.get(v)
+            elif kind == "str":
+                cls = "STR"
+            elif kind == "nl" and depth:
+                continue
+            if cls is not None:
+                append(cls)
+                continue
         if fresh:  # the first token of a line
             lead = m.start(kind) - m.start()
             space, chars, fresh = (len(m[0][:lead].expandtabs(8)) if lead else 0), lead, False
@@ -449,7 +468,7 @@ def python_tokens(text: str) -> tuple[set, list, list]:
             if space > indents[-1][0] and chars > indents[-1][2]:
                 indents.append((space, "H:^M" if indents[-1][1] == "H:MATCH" else "H:^", chars))
                 t.nest.append(LEVEL + 1024 * space + chars)
-                t.add("IN")
+                append("IN")
             else:
                 while len(indents) > 1 and space < indents[-1][0]:
                     last = indents.pop()
@@ -469,15 +488,15 @@ def python_tokens(text: str) -> tuple[set, list, list]:
                     t.nest.append(LAMBDA)
                 elif v == "for":
                     own[1] = 1
-                elif t.prev in _PYSTART:
+                elif seq[-1] in _PYSTART:
                     pass
                 elif v == "else":
                     t.nest.append(-TERNARY)
                 elif v == "if" and not own[1] and not (head == "case" and depth == 0):
                     t.nest.append(TERNARY)
-            elif v in ("match", "case") and t.prev in _PYSTART and head == v:
+            elif v in ("match", "case") and seq[-1] in _PYSTART and head == v:
                 cls = v.upper()
-            elif v == "type" and (t.prev in _PYSTART or t.prev == ";") and re.match(r"type\s+[^\W\d]\w*\s*[=\[]", text[m.start(m.lastgroup) : m.start(m.lastgroup) + 80]):
+            elif v == "type" and (seq[-1] in _PYSTART or seq[-1] == ";") and re.match(r"type\s+[^\W\d]\w*\s*[=\[]", text[m.start(m.lastgroup) : m.start(m.lastgroup) + 80]):
                 cls = "TYPE"
             else:
                 cls = "NAME"
@@ -486,11 +505,9 @@ def python_tokens(text: str) -> tuple[set, list, list]:
         elif kind == "num":
             cls = "NUM"
             if re.match(r"0\d*[1-9]\d*$", v):  # a zero and another number
-                t.add("NUM")
-        elif kind == "p":
-            cls = _PYOP.get(v, v)
-            if len(v) > 1 and v[-1] == "=" and v not in ("==", "!=", "<=", ">=", ":="):
-                cls = "AUG"
+                append("NUM")
+        elif kind == "p" or kind == "q":
+            cls = _PYSIGN.get(v, v)
             if v in _OPEN:
                 depth += 1
                 owed.append([0, 0])
@@ -514,15 +531,16 @@ def python_tokens(text: str) -> tuple[set, list, list]:
             cls = "STR"
         else:
             cls = v
-        t.pairs.add((t.prev, cls))
-        t.prev = cls
+        append(cls)
     if not start:
         finish()
     for space, label, chars in indents[::-1]:
         t.pairs.add((label, "H:$"))
         if label and (space or chars):
             t.nest.append(-(LEVEL + 1024 * space + chars))
-    return t.end()
+    append("$")
+    t.pairs.update(zip(seq, seq[1:]))
+    return t.pairs, t.nest, t.keys
 
 
 _SH_RESERVED = frozenset("if then elif else fi for while until do done case esac function { } ! [[ select".split())
@@ -826,6 +844,8 @@ _JS = re.compile(
 )
 _JSKEY = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch throw try typeof var void while let async await yield static of".split())
 _JSRESERVED = _JSKEY - {"let", "async", "await", "yield", "static", "of"} | frozenset(["enum", "with"])
+#: Words whose class depends on what follows.
+_JSPLACE = frozenset("from as of get set let async await yield static".split())
 _JSOP = {"delete": "UN", "typeof": "UN", "void": "UN", "!": "UN", "~": "UN", "-": "+", "--": "++", "instanceof": "BIN", "debugger": "debugger"}
 _JSBIN = frozenset("=== !== >>> == != <= >= && || ?? << >> ** < > % & | ^".split())
 _JSSET = frozenset(">>>= **= <<= >>= &&= ||= ??= += -= *= /= %= &= |= ^=".split())
@@ -871,11 +891,18 @@ def js_tokens(text: str) -> tuple[set, list, list]:
         i = m.end()
         if kind == "w":
             member = prev == "." or prev == "?."
-            after = text[i : i + 40].lstrip()
-            key = top[0] in ("O", "C") and prev in ("{O", "{C", ",", ";", "}", "get", "set", "async", "static", "*", "]", "STR", "ID", "NUM") and after[:1] in ("(", ":", "=", ";", ",", "}")
             if member or v[0] == "#":
                 add("ID")
-            elif top[0] == "C" and prev not in ("=", "ID", ".", "extends") and v in ("get", "set", "static", "async") and after[:1] not in ("(", "=", ";"):
+                continue
+            if top[0] not in "OC" and v not in _JSPLACE:
+                if v not in _JSRESERVED:
+                    add("ID")
+                    continue
+                after = ""
+            else:
+                after = text[i : i + 40].lstrip()
+            key = top[0] in ("O", "C") and prev in ("{O", "{C", ",", ";", "}", "get", "set", "async", "static", "*", "]", "STR", "ID", "NUM") and after[:1] in ("(", ":", "=", ";", ",", "}")
+            if top[0] == "C" and prev not in ("=", "ID", ".", "extends") and v in ("get", "set", "static", "async") and after[:1] not in ("(", "=", ";"):
                 if newline and prev not in ("{C", ";", "}"):
                     add(";")
                 add(v)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,18 +71,38 @@ _LEXED = "file_id bigint, lang string, pairs array<string>, nest array<int>, key
 
 
 def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spelled: dict[tuple[str, str], int] = {}  # a pair's text is made once
     for b in batches:
         pairs, nests, keys = [], [], []
+        ends = [[0], [0], [0]]
         for lang, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             p, n, k = LEXERS[lang](text)
-            pairs.append([f"{x}\t{y}" for x, y in p])
-            nests.append(n)
-            keys.append(k)
-        strings = pa.list_(pa.string())
-        arrays = [b.column(0), b.column(1), pa.array(pairs, strings), pa.array(nests, pa.list_(pa.int32())), pa.array(keys, strings)]
+            pairs += [spelled.setdefault(x, len(spelled)) for x in p]
+            nests += n
+            keys += k
+            for at, have in zip(ends, (pairs, nests, keys)):
+                at.append(len(have))
+        texts = pa.DictionaryArray.from_arrays(pa.array(pairs, pa.int32()), pa.array([f"{x}\t{y}" for x, y in spelled], pa.string())).cast(pa.string())
+        events, at = _without_leaves(np.array(nests, dtype=np.int32), np.array(ends[1]))
+        lists = [(texts, ends[0]), (pa.array(events), at), (pa.array(keys, pa.string()), ends[2])]
+        arrays = [b.column(0), b.column(1), *(pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for v, e in lists)]
         yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "lang", "pairs", "nest", "keys"])
 
 
+def _without_leaves(events: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The events of several texts without openings that are closed by the very next event, which say nothing more."""
+    if len(events) < 2:
+        return events, ends
+    pair = (events[:-1] > 0) & (events[1:] == -events[:-1])
+    inner = ends[(ends > 0) & (ends < len(events))]
+    pair[inner - 1] = False  # the next event is another text's
+    leaf = np.zeros(len(events), dtype=bool)
+    leaf[:-1] |= pair
+    leaf[1:] |= pair
+    kept = np.concatenate([[0], np.cumsum(~leaf)])
+    return events[~leaf], kept[ends]
+
+
 def lexed(files: DataFrame) -> DataFrame:
     """``file_id, lang, pairs, nest, keys`` of each file of ``file_id, path, text`` in a known language."""
     known = files.select(F.col("file_id").cast("bigint").alias("file_id"), language_of(F.col("path")).alias("lang"), "text")
