@@ -403,7 +403,7 @@ _PY = re.compile(
 _PYKEY = frozenset("if else for in is not lambda await async yield from import as return raise assert del global nonlocal pass break continue def class with while try except finally elif and or".split())
 _PYOP = {"and": "OP", "or": "OP", "nonlocal": "global", "-": "+", "//": "OP", "%": "OP", "<<": "OP", ">>": "OP", "<=": "OP", ">=": "OP", "==": "OP", "!=": "OP", "&": "OP", "^": "OP", "<": "OP", ">": "OP"}
 #: Classes of words and signs wherever in a line they stand; the others depend on their place.
-_PYPLAIN = {k: _PYOP.get(k, k) for k in _PYKEY - {"lambda", "for", "else", "if"}}
+_PYWORD = {k: _PYOP.get(k, k) for k in _PYKEY} | dict.fromkeys(["lambda", "for", "else", "if"])
 _PYSIGN = {k: _PYOP.get(k, k) for k in "... -> := ** // << >> <= >= == != - + * / % @ & | ^ ~ < > . ; =".split()}
 _PYSIGN |= {k: "AUG" for k in "**= //= >>= <<= += -= *= /= %= @= &= |= ^=".split()}
 #: Classes after which a statement starts.
@@ -417,7 +417,7 @@ def python_tokens(text: str) -> tuple[set, list, list]:
     t, depth, start, head, colon = Trace(), 0, True, "", False
     indents: list[tuple[int, str, int]] = [(0, "H:^", 0)]
     seq = ["^"]  # all classes in order
-    append = seq.append
+    append, nest = seq.append, t.nest
     owed: list[list[int]] = [[0, 0]]  # of each open bracket: lambdas without colon, for seen
 
     def finish() -> None:
@@ -428,21 +428,37 @@ def python_tokens(text: str) -> tuple[set, list, list]:
 
     space, chars, fresh = 0, 0, True
     for m in _PY.finditer(text.lstrip("\ufeff") if text[:1] == "\ufeff" else text):
-        kind = m.lastgroup
-        v = m[kind]
-        if not start and not fresh:
-            cls = None
-            if kind == "w":
-                cls = _PYPLAIN.get(v) if v in _PYKEY else "NAME"
-            elif kind == "p":
-                cls = _PYSIGN.get(v)
-            elif kind == "str":
-                cls = "STR"
-            elif kind == "nl" and depth:
+        k = m.lastindex
+        v = m[k]
+        if not (start or fresh):  # within a line
+            if k == 1:
+                if cls := _PYWORD.get(v, "NAME"):
+                    append(cls)
+                    continue
+            elif k == 2:
+                if v == ",":
+                    append(",E" if head == "except" and not depth else v)
+                elif v in _OPEN:
+                    depth += 1
+                    owed.append([0, 0])
+                    nest.append(_OPEN[v])
+                    append(v)
+                else:
+                    depth = max(0, depth - 1)
+                    if len(owed) > 1:
+                        owed.pop()
+                    nest.append(-_CLOSE[v])
+                    append(v)
                 continue
-            if cls is not None:
+            elif cls := _PYSIGN.get(v):
                 append(cls)
                 continue
+            elif k == 6:
+                append("STR")
+                continue
+            elif k == 3 and depth:
+                continue
+        kind = m.lastgroup
         if fresh:  # the first token of a line
             lead = m.start(kind) - m.start()
             space, chars, fresh = (len(m[0][:lead].expandtabs(8)) if lead else 0), lead, False
@@ -858,17 +874,19 @@ def js_tokens(text: str) -> tuple[set, list, list]:
     t, i, n = Trace(), 0, len(text)
     stack: list[list] = [["B", "", 0]]  # kind of block, word that opened it, open conditionals
     newline, closed = False, ""  # closed: what the last closed round bracket belonged to
-    before, match = ["^", "^"], _JS.match
+    match = _JS.match
+    seq = ["^", "^"]  # all classes in order
+    put = seq.append
+    joints: list[int] = []  # after which of them a line ends
 
     def add(cls: str) -> None:
         nonlocal newline
-        if newline and t.prev != "^":
-            t.pairs.add((t.prev + "~", cls))
-            t.prev = cls
-        else:
-            t.add(cls)
-        newline = False
-        before[0], before[1] = before[1], cls
+        if newline:
+            if len(seq) > 2:
+                t.pairs.add((seq[-1] + "~", cls))
+                joints.append(len(seq) - 1)
+            newline = False
+        put(cls)
 
     if text.startswith("#!"):
         i = (text.find("\n") + n + 1) % (n + 1)
@@ -883,7 +901,7 @@ def js_tokens(text: str) -> tuple[set, list, list]:
             i = m.end()
             continue
         top = stack[-1]
-        prev = t.prev
+        prev = seq[-1]
         if kind == "p" and v[0] == "/" and prev not in _VALUE_END and (r := _JSREGEX.match(text, m.start(kind))):
             add("REGEX")
             i = r.end()
@@ -969,7 +987,7 @@ def js_tokens(text: str) -> tuple[set, list, list]:
         elif v == "{":
             t.nest.append(CURLY)
             word = top[3] if len(top) > 3 else ""
-            if prev == ")" and before[1] == ")":
+            if prev == ")" and seq[-1] == ")":
                 opener = "function" if closed == "call" else closed
             else:
                 opener = ""
@@ -1009,9 +1027,9 @@ def js_tokens(text: str) -> tuple[set, list, list]:
             t.nest.append(_OPEN[v])
             what = ""
             if v == "(":
-                if prev in ("if", "for", "while", "switch", "catch") or prev == "await" and before[0] == "for":
+                if prev in ("if", "for", "while", "switch", "catch") or prev == "await" and seq[-2] == "for":
                     what = "for" if prev == "await" else prev
-                elif prev == "function" or before[0] == "function" and prev in ("ID", "*") or before[0] == "*" and prev == "ID":
+                elif prev == "function" or seq[-2] == "function" and prev in ("ID", "*") or seq[-2] == "*" and prev == "ID":
                     what = "function"
                 elif top[0] in ("O", "C") and prev in ("ID", "STR", "NUM", "]"):
                     what = "method"
@@ -1033,7 +1051,7 @@ def js_tokens(text: str) -> tuple[set, list, list]:
                 add(":C")
             elif top[0] == "O":
                 add(":O")
-            elif top[0] in ("B", "S") and prev == "ID" and before[0] in ("^", ";", "{", "}", "{T", "{K", "{D"):
+            elif top[0] in ("B", "S") and prev == "ID" and seq[-2] in ("^", ";", "{", "}", "{T", "{K", "{D"):
                 add(":L")
             else:
                 add(":")
@@ -1048,9 +1066,14 @@ def js_tokens(text: str) -> tuple[set, list, list]:
             add(";(")
         else:
             add(_JSOP.get(v, v))
-        if kind == "w" and v == "class" and t.prev == "class":
+        if kind == "w" and v == "class" and seq[-1] == "class":
             top.append("class") if len(top) == 3 else None
-    return t.end()
+    put("$")
+    at = 1
+    for j in [*joints, len(seq) - 1]:
+        t.pairs.update(zip(seq[at:j], seq[at + 1 : j + 1]))
+        at = j + 1
+    return t.pairs, t.nest, t.keys
 
 
 LEXERS = {"py": python_tokens, "js": js_tokens, "sh": shell_tokens, "json": json_tokens, "yaml": yaml_tokens, "toml": toml_tokens}
