@@ -1,9 +1,10 @@
 """Credentials embedded in source code: where they are, and texts in which they are blanked.
 
-Quoted strings and long tokens become rows with their context, alphabet and Shannon entropy; thresholds on these,
-adjusted for length, decide, after digests, identifiers, references and placeholders are excluded. Context is a name on
-the value's own line, on the line before it or before the list that holds it, or a public format; long tokens without
-such a context are judged by a stricter threshold. Positions are 0-based code points of the whole text.
+Every quoted string without blanks and every long token of a text becomes a row with its context, alphabet and Shannon
+entropy, and so do shorter values where the line says what they are. Thresholds, adjusted for alphabet and length,
+decide after digests, identifiers, references, words and placeholders are excluded. The context sets how high the threshold
+is: a name on the value's own line, on the line before it or before the list that holds it lowers it, as a public format
+does; a literal without any of them has to be all but random. Positions are 0-based code points of the whole text.
 
 Null and empty texts give no rows and are returned unchanged; a credential that stands in a text twice gives two
 rows; equal files give equal rows under their own ids.
@@ -11,8 +12,6 @@ rows; equal files give equal rows under their own ids.
 
 from __future__ import annotations
 
-import base64
-import binascii
 import math
 import re
 from collections import Counter
@@ -34,19 +33,16 @@ FORMATS = [
     r"AIza[0-9A-Za-z_-]{30,}",
     r"SG\.[0-9A-Za-z_-]{16,}\.[0-9A-Za-z_-]{16,}",
     r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    r"[a-z]{2,6}_live_[0-9a-f]{32}",
-    r"[a-z]{2,5}-[0-9A-Za-z]{8}-[0-9A-Za-z]{20,}",
 ]
 FORMAT = re.compile(r"(?<![0-9A-Za-z_])(?:" + "|".join(FORMATS) + ")")
-#: Starts of the same formats, for literals that are put together.
-FORMAT_START = re.compile(r"A(?:KIA|SIA)[0-9A-Z]{2}|gh[opsur]_|github_pat_|glpat-|npm_|[a-z]{2,6}_live_|xox[abeoprs]-|AIza|SG\.|eyJ|vtx-")
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
-#: Lower-case text by which a line may hold a credential; names of keys are looked at more closely by KEYISH.
+#: Lower-case text that a line holds if a name on it says that it holds a credential, or one of the formats or schemes
+#: stands on it; other lines have nothing but their quoted strings and long tokens.
 HINTS = (
     "pass pwd pw secret token key auth bearer basic login cred contrase kennwort clave cle_ mot_de akia asia "
-    "ghp_ gho_ ghs_ ghu_ ghr_ github_pat glpat- npm_ _live_ _test_ xox aiza sg. eyj vtx- :// sshpass"
+    "ghp_ gho_ ghs_ ghu_ ghr_ github_pat glpat- npm_ _live_ _test_ xox aiza sg. eyj :// sshpass cle- _cle -cle cleapi apicle"
 ).split()
-SKIP = {"token": re.compile(r"token_?bucket|token_?iz"), "pass": re.compile(r"pass(?:ed|es|ing)?\b(?![\"'\s]*[:=])"), "pw": re.compile(r"pw(?=[a-z])")}
+SKIP = {"token": re.compile(r"token_?bucket|token_?iz"), "pass": re.compile(r"pass(?:ed|es|ing)?(?![\w.-])(?![\"'\s]*[:=])")}
 NEEDS = {
     "key": re.compile(r"(?:api|access|secret|sign|signing|encryption|auth|private|account|client|service|master|session|app|shared|hmac|webhook|jwt|deploy|admin|cle|licen[cs]e)[_. -]?$|[?&]$"),
     "pw": re.compile(r"(?:^|[^a-z])$|[a-z][_ -]?$"),
@@ -83,12 +79,20 @@ IN_LIST = re.compile(r"""(?P<s>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[
 LIST_NAME = re.compile(r"""["']?(?P<name>[\w\-]+)["']?\s*(?::|=>?)\s*$""")
 LIST_ITEM = re.compile(r"""(?P<dash>\s*-\s+)(?:(?P<q>["'])(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)|(?P<b>[^\s#"'\[{&*!|>][^\s#]*))\s*(?:#.*)?""")
 
+#: Long tokens, and quoted strings without blanks, wherever they stand.
 LONG = re.compile(r"(?<![\w+/.~:@%\\?&#-])[A-Za-z0-9+/_-]{20,}={0,2}(?![\w+/~:@%-])")
+STRING = re.compile(r"""(?P<q>["'`])(?P<v>[^\s"'`\\]{16,})(?P=q)""")
 _AROUND = " \t\r\"',+\\"
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:(?:(?!-----BEGIN).)*?-----END \1-----|(?:\s*[A-Za-z0-9+/=]{16,})*)", re.S)
 CHANGES = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]")
-#: Before an unnamed long token on its line: what says that it is no credential.
-DATA_BEFORE = re.compile(r"data:|base64,|sha\d+[-:=_]|md5[-:=]|ssh-(?:ed25519|rsa|dss)|ecdsa-sha2|integrity|://", re.I)
+SIGNS = re.compile(r"[^A-Za-z0-9]")
+#: Signs that stand in addresses, paths, patterns, formats and code rather than in a password.
+STRUCTURE = re.compile(r"[/\\{}<>()\[\]*|^%$\"'`]|::|\.\.|--|[a-z]:[a-z]|,")
+#: A key's own name and a random part: words with _ between them, then the part.
+PREFIXED = re.compile(r"(?P<words>[A-Za-z]{2,10}(?:_[A-Za-z]{2,10})*)_(?P<part>[0-9A-Za-z]{20,})|(?P<word>[A-Za-z]{2,10})-(?P<parts>[0-9A-Za-z]{6,}(?:-[0-9A-Za-z]{16,})+)")
+#: Shortly before an unnamed long token on its line: what says that it is no credential.
+DATA_BEFORE = re.compile(r"data:|base64,|sha\d+[-:=_]|md5[-:=]|ssh-(?:ed25519|rsa|dss)|ecdsa-sha2|integrity", re.I)
+NEAR = 40
 #: Words of names of long values that are other data.
 DATA = frozenset("blob fixture icon image img picture logo font data payload body sample cert certificate crt pem public pub integrity nonce uuid guid sri thumbprint snapshot expected golden encoded content".split())
 
@@ -305,33 +309,63 @@ def _below(text: str, a: int, b: int, m: re.Match) -> Iterator[tuple[int, int, s
         yield first, last, "named"
 
 
-def _unnamed(text: str) -> Iterator[tuple[int, int]]:
-    """Long tokens without a context that look random and aren't said to be other data."""
+def _random(v: str) -> bool:
+    """Whether letters and digits change in a token as often as they do at random."""
+    return sum(ch.isdigit() for ch in v) >= 2 and any(ch.isalpha() for ch in v) and len(CHANGES.findall(v)) >= 0.3 * len(v)
+
+
+def _what(v: str) -> tuple[str, str | None]:
+    """Context (unnamed, or prefixed where a key's own name stands before its random part) of a literal that nothing on
+    its line explains, and why it is none by its form."""
+    if HEX.fullmatch(v) or UUID.fullmatch(v) or re.match(r"(?:sha\d*|md5)[-_:]", v.lower()):
+        return "unnamed", "digest"
+    if (m := PREFIXED.fullmatch(v)) and not (DATA | ABOUT) & {w.lower() for w in (m["words"] or m["word"]).split("_")}:
+        part = m["part"] or m["parts"].replace("-", "")
+        if m["part"] and "_" in m["words"] and HEX.fullmatch(part) and any(ch.isalpha() for ch in part) or not HEX.fullmatch(part) and (_random(part) or len(CHANGES.findall(part)) >= 0.3 * len(part)):
+            return "prefixed", None
+    if SIGNS.sub("", v) == v or re.fullmatch(r"[A-Za-z0-9+/_=-]+", v):
+        return "unnamed", None if len(v) >= 20 and _random(v) else "words"
+    kinds = sum(bool(re.search(x, v)) for x in ("[a-z]", "[A-Z]", "[0-9]"))
+    if STRUCTURE.search(v) or HOST.fullmatch(v) or EMAIL.search(v):
+        return "unnamed", "structure"
+    signs = len(SIGNS.findall(v))
+    return "unnamed", None if kinds == 3 and 2 <= signs <= len(v) // 3 and len(CHANGES.findall(v)) + signs >= 0.5 * len(v) else "words"
+
+
+def _unnamed(text: str) -> Iterator[tuple[int, int, str, str | None]]:
+    """(start, end, context, why it is none) of every quoted string and long token of a text."""
     pems = None
-    for m in LONG.finditer(text):
-        v = m[0]
-        if HEX.fullmatch(v) or UUID.fullmatch(v) or sum(ch.isdigit() for ch in v) < 2 or len(CHANGES.findall(v)) < 0.3 * len(v) or not any(ch.isalpha() for ch in v):
-            continue
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = text.find("\n", m.end())
-        line, before = text[a : len(text) if b < 0 else b], text[a : m.start()]
-        if DATA_BEFORE.search(before):
+    last = -1
+    spans = sorted({m.span("v") for m in STRING.finditer(text)} | {m.span() for m in LONG.finditer(text)})
+    for s, e in spans:
+        if s < last:
+            continue  # a token within a string
+        last = e
+        v = text[s:e]
+        context, why = _what(v)
+        if why:
+            yield s, e, context, why
             continue
+        a = text.rfind("\n", 0, s) + 1
+        b = text.find("\n", e)
+        line, before = text[a : len(text) if b < 0 else b], text[a:s]
         bare = line.strip(_AROUND)
         if bare == v.strip(_AROUND):
             # A token that fills its line: wrapped data if a line beside it is filled as well, else named by the line before.
             prev = text[text.rfind("\n", 0, max(0, a - 1)) + 1 : max(0, a - 1)]
             after = text[b + 1 :].split("\n", 1)[0] if b >= 0 else ""
             if any(LONG.fullmatch(x.strip(_AROUND)) for x in (prev, after)) or "-----" in prev + after:
-                continue
+                why = "data"
             before = prev
         names = [w.lower() for n in re.findall(r"[\w\-]+(?=[\"']?\]?\s*(?::|=|\())", before)[-1:] for w in WORDS.findall(n)]
-        if DATA_BEFORE.search(before) or names and (names[-1] in ABOUT or DATA & set(names)):
-            continue
-        if pems is None:
-            pems = [x.span() for x in PEM.finditer(text)] if "-----BEGIN " in text else []
-        if not any(s < m.end() and m.start() < e for s, e in pems):
-            yield m.span()
+        if DATA_BEFORE.search(before[-NEAR:]) or "://" in re.split(r"[\s\"'`]", before)[-1] or names and (context == "unnamed" and names[-1] in ABOUT or DATA & set(names)):
+            why = "data"
+        if why is None:
+            if pems is None:
+                pems = [x.span() for x in PEM.finditer(text)] if "-----BEGIN " in text else []
+            if any(x < e and s < y for x, y in pems):
+                why = "data"
+        yield s, e, context, why
 
 
 def _joined(text: str, at: int) -> Iterator[tuple[int, int, str]]:
@@ -415,8 +449,9 @@ def hinted_lines(low: str) -> list[tuple[int, int]]:
     return sorted(starts.items())
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Spans that may be credentials, with their context; overlapping ones are resolved to the narrowest."""
+def candidates(text: str) -> list[tuple[int, int, str, str | None]]:
+    """Spans that may be credentials, with their context and, for literals that nothing on their line explains, why they are
+    none; overlapping ones are resolved to the narrowest, and what a context explains is looked at in that one only."""
     out: dict[tuple[int, int], str] = {}
     listed: list[tuple[int, int]] = []
     low = _lower(text)
@@ -453,12 +488,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     spans = [(s, e, c) for (s, e), c in out.items() if not any(x < e and s < y for x, y in blocks)]
     spans += [(s, e, "block") for s, e in blocks]
     # A span that holds another one is a wrapper (a URL, a header, a whole document).
-    kept: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str, str | None]] = []
     for x in sorted(spans, key=lambda x: (x[2] != "format", x[1] - x[0])):
         if not any(x[0] < k[1] and k[0] < x[1] for k in kept):
-            kept.append(x)
-    kept += [(s, e, "unnamed") for s, e in _unnamed(text) if not any(s < y and x < e for x, y, _ in spans)]
-    return sorted(kept)
+            kept.append((*x, None))
+    kept += [u for u in _unnamed(text) if not any(u[0] < y and x < u[1] for x, y, _ in spans)]
+    return sorted(kept, key=lambda x: x[:2])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,9 +502,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
                 continue
-            for s, e, c in candidates(text):
+            found = candidates(text)
+            for i, (s, e, c, why) in enumerate(found):
                 v = text[s:e]
-                row = (fid, s, e, c, alphabet(v), e - s, entropy(v), None if c == "block" else excluded(v, c))
+                whole = v
+                if c == "joined" or i + 1 < len(found) and found[i + 1][2] == "joined":
+                    # Parts of one literal are judged by what they make together.
+                    first, end = i, i + 1
+                    while found[first][2] == "joined":
+                        first -= 1
+                    while end < len(found) and found[end][2] == "joined":
+                        end += 1
+                    whole = "".join(text[x[0] : x[1]] for x in found[first:end])
+                row = (fid, s, e, c, alphabet(whole), len(whole), entropy(whole), why or (None if c in ("block", "joined", "prefixed") else excluded(v, c)))
                 for col, x in zip(cols, row):
                     col.append(x)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string()]
@@ -490,13 +535,13 @@ def threshold() -> Column:
         hit = F.col("alphabet") == k
         full = F.when(hit, bits) if full is None else full.when(hit, bits)
     reachable = F.least(full, F.log2(F.col("length").cast("double")))
-    share = F.when(F.col("context").isin("named", "flag", "pair", "url", "query", "bare", "prose"), 0.4).otherwise(0.6)
+    share = F.when(F.col("context").isin("named", "joined", "flag", "pair", "url", "query", "bare", "prose"), 0.4).otherwise(0.6)
     return reachable * F.when(F.col("context") == "unnamed", 0.85).otherwise(share)
 
 
 def credentials(found: DataFrame) -> DataFrame:
     """``file_id, start_pos, end_pos`` of the candidates that are credentials."""
-    hit = F.col("context").isin("block", "joined") | (F.col("excluded").isNull() & (F.col("entropy") >= threshold()))
+    hit = (F.col("context") == "block") | (F.col("excluded").isNull() & (F.col("entropy") >= threshold()))
     return found.where(hit).select("file_id", "start_pos", "end_pos")
 
 

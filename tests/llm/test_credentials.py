@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import random
+import string
+import uuid
 
 import pytest
 
@@ -111,3 +114,71 @@ def test_context_beyond_the_line(spark):
     for r in sorted(found.collect()):
         got.setdefault(r.file_id, []).append(texts[r.file_id][r.start_pos : r.end_pos])
     assert got == {i: want for i, (_, want) in enumerate(FOUND_ELSEWHERE)}
+
+
+def corpus(r):
+    """Made files with names, formats and shapes of their own; (text, spans of the credentials)."""
+    chars = string.ascii_letters + string.digits
+    rand = lambda n, of=chars: "".join(r.choice(of) for _ in range(n))
+    word = lambda: r.choice("orchard signal harbour granite lantern meadow copper thistle".split())
+    secret = lambda: r.choice([rand(r.randrange(24, 60)), rand(r.randrange(24, 48), chars + "+/"), rand(r.randrange(18, 30), chars + "!@#+=_.")])
+    password = lambda: r.choice([word().title() + str(r.randrange(100, 9999)) + "!", rand(r.randrange(9, 16)), rand(12, chars + "!#+-_")])
+    yes = [
+        lambda: (f"STRIPE_SECRET_KEY = '{{}}'", secret()), lambda: ("smtpPassword: \"{}\"", password()), lambda: ("const clientSecret = `{}`;", secret()), lambda: ("export TWILIO_AUTH_TOKEN={}", rand(32, "0123456789abcdef")),
+        lambda: ("mongodb://svc:{}@db.internal:27017/x", rand(14)), lambda: ("curl -H 'Authorization: Bearer {}' $URL", rand(40)), lambda: ("x = \"{}\"", secret()), lambda: ("connect(\"{}\")", secret()), lambda: ("items = [\"{}\"]", secret()),
+        lambda: ("blurb: {}", rand(r.randrange(24, 60))), lambda: ("  \"webhook_signing_secret\": \"{}\",", secret()), lambda: ("redis.Redis(host='h', password='{}')", password()), lambda: ("mysqldump --password={} db", rand(12)), lambda: ("key: acme_prod_{}", None),
+    ]
+    no = [
+        lambda: f"sha = '{rand(64, '0123456789abcdef')}'", lambda: f"commit {rand(40, '0123456789abcdef')}", lambda: f"request_id: {uuid.UUID(int=r.getrandbits(128))}", lambda: "password = os.environ['DB_PASSWORD']", lambda: "api_key: ${API_KEY}",
+        lambda: "secret: changeme", lambda: f"path = '/var/lib/{word()}/{word()}/data-{r.randrange(9)}.json'", lambda: f"url = 'https://{word()}.example/{word()}/{rand(6)}'", lambda: f"def {word()}_{word()}_{word()}_{word()}(): pass", lambda: f"class {word().title()}{word().title()}{word().title()}Factory {{}}",
+        lambda: f"\"integrity\": \"sha512-{rand(86, chars + '+/')}==\"", lambda: f"token_url = 'https://{word()}.example/oauth'", lambda: f"print('{word()} {word()} the {word()} of {word()}')", lambda: "max_tokens = 4096", lambda: f"img = 'data:image/png;base64,{rand(80, chars + '+/')}'",
+        lambda: f"icon_blob = '{rand(70)}'", lambda: "'%Y-%m-%dT%H:%M:%S.%fZ'", lambda: f"fmt = '{{{word()}:>10}}|{{{word()}:.3f}}'", lambda: f"ssh-rsa AAAAB3NzaC1yc2E{rand(80)} user@host", lambda: f"'{word()}-{word()}-{word()}-v{r.randrange(9)}.{r.randrange(9)}.tar.gz'",
+    ]
+    text, spans = "", []
+    for _ in range(r.randrange(8, 30)):
+        if r.random() < 0.3:
+            form, v = r.choice(yes)()
+            if v is None:
+                form, v = "key: {}", f"acme_prod_{rand(32, '0123456789abcdef')}"
+            at = len(text) + form.index("{}")
+            spans.append((at, at + len(v)))
+            text += form.replace("{}", v) + "\n"
+        else:
+            text += r.choice(no)() + "\n"
+    return text, spans
+
+
+def test_precision_and_recall_on_a_made_corpus(spark):
+    r = random.Random(29)
+    files = [corpus(r) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(files)], "file_id long, text string")
+    got = {tuple(x) for x in C.credentials(C.credential_candidates(df)).collect()}
+    want = {(i, s, e) for i, (_, spans) in enumerate(files) for s, e in spans}
+    lost, more = want - got, got - want
+    show = [files[i][0][s - 30 : e] for i, s, e in sorted(lost)[:6]], [files[i][0][s - 30 : e] for i, s, e in sorted(more)[:6]]
+    assert len(want) > 1500
+    assert len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.9, (len(lost), len(more), show)
+
+
+def test_unexplained_literals_are_candidates_everywhere():
+    v = "kJ8sLq2ZpX0vTn4RbYw7Hc3M"
+    for t in (f'x = "{v}"', f'conn("{v}")', f'cfg = ["{v}"]', f"blurb: {v}", f"# see {v}"):
+        assert [(t[s:e], c, why) for s, e, c, why in C.candidates(t)] == [(v, "unnamed", None)]
+    for t, why in ((f"x = '{'0123456789abcdef' * 4}'", "digest"), ("x = '550e8400-e29b-41d4-a716-446655440000'", "digest"), ("x = 'some_long_identifier_name'", "words"), (f"icon = '{v}'", "data"), ("x = 'a.b.c/{d}/e.f.g.h'", "structure")):
+        assert [x[2:] for x in C.candidates(t)] == [("unnamed", why)], t
+
+
+def test_every_name_of_a_credential_gives_its_line_a_hint():
+    words = sorted(C.STRONG | C.KEYED | {"key", "db", "user", "x"})
+    for a in words:
+        for b in words:
+            for name in (f"{a}_{b}", f"{a}{b.title()}", f"{a}-{b}", f"{a.upper()}_{b.upper()}", a):
+                if C.names_credential(name):
+                    line = f"{name} = 'v'"
+                    assert C.hinted_lines(C._lower(line)), name
+
+
+def test_parts_are_judged_together(spark):
+    df = spark.createDataFrame([(1, 'api_token = "aB3x" + "Zq9" + "Lk2"\n')], "file_id long, text string")
+    rows = sorted((r.start_pos, r.context, r.length, r.excluded) for r in C.credential_candidates(df).collect())
+    assert [(c, n, x) for _, c, n, x in rows] == [("named", 10, None), ("joined", 10, None), ("joined", 10, None)]
