@@ -80,20 +80,15 @@ def _latest(rows: DataFrame) -> DataFrame:
 
 
 def _differing(compared: DataFrame, bits: int) -> DataFrame:
-    """The lowest nodes that differ, top down: only below nodes that differ is the next level compared."""
-
-    def level(n: int) -> DataFrame:
-        if n == 0:
-            return compared.where("whole <> 0")
-        up = F.shiftright("node", 4 * n).alias("node")
-        return compared.groupBy("g", "pair", "bits", up).agg(F.bit_xor("whole").alias("whole")).where("whole <> 0")
-
-    top = -(-bits // 4)
-    opened = level(top)
-    for n in range(top - 1, -1, -1):
-        parents = opened.select("g", "pair", "bits", F.col("node").alias("above"))
-        below = level(n).withColumn("above", F.shiftright("node", 4))
-        opened = below.join(parents, ["g", "pair", "bits", "above"], "left_semi").drop("above")
+    """The lowest nodes that differ, top down: only below nodes that differ is the next level compared.
+
+    Every sixteen nodes are one of the level above; its digest is the xor of theirs. A tree has as many rows here as it has
+    nodes, one for NODE_ROWS rows.
+    """
+    opened = compared.where("whole <> 0")
+    for n in range(-(-bits // 4), 0, -1):
+        above = Window.partitionBy("g", "pair", F.shiftright("node", 4 * n))
+        opened = opened.withColumn("above", F.bit_xor("whole").over(above)).where("above <> 0").drop("above")
     return opened
 
 
@@ -135,8 +130,6 @@ def snapshot_changes(
     pairs = F.explode(F.array_compact(F.array(F.when(F.col("prev_no").isNotNull(), F.col("s")), F.col("next_no"))))
     sided = nodes.join(links, ["g", "s"]).select("g", pairs.alias("pair"), "bits", "node", "whole", *digests)
     compared = sided.groupBy("g", "pair", "bits", "node").agg(*[F.bit_xor(c).alias(c) for c in ["whole", *digests]])
-    if bits:
-        compared = cut(compared, "compared")
     mask = F.lit(0)
     for i, d in enumerate(digests):
         mask = mask.bitwiseOR(F.when(F.col(d) != 0, F.lit(1 << i)).otherwise(F.lit(0)))
