@@ -4,7 +4,8 @@ Rules are data. The tables here are general ones; :func:`line_rules`, :func:`pol
 :func:`names` read others from a table or file of any size-checked format, and every operator takes those as well.
 
 Patterns use only what Java's and RE2's regular expressions share and hold no capturing group. A rule may name a literal
-that a matching line must hold, so that most lines are passed over by a substring test.
+that a matching line must hold (in lower case where the pattern begins with ``(?i)``), so that most lines are passed over
+by a substring test.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def _table(table: str, severity: str, rows: list[tuple], once: str) -> list[Line
 def _words(table: str, words: str, category: str, action: str, once: str = "file", fold: str = "") -> list[LineRule]:
     """Rules for commands by name, then for names that are compared without case."""
     rows = [(w, w, rf"\b{re.escape(w)}\b", category, action) for w in words.split()]
-    rows += [(w, "", rf"(?i)\b{re.escape(w)}\b", category, action) for w in fold.split()]
+    rows += [(w, w.lower(), rf"(?i)\b{re.escape(w)}\b", category, action) for w in fold.split()]
     return _table(table, "restricted", rows, once)
 
 
@@ -237,10 +238,10 @@ PERSUASION = _table(
     "persuade",
     "restricted",
     [
-        ("urgent-sudo", "", rf"(?i)\bsudo\b.*{_URGENT}|{_URGENT}.*\bsudo\b", "social", "instruct"),
-        ("paste", "", rf"(?i){_PASTE}.*{_SHELL}|{_SHELL}.*{_PASTE}", "social", "instruct"),
+        ("urgent-sudo", "sudo", rf"(?i)\bsudo\b.*{_URGENT}|{_URGENT}.*\bsudo\b", "social", "instruct"),
+        ("paste", "paste", rf"(?i){_PASTE}.*{_SHELL}|{_SHELL}.*{_PASTE}", "social", "instruct"),
         ("pipe-to-shell", "|", r"(?i)\b(?:curl|wget)\s+\S+\s*\|\s*(?:ba)?sh", "social", "instruct"),
-        ("run-as-root", "", r"(?i)\brun\s+(?:this\s+)?(?:as\s+)?(?:root|administrator|admin)\b", "social", "privilege"),
+        ("run-as-root", "run", r"(?i)\brun\s+(?:this\s+)?(?:as\s+)?(?:root|administrator|admin)\b", "social", "privilege"),
         ("fake-update", "", rf"(?i){_UPDATE}.*{_RUN}|{_RUN}.*{_UPDATE}", "social", "authority"),
         ("disarm", "", r"(?i)\b(?:disable|turn\s+off|deactivate)\s+(?:your\s+)?(?:antivirus|firewall|defender|protection|security)\b", "social", "disarm"),
         ("open-permissions", "chmod", r"\bchmod\s+777\b", "social", "instruct"),

@@ -108,7 +108,8 @@ def code_lines(files: DataFrame, *keys: str) -> DataFrame:
 def hit(text: Column, rule: LineRule) -> Column:
     """Whether a line matches; the substring test comes first."""
     found = text.rlike(rule.pattern)
-    return F.contains(text, F.lit(rule.literal)) & found if rule.literal else found
+    held = F.lower(text) if rule.pattern.startswith("(?i)") else text
+    return F.contains(held, F.lit(rule.literal)) & found if rule.literal else found
 
 
 def _found(rule: LineRule) -> Column:

@@ -82,10 +82,14 @@ def main_file(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy("package_id").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """Texts for the scanners, a small table spread over all cores."""
+    return spread(_files(spark, d).select("file_id", "package_id", "suffix", "text"))
+
+
 def _code(spark: SparkSession, d: str, language: str) -> DataFrame:
     """Lines of the files of one language without comments."""
-    files = _files(spark, d).where(L.language(F.col("suffix")) == language)
-    return L.code_lines(files, "file_id")
+    return L.code_lines(_scanned(spark, d).where(L.language(F.col("suffix")) == language), "file_id")
 
 
 def _prohibited(spark: SparkSession, d: str, language: str) -> DataFrame:
@@ -125,7 +129,7 @@ def python_patterns(spark: SparkSession, d: str) -> DataFrame:
 def pattern_totals(spark: SparkSession, d: str) -> DataFrame:
     """All scanners put together in one pass over the texts: findings, files and packages per rule."""
     rules = {k: [r for t in [*tables, R.PROHIBITED.get(k, [])] for r in t] for k, tables in R.SCANS.items()}
-    every = L.every_match_by_language(L.code_lines(_files(spark, d), "file_id", "package_id"), rules).select("file_id", "package_id", "rule_id")
+    every = L.every_match_by_language(L.code_lines(_scanned(spark, d), "file_id", "package_id"), rules).select("file_id", "package_id", "rule_id")
     return every.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("file_id").alias("n_files"), F.countDistinct("package_id").alias("n_packages"))
 
 
@@ -153,7 +157,7 @@ def config_detections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return L.text_files(_files(spark, d), R.BINARY_SUFFIXES)
+    return L.text_files(_scanned(spark, d), R.BINARY_SUFFIXES)
 
 
 def hidden_characters(spark: SparkSession, d: str) -> DataFrame:

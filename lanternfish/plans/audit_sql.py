@@ -48,7 +48,7 @@ def _rules(tables: dict) -> str:
     return _values(rows, "rules", 'language, rule_id, tbl, ord, literal, pattern, severity, category, "action", once, scoped')
 
 
-_HIT = "l.language = r.language AND contains(l.text, r.literal) AND regexp_matches(l.text, r.pattern)"
+_HIT = "l.language = r.language AND contains(CASE WHEN starts_with(r.pattern, '(?i)') THEN lower(l.text) ELSE l.text END, r.literal) AND regexp_matches(l.text, r.pattern)"
 
 
 def _every(language: str, rules: list) -> str:

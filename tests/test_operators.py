@@ -100,7 +100,7 @@ def greedy(lines, rules):
     seen, out = set(), []
     for n, t in lines:
         for r in rules:
-            if r.rule_id not in seen and r.literal in t and re.search(r.pattern, t):
+            if r.rule_id not in seen and r.literal in (t.lower() if r.pattern.startswith("(?i)") else t) and re.search(r.pattern, t):
                 seen.add(r.rule_id)
                 out.append((n, r.rule_id))
                 break
