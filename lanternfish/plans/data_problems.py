@@ -126,3 +126,53 @@ def p4_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = cut(_report_nodes(spark, sf_dir), "report-nodes")
     out = entity_table(nodes, _RISKS, {n: n for n in ("rule_id", "severity", "risk_override")})
     return out.drop("holder", "value", "parent_ord").withColumn("risk_override", F.col("risk_override").try_cast("int")).withColumnRenamed("record", "report_id")
+
+
+def _elements(spark: SparkSession, sf_dir: str, arrays: dict[str, str], fields: list[str], value: str = "") -> DataFrame:
+    """Rows of one or two arrays (name of the list to its label): ``report_id, list, parent_ord, ord``, a column for each
+    field, and the element itself as ``value``. Of all nodes only theirs and those of the elements that hold them are read.
+    An object has a null value, a scalar null fields; nulls give no row but keep their position."""
+    held_by = {c.label: c.parents or None for c in REPORT_CHILDREN.values()}
+    labels = {f"{a}[]{tail}" for a in arrays.values() for tail in ["", *(f".{f}" for f in fields)]} | {f"{held_by[a]}[]" for a in arrays.values() if held_by[a]}
+    nodes = cut(_report_nodes(spark, sf_dir, sorted(labels)), "report-nodes")
+    out = None
+    for name, label in arrays.items():
+        part = entity_table(nodes, label, {f: f for f in fields}, held_by[label]).select("record", F.lit(name).alias("list"), "parent_ord", "ord", *fields, F.col("value").alias(value or "value"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnRenamed("record", "report_id")
+
+
+def p4_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat row per insight of a report."""
+    return _elements(spark, sf_dir, {"insight": _INSIGHTS}, ["category", "severity", "title"]).drop("list", "parent_ord", "value")
+
+
+def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of evidence; parent_ord is the position of its insight."""
+    return _elements(spark, sf_dir, {"evidence": f"{_INSIGHTS}[].evidence"}, [], "evidence").drop("list")
+
+
+def p4_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat row per unresolved scope that a report looks into."""
+    out = _elements(spark, sf_dir, {"scope": "ephemeral.unresolved_scope_analysis"}, ["file", "line", "llm_opinion"]).drop("list", "parent_ord", "value")
+    return out.withColumn("line", F.col("line").try_cast("int"))
+
+
+def p4_overreach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per permission beyond what the taxonomy of a report expects."""
+    return _elements(spark, sf_dir, {"overreach": "ephemeral.taxonomy.permission_overreach"}, [], "permission").drop("list", "parent_ord")
+
+
+def p4_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per scope of a finding; list and parent_ord name the finding."""
+    return _elements(spark, sf_dir, {s: f"{f}[].capability.scope" for s, f in zip(("prohibited", "restricted"), _FINDINGS)}, [], "scope")
+
+
+def p4_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per tag of a finding; list and parent_ord name the finding."""
+    return _elements(spark, sf_dir, {s: f"{f}[].tags" for s, f in zip(("prohibited", "restricted"), _FINDINGS)}, [], "tag")
+
+
+def p4_risk_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per capability that a combination risk was matched by; parent_ord is the position of the risk."""
+    return _elements(spark, sf_dir, {"matched": f"{_RISKS}[].matched_capabilities"}, [], "capability").drop("list")

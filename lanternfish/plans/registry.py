@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lanternfish.plans import audit, audit_sql, data_problems, data_problems_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
-PROBLEMS = ["p1_found", "p1_failed_casts", "p1_records", "p3_found", "p4_found", "p4_nodes", "p4_findings", "p4_leaves", "p4_risks"]
+PROBLEMS = [
+    "p1_found", "p1_failed_casts", "p1_records", "p3_found", "p4_found", "p4_nodes", "p4_findings", "p4_leaves", "p4_risks",
+    "p4_insights", "p4_evidence", "p4_unresolved", "p4_overreach", "p4_scopes", "p4_tags", "p4_risk_capabilities",
+]
 
 
 def queries() -> dict[str, Query]:
