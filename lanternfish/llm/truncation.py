@@ -220,12 +220,15 @@ def _cutter(times: int, piles: list[tuple[str, int]]):
 def line_end_counts(docs: DataFrame) -> DataFrame:
     """``tok, tok2, n, e``: over all texts, how often a token follows another in a line, and how often it then ends a line
     that isn't the last one."""
-    lines = docs.select(F.split(F.rtrim("text"), "\\r\\n|\\n|\\r").alias("ls")).select(F.posexplode("ls").alias("at", "line"), F.size("ls").alias("n"))
-    plain = F.trim(F.regexp_replace(F.lower("line"), r"[0-9]+", "0"))
-    words = lines.where("trim(line) <> ''").select(F.split(plain, r"\s+").alias("ws"), (F.col("at") == F.col("n") - 1).alias("final"))
-    before = F.concat(F.array(F.lit("")), F.slice("ws", 1, F.size("ws") - 1))
-    flat = words.select("final", F.size("ws").alias("n"), F.posexplode(F.arrays_zip(F.col("ws").alias("tok"), before.alias("tok2"))).alias("i", "p"))
-    flat = flat.select("final", (F.col("i") == F.col("n") - 1).alias("ends"), "p.tok", "p.tok2").where("NOT (ends AND final)")
+    # Line ends are tokens of their own, so a text is taken apart once and not line by line.
+    one_kind = F.replace(F.replace(F.trim("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    plain = F.regexp_replace(F.replace(F.lower(one_kind), F.lit("\n"), F.lit(" \n ")), r"[0-9]+", "0")
+    ws = F.col("ws")
+    places = F.arrays_zip(ws.alias("tok"), F.concat(F.array(F.lit("\n")), ws).alias("tok2"), F.slice(ws, 2, F.size(ws)).alias("next"))
+    flat = docs.select(F.split(plain, r"[ \t\f\x0B]+").alias("ws")).select(F.explode(places).alias("p"))
+    # The last token of a text has none after it.
+    flat = flat.where("p.tok <> '\n' AND p.tok <> '' AND p.next IS NOT NULL")
+    flat = flat.select("p.tok", F.when(F.col("p.tok2") == "\n", "").otherwise(F.col("p.tok2")).alias("tok2"), (F.col("p.next") == "\n").alias("ends"))
     # Counted as they are written, then once more by their form: a spelling is brought to its form once.
     raw = flat.groupBy("tok", "tok2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ends").cast("int")).alias("e"))
     form = lambda c: F.trim(c, F.lit(".,;:!?()[]\"'`*…")).alias(c)
@@ -310,7 +313,7 @@ def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     """
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", normal_source(F.col("source")).alias("source"), "text")
     two = written(line_end_counts(docs), "pairs")
-    one = two.groupBy("tok").agg(F.sum("n").alias("n1"), F.sum("e").alias("e1"))
+    one = written(two.groupBy("tok").agg(F.sum("n").alias("n1"), F.sum("e").alias("e1")), "tokens")
     two = two.select("tok", "tok2", F.col("n").alias("n2"), F.col("e").alias("e2"))
     lim = written(limits(docs), "limits")
     whole = written(_indexed(written(docs.mapInArrow(_plain, _FEATURED), "described"), one, two, lim), "ends")
