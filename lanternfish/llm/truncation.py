@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,15 @@ OMISSION = re.compile(r"(?:\s*(?:…|\.\.\.|\[\.\.\.\]|\[…\]))+$")
 DAMAGE = re.compile(r"(?:�|%[0-9A-Fa-f]{0,2}|&#?\w{0,6}|\\u?[0-9a-fA-F]{0,3}|Ã.?|â€?.?)+$")
 SENTENCE_END = re.compile(r"[.!?。][)\"'”»\]]*(?=\s|$)")
 LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s")
+DATE = re.compile(r"\d{4}-\d\d-\d\d")
+PAIR = re.compile(r"[\w.-]+:\s\S+")
+ASCII_NUMBER = re.compile(r"[0-9]+")
+NUMBER = re.compile(r"\d+")
+DIGIT = re.compile(r"\d")
+UPPER = re.compile(r"[A-Z]")
+LOWER = re.compile(r"[a-zà-ÿ]")
+REPEATED = re.compile(r"(.)\1+")
+HEXADECIMAL = re.compile(r"(?:^|:)([0-9a-f]+)$")
 
 
 def normal_source(source: Column) -> Column:
@@ -47,7 +55,7 @@ def normal_source(source: Column) -> Column:
 
 def token_form(token: str) -> str:
     """Lower case, digits as 0, without outer punctuation."""
-    return re.sub(r"[0-9]+", "0", token.lower()).strip(".,;:!?()[]\"'`*…")
+    return ASCII_NUMBER.sub("0", token.lower()).strip(".,;:!?()[]\"'`*…")
 
 
 def _bare(text: str) -> tuple[str, str]:
@@ -78,9 +86,9 @@ def _kind(line: str, fenced: bool) -> str:
         return "table"
     if LIST.match(line):
         return "list"
-    if re.match(r"\d{4}-\d\d-\d\d", s):
+    if DATE.match(s):
         return "log"
-    if re.fullmatch(r"[\w.-]+:\s\S+", s):
+    if PAIR.fullmatch(s):
         return "pair"
     return "plain"
 
@@ -106,21 +114,21 @@ def describe(text: str) -> tuple[list[int], str, str]:
     since = len(line[(ends[-1] if ends else 0) :].split())
     c = t[-1:]
     cls = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-zà-ÿ]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", last))))[-8:]
+    shape = REPEATED.sub(r"\1", LOWER.sub("a", UPPER.sub("A", DIGIT.sub("0", last))))[-8:]
     prev = head.rpartition("\n")[2].strip()
     prev_kind = _kind(prev, fenced) if prev else "blank"
-    flat = re.sub(r"\d+", "0", line.strip().lower())
+    flat = NUMBER.sub("0", line.strip().lower())
     f = [
         f"c={cls}", f"cc={kind},{cls},{done}", f"m={marks}", f"mk={marks},{done},{kind}", f"k={kind},{prev_kind}", f"done={done}",
         f"t={tok}", f"t2={tok2} {tok}", f"kt={kind},{tok}", f"sh={kind},{shape}", f"e3={t[-3:].lower()}", f"since={kind},{done},{min(since, 8)}",
         f"w={kind},{min(len(words), 10)}", f"p={' '.join(words[:2]).lower()},{min(len(words), 12)},{done}", f"len={_bucket(len(t))},{kind}", f"tl={kind},{min(len(tok), 12)}", f"mt={marks},{tok}",
         f"fl={' '.join(words[:2]).lower()}|{tok}|{min(len(words), 12)}",
         f"open={line.count('(') > line.count(')')},{line.count('`') % 2},{kind}", f"q={line.count(chr(34)) % 2},{kind}", f"fenced={fenced and kind != 'close'},{cls}",
-        f"l={flat}", f"pl={re.sub(r'[0-9]+', '0', prev.lower())}|{flat}",
+        f"l={flat}", f"pl={ASCII_NUMBER.sub('0', prev.lower())}|{flat}",
     ]
     if kind == "table":
         f.append(f"tb={line.count('|') - prev.count('|')},{cls}")
-    if m := re.search(r"(?:^|:)([0-9a-f]+)$", last):
+    if m := HEXADECIMAL.search(last):
         f.append(f"hex={min(len(m[1]), 65)}")
     if "://" in last:
         f.append("url")
@@ -297,12 +305,15 @@ def _fit(rows: DataFrame, piled: dict[int, float] | None = None) -> tuple[np.nda
 def _scored(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     weights, bias = model
 
-    @F.pandas_udf("double")
-    def score(ix: pd.Series) -> pd.Series:
-        z = np.array([weights[np.unique(x)].sum() for x in ix], dtype=float) + bias
-        return pd.Series(1 / (1 + np.exp(-z)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(3)
+            starts = lists.offsets.to_numpy()
+            # The indices of a row are distinct, as those of counts lie apart and hashed ones were made a set; none has no index.
+            z = np.add.reduceat(weights[lists.values.to_numpy()], starts[:-1]) + bias if len(lists) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-z))), b.column(2)], names=["doc_id", "source", "score", "piled"])
 
-    return rows.select("doc_id", "source", score("features").alias("score"), _piled().alias("piled"))
+    return rows.select("doc_id", "source", _piled().alias("piled"), "features").mapInArrow(run, "doc_id bigint, source string, score double, piled boolean")
 
 
 def truncation_scores(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
