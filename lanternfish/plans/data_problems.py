@@ -104,42 +104,43 @@ def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_nodes(spark, sf_dir).withColumnRenamed("record", "report_id")
 
 
+def _elements(spark: SparkSession, sf_dir: str, arrays: dict[str, str], fields: dict[str, str] | list[str], value: str = "value") -> DataFrame:
+    """Rows of the elements of arrays (name of the list to its label): ``report_id, list, parent_ord, ord``, a column for each
+    field (to its path below the element), and the element itself as ``value``. (report_id, list, ord) and, where another
+    element holds the array, parent_ord are the key that tables are linked by. Of all nodes only theirs and those of the
+    elements that hold them are read. An object has a null value, a scalar null fields; nulls give no row but keep their
+    position."""
+    fields = fields if isinstance(fields, dict) else {f: f for f in fields}
+    held_by = {c.label: c.parents or None for c in REPORT_CHILDREN.values()}
+    labels = {f"{a}[]{tail}" for a in arrays.values() for tail in ["", *(f".{f}" for f in fields.values())]} | {f"{held_by[a]}[]" for a in arrays.values() if held_by[a]}
+    nodes = cut(_report_nodes(spark, sf_dir, sorted(labels)), "report-nodes")
+    out = None
+    for name, label in arrays.items():
+        part = entity_table(nodes, label, fields, held_by[label]).select("record", F.lit(name).alias("list"), "parent_ord", "ord", *fields, F.col("value").alias(value))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnRenamed("record", "report_id")
+
+
+def _of_findings(below: str = "") -> dict[str, str]:
+    return {f.rpartition(".")[2]: f + below for f in _FINDINGS}
+
+
 def p4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat row per finding of a report."""
-    nodes = cut(_report_nodes(spark, sf_dir), "report-nodes")
-    names = ["file", "line", "col", "pattern", "severity", "message", "suggested_fix"]
-    fields = {n: n for n in names} | {"category": "capability.category", "action": "capability.action", "scope_resolved": "capability.scope_resolved"}
-    parts = [entity_table(nodes, f, fields).withColumn("list", F.lit(f.rpartition(".")[2])) for f in _FINDINGS]
-    out = parts[0].unionByName(parts[1]).drop("holder", "value", "parent_ord").withColumnRenamed("record", "report_id")
+    fields = {n: n for n in ("file", "line", "col", "pattern", "severity", "message", "suggested_fix")} | {n: f"capability.{n}" for n in ("category", "action", "scope_resolved")}
+    out = _elements(spark, sf_dir, _of_findings(), fields).drop("parent_ord", "value")
     return out.withColumn("line", F.col("line").try_cast("int")).withColumn("col", F.col("col").try_cast("int")).withColumn("scope_resolved", F.col("scope_resolved").try_cast("boolean"))
 
 
 def p4_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat row per Merkle leaf of a report."""
-    at = "deterministic.merkle_tree.leaves"
-    nodes = _report_nodes(spark, sf_dir, [f"{at}[]", f"{at}[].path", f"{at}[].hash"])
-    return entity_table(cut(nodes, "report-nodes"), at, {"path": "path", "hash": "hash"}).drop("holder", "value", "parent_ord").withColumnRenamed("record", "report_id")
+    return _elements(spark, sf_dir, {"leaf": "deterministic.merkle_tree.leaves"}, ["path", "hash"]).drop("list", "parent_ord", "value")
 
 
 def p4_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat row per combination risk of a report."""
-    nodes = cut(_report_nodes(spark, sf_dir), "report-nodes")
-    out = entity_table(nodes, _RISKS, {n: n for n in ("rule_id", "severity", "risk_override")})
-    return out.drop("holder", "value", "parent_ord").withColumn("risk_override", F.col("risk_override").try_cast("int")).withColumnRenamed("record", "report_id")
-
-
-def _elements(spark: SparkSession, sf_dir: str, arrays: dict[str, str], fields: list[str], value: str = "") -> DataFrame:
-    """Rows of one or two arrays (name of the list to its label): ``report_id, list, parent_ord, ord``, a column for each
-    field, and the element itself as ``value``. Of all nodes only theirs and those of the elements that hold them are read.
-    An object has a null value, a scalar null fields; nulls give no row but keep their position."""
-    held_by = {c.label: c.parents or None for c in REPORT_CHILDREN.values()}
-    labels = {f"{a}[]{tail}" for a in arrays.values() for tail in ["", *(f".{f}" for f in fields)]} | {f"{held_by[a]}[]" for a in arrays.values() if held_by[a]}
-    nodes = cut(_report_nodes(spark, sf_dir, sorted(labels)), "report-nodes")
-    out = None
-    for name, label in arrays.items():
-        part = entity_table(nodes, label, {f: f for f in fields}, held_by[label]).select("record", F.lit(name).alias("list"), "parent_ord", "ord", *fields, F.col("value").alias(value or "value"))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("record", "report_id")
+    out = _elements(spark, sf_dir, {"risk": _RISKS}, ["rule_id", "severity", "risk_override"]).drop("list", "parent_ord", "value")
+    return out.withColumn("risk_override", F.col("risk_override").try_cast("int"))
 
 
 def p4_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,12 +166,12 @@ def p4_overreach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per scope of a finding; list and parent_ord name the finding."""
-    return _elements(spark, sf_dir, {s: f"{f}[].capability.scope" for s, f in zip(("prohibited", "restricted"), _FINDINGS)}, [], "scope")
+    return _elements(spark, sf_dir, _of_findings("[].capability.scope"), [], "scope")
 
 
 def p4_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per tag of a finding; list and parent_ord name the finding."""
-    return _elements(spark, sf_dir, {s: f"{f}[].tags" for s, f in zip(("prohibited", "restricted"), _FINDINGS)}, [], "tag")
+    return _elements(spark, sf_dir, _of_findings("[].tags"), [], "tag")
 
 
 def p4_risk_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,13 +82,35 @@ SQL["p4_found"] = (
         ]
     )
 )
-SQL["p4_insights"] = _REPORTS + "\nSELECT report_id, ord::INT AS ord, v ->> 'category' AS category, v ->> 'severity' AS severity, v ->> 'title' AS title FROM insight"
-SQL["p4_unresolved"] = _REPORTS + "\nSELECT report_id, ord::INT AS ord, v ->> 'file' AS file, TRY_CAST(v ->> 'line' AS INT) AS line, v ->> 'llm_opinion' AS llm_opinion FROM unresolved"
-SQL["p4_scopes"] = _REPORTS + "\nSELECT report_id, list, parent_ord::INT AS parent_ord, ord::INT AS ord, v ->> '$' AS scope FROM scope"
-SQL["p4_tags"] = _REPORTS + "\nSELECT report_id, list, parent_ord::INT AS parent_ord, ord::INT AS ord, v ->> '$' AS tag FROM tag"
-SQL["p4_evidence"] = _REPORTS + "\nSELECT report_id, parent_ord::INT AS parent_ord, ord::INT AS ord, v ->> '$' AS evidence FROM evidence"
-SQL["p4_risk_capabilities"] = _REPORTS + "\nSELECT report_id, parent_ord::INT AS parent_ord, ord::INT AS ord, v ->> '$' AS capability FROM matched"
-SQL["p4_overreach"] = _REPORTS + "\nSELECT report_id, ord::INT AS ord, v ->> '$' AS permission FROM overreach"
+
+
+def _rows(table: str, *columns: str) -> str:
+    return f"{_REPORTS}\nSELECT report_id, {', '.join(columns)}, ord::INT AS ord FROM {table}"
+
+
+def _field(name: str, of: str = "v", kind: str = "VARCHAR") -> str:
+    """A scalar field of an element; null where it holds an object or array."""
+    return f"TRY_CAST(CASE WHEN json_type({of} -> '{name}') NOT IN ('OBJECT', 'ARRAY') THEN {of} ->> '{name}' END AS {kind}) AS \"{name}\""
+
+
+def _own(name: str) -> str:
+    return f"CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN v ->> '$' END AS {name}"
+
+
+_LIST, _UP = "list || '_findings' AS list", "parent_ord::INT AS parent_ord"
+SQL["p4_findings"] = _rows(
+    "finding JOIN capable USING (report_id, list, ord)", _LIST, _field("file"), _field("line", kind="INT"), _field("col", kind="INT"),
+    *map(_field, ("pattern", "severity", "message", "suggested_fix")), _field("category", "c"), _field("action", "c"), _field("scope_resolved", "c", "BOOLEAN"),
+)
+SQL["p4_leaves"] = _rows("leaf", _field("path"), _field("hash"))
+SQL["p4_risks"] = _rows("risk", _field("rule_id"), _field("severity"), _field("risk_override", kind="INT"))
+SQL["p4_insights"] = _rows("insight", *map(_field, ("category", "severity", "title")))
+SQL["p4_unresolved"] = _rows("unresolved", _field("file"), _field("line", kind="INT"), _field("llm_opinion"))
+SQL["p4_scopes"] = _rows("scope", _LIST, _UP, _own("scope"))
+SQL["p4_tags"] = _rows("tag", _LIST, _UP, _own("tag"))
+SQL["p4_evidence"] = _rows("evidence", _UP, _own("evidence"))
+SQL["p4_risk_capabilities"] = _rows("matched", _UP, _own("capability"))
+SQL["p4_overreach"] = _rows("overreach", _own("permission"))
 
 _KIND = """CASE json_type({v}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array of' WHEN 'NULL' THEN 'null' ELSE 'number' END"""
 _TYPE = f"""CASE json_type(v) WHEN 'ARRAY' THEN rtrim('array of ' || coalesce(nullif({_KIND.format(v="(v -> '$[0]')")}, 'null'), '')) ELSE {_KIND.format(v="v")} END"""
