@@ -67,6 +67,12 @@ def test_counts_of_line_ends(spark):
     assert got == {("", "a"): (1, 0), ("a", "b"): (1, 0), ("b", "c"): (2, 2), ("", "b"): (1, 0), ("", "x"): (1, 0), ("x", "0"): (1, 1), ("", "last"): (1, 0)}
 
 
+def test_counts_take_every_kind_of_line_end_and_blank(spark):
+    df = spark.createDataFrame([(1, "a b\r\nc\td\r\n \t\r\ne\rf  g\n"), (2, "  \na b")], "doc_id long, text string")
+    got = {(x.tok2, x.tok): (x.n, x.e) for x in T.line_end_counts(df).collect()}
+    assert got == {("", "a"): (2, 0), ("a", "b"): (1, 1), ("", "c"): (1, 0), ("c", "d"): (1, 1), ("", "e"): (1, 1), ("", "f"): (1, 0), ("f", "g"): (1, 1)}
+
+
 def test_long_lines_keep_all_their_features():
     one, two = ("word " * 40 + x + " the end of the lin" for x in ("alpha", "beta"))
     assert T.describe(one)[0] != T.describe(two)[0]
