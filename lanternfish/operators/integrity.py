@@ -157,6 +157,8 @@ def root_matches(compared: DataFrame) -> DataFrame:
     a leaf that is missing or leaves the package counts as ZERO."""
     now = F.when(F.col("status").isin("missing", "escapes"), ZERO).otherwise(F.col("now"))
     rows = numbered(compared.select("package_id", "path", "hash", now.alias("now")), ["package_id"], F.split("path", "/"))
-    both = [roots(merkle_levels(rows.select("package_id", "idx", F.col(c).alias("hash")), ["package_id"]), ["package_id"]).select("package_id", F.col("root").alias(c)) for c in ("hash", "now")]
-    j = both[0].join(both[1], "package_id")
+    # Both trees have the same places and are built in one go.
+    sides = F.explode(F.create_map(F.lit("then"), F.col("hash"), F.lit("now"), F.col("now"))).alias("side", "hash")
+    tops = roots(merkle_levels(rows.select("package_id", "idx", sides), ["package_id", "side"]), ["package_id", "side"])
+    j = tops.groupBy("package_id").agg(*[F.max(F.when(F.col("side") == s, F.col("root"))).alias(c) for s, c in (("then", "hash"), ("now", "now"))])
     return j.select("package_id", F.col("hash").alias("root"), (F.col("hash") == F.col("now")).alias("root_ok"))

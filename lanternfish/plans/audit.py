@@ -396,9 +396,10 @@ def merkle_verified(spark: SparkSession, d: str) -> DataFrame:
 def _locked(spark: SparkSession, d: str) -> DataFrame:
     """``package_id, path, hash`` of the last snapshot of each package; of several deliveries of a path the latest counts."""
     leaves = table(spark, d, "merkle_leaves").where("path IS NOT NULL AND hash IS NOT NULL")
-    leaves = leaves.select("package_id", "snapshot_no", clean_path(F.col("path")).alias("path"), clean_hash(F.col("hash")).alias("hash"), "received_at", "idx")
     last = leaves.groupBy("package_id").agg(F.max("snapshot_no").alias("snapshot_no"))
-    rows = leaves.join(last, ["package_id", "snapshot_no"], "left_semi")
+    # Only the rows of a last snapshot are brought to one spelling.
+    rows = leaves.select("package_id", "snapshot_no", "path", "hash", "received_at", "idx").join(last, ["package_id", "snapshot_no"], "left_semi")
+    rows = rows.select("package_id", clean_path(F.col("path")).alias("path"), clean_hash(F.col("hash")).alias("hash"), "received_at", "idx")
     return rows.groupBy("package_id", "path").agg(F.max_by("hash", F.struct("received_at", "idx", "hash")).alias("hash"))
 
 
