@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.sources.storage import cut, looked_up
+from lanternfish.sources.storage import cut, looked_up, unsent
 
 #: Children of a node, and sub-ranges of the lowest nodes.
 FANOUT = 16
@@ -104,7 +104,7 @@ def snapshot_changes(
     """
     rows = rows.where(F.col(group).isNotNull() & F.col(number).isNotNull())
     names = [F.col(group).alias("g"), F.col(number).alias("s")]
-    links = cut(snapshot_links(rows.select(*names).unionByName(snapshots.select(*names)), "g", "s"), "links")
+    links = unsent(cut(snapshot_links(rows.select(*names).unionByName(snapshots.select(*names)), "g", "s"), "links"))
     large = cut(large_groups(rows, group, number).select(F.col(group).alias("g"), "bits"), "large")
     bits = large.agg(F.max("bits")).first()[0] or 0
 

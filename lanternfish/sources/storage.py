@@ -56,11 +56,17 @@ def cut(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame
     return spark.read.schema(schema or df.schema).parquet(at)
 
 
-#: A table is broadcast up to this many narrow rows; beyond it :func:`looked_up` joins by salted keys.
+#: A table is broadcast up to this many narrow rows; beyond it :func:`looked_up` joins by salted keys and :func:`unsent` by merging.
 BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
+def unsent(table: DataFrame) -> DataFrame:
+    """A table of :func:`cut` as a side of joins. Spark takes the size of its compressed files for that of its rows, which
+    may be forty times as much, and would broadcast millions of them through the driver; a long one is merged instead."""
+    return table if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], by: str) -> DataFrame:
     """``rows`` left joined with a table of unique ``keys``, whatever share of the rows one key holds: a lookup while the
     table is short, else each key's rows are spread over SALTS tasks by the hash of the column ``by``, and the table is
@@ -68,7 +74,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], by: str) -> Da
     if table.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), keys, "left")
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], "left").drop("__salt")
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*keys, "__salt"], "left").drop("__salt")
 
 
 def release() -> None:

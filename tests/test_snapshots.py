@@ -61,6 +61,22 @@ def test_large_snapshots_are_split(spark, monkeypatch, width, broadcast):
     assert run(spark, leaves) == want
 
 
+def test_many_snapshots_and_large_groups_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    # Links take under 2 bytes each as files: Spark's 10 MB of them are millions of rows in the driver.
+    leaves = [(f"p{g}", n, i, f"f{i}", f"{n * i:064x}", dt.datetime(2025, 1, 1), 1) for g in range(40) for n in (1, 2) for i in range(3)]
+    df = spark.createDataFrame(leaves, LEAVES)
+    monkeypatch.setattr(S, "NODE_ROWS", 2)
+
+    def changes():
+        return S.snapshot_changes(df, df, group="package_id", number="snapshot_no", key=F.col("path"), value=F.col("hash"), at="received_at", idx="idx")
+
+    want = {tuple(r) for r in changes().collect()}
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 30)
+    got = changes()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 80
+
+
 def test_nodes_stay_as_wide_when_rows_double(spark, monkeypatch):
     monkeypatch.setattr(S, "NODE_ROWS", 64)
     widest = []
