@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,8 @@ FORMATS = [
     r"SG\.[0-9A-Za-z_-]{16,}\.[0-9A-Za-z_-]{16,}",
     r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
 ]
+#: What a text that holds one of FORMATS holds.
+FORMAT_SIGNS = "AKIA ASIA ghp_ gho_ ghs_ ghu_ ghr_ github_pat_ glpat- npm_ _live_ _test_ xox AIza SG. eyJ".split()
 FORMAT = re.compile(r"(?<![0-9A-Za-z_])(?:" + "|".join(FORMATS) + ")")
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 #: Lower-case text that a line holds if a name on it says that it holds a credential, or one of the formats or schemes
@@ -57,7 +59,7 @@ KEYED = frozenset("api access secret signing sign encryption auth private accoun
 ABOUT = frozenset("name names url uri field fields type types len length path file files prefix count expiry expires ttl policy pattern regex hint prompt header env var ref format id ids label bucket buckets scope scopes limit total rotation age min max provider store reset rules description title hash digest fingerprint checksum sha md5 etag signature commit re".split())
 WORDS = re.compile(r"[A-Z]+(?![a-zñ])|[A-Z]?[a-zñ]+")
 NAMED = re.compile(
-    r"""(?P<name>[\wñ][\wñ.\-]*(?:\[\s*["'][\w.\- ]+["']\s*\])?)(?P<close>\\?["'])?\]?\s*(?::\s*[A-Za-z_][\w\[\], ]*)?(?:={1,3}|=>|:=|:)\s*(?P<open>[bBrRuUfF]{0,2}(?:\\?["'`]))?""",
+    r"""\b(?P<name>[\wñ][\wñ.\-]*(?:\[\s*["'][\w.\- ]+["']\s*\])?)(?P<close>\\?["'])?\]?\s*(?::\s*[A-Za-z_][\w\[\], ]*)?(?:={1,3}|=>|:=|:)\s*(?P<open>[bBrRuUfF]{0,2}(?:\\?["'`]))?""",
 )
 QUOTED = re.compile(r"""(?P<q>\\?["'`])(?P<v>(?:\\.|(?!(?P=q)).)*?)(?P=q)""")
 URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@'\"`{}$<>]*:(?P<v>[^\s/@'\"`{}$<>]+)@")
@@ -65,13 +67,13 @@ QUERY = re.compile(r"[?&;](?P<name>[\w\-]+)=(?P<v>[^\s&;'\"`{}<>]+)")
 SCHEME = re.compile(r"\b(?P<s>Basic|Bearer|Token)\s+(?P<v>[A-Za-z0-9+/_.=~-]{8,})", re.I)
 FLAG = re.compile(r"""(?<![\w-])--?(?P<name>[a-z][a-z-]*)(?:\s+|=|["'],\s*)(?P<q>["']?)(?P<v>[^\s"']+(?:(?<=[\w])\s[^\s"'-][^"']*(?=["']))?)""")
 PAIR = re.compile(r"""-u\s+(?P<q>["']?)[^\s:"'$]+:(?P<v>[^\s"']+)(?P=q)""")
-PROSE = re.compile(r"(?<![\w.\"'=-])(?P<name>[Pp]assword|[Pp]asswd|[Pp]assphrase|[Ss]ecret)(?:\s+is|:)?\s+(?P<v>[^\s\"'`,;()<>]{6,})")
+PROSE = re.compile(r"[PpSs](?<![\w.\"'=-].)(?:(?<=[Pp])ass(?:word|wd|phrase)|(?<=[Ss])ecret)(?:\s+is|:)?\s+(?P<v>[^\s\"'`,;()<>]{6,})")
 FALLBACK = re.compile(
     r"""(?:process\.env\.(?P<a>\w+)\s*(?:\|\||\?\?)\s*|(?:environ\.get|getenv)\(\s*["'](?P<b>\w+)["']\s*,\s*|\$\{(?P<c>\w+):?[-=])(?P<q>["'`]?)(?P<v>[^"'`\n${}]+)(?P=q)"""
 )
 TUPLE = re.compile(r"""["'][\w.+-]+@[\w-]+\.[\w.-]+["']\s*,\s*(?P<q>["'])(?P<v>(?!--)[^"'\n]+)(?P=q)""")
-SPREAD = re.compile(r"""(?P<name>\w+)\s*=\s*\(\s*\r?\n(?P<body>(?:\s*[bru]{0,2}(?:"[^"\n]*"|'[^'\n]*')\s*\r?\n)+)\s*\)""")
-ITEM = re.compile(r"""["']?name["']?\s*[:=]\s*["']?(?P<n>[\w\-]+)["']?\s*(?:#[^\n]*)?[,\n]\s*(?:-\s*)?["']?value["']?\s*[:=]\s*(?=(?P<rest>[^\n]*))""")
+SPREAD = re.compile(r"""\b(?P<name>\w+)\s*=\s*\(\s*\r?\n(?P<body>(?:\s*[bru]{0,2}(?:"[^"\n]*"|'[^'\n]*')\s*\r?\n)+)\s*\)""")
+ITEM = re.compile(r"""name["']?\s*[:=]\s*["']?(?P<n>[\w\-]+)["']?\s*(?:#[^\n]*)?[,\n]\s*(?:-\s*)?["']?value["']?\s*[:=]\s*(?=(?P<rest>[^\n]*))""")
 SSHPASS = re.compile(r"""\bsshpass["']?[\s,]+["']?-p["']?[\s,]*(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)""")
 BLOCK_SCALAR = re.compile(r"[|>](?:[+-]?\d?|\d[+-])\s*(?:#.*)?")
 #: What counts while a bracketed list is read: strings, brackets and comments.
@@ -101,6 +103,15 @@ MORE = re.compile(r"\s*(?:\+|\.\.|\\\r?\n)?\s*(?=[bruf]{0,2}[\"'`])")
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
 HEX = re.compile(r"[0-9a-fA-F]+")
+BASE64 = re.compile(r"[A-Za-z0-9+/_=.-]+")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+PHRASE = re.compile(r"[A-Za-z_\- .]+")
+DIGEST = re.compile(r"(?:sha\d+|md5)[-:]")
+DIGEST_NAME = re.compile(r"(?:sha\d*|md5)[-_:]")
+KINDS = [re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]")]
+#: A name before a separator or a bracket; what addresses stand apart by.
+NAME_BEFORE = re.compile(r"[\w\-]+(?=[\"']?\]?\s*(?::|=|\())")
+APART = re.compile(r"[\s\"'`]")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 REFERENCE = re.compile(
     r"\$[\w{(]|%\(\w+\)|\{\{|^\{\w*\}$|^<[^<>]*>$|^(?:vault|file|env|ssm|arn|op|secret|keyring|sops|kms|https?|s3|gs)[:/]|"
@@ -131,15 +142,20 @@ def alphabet(v: str) -> str:
         return "letters"
     if v.isascii() and v.isalnum():
         return "alnum"
-    if re.fullmatch(r"[A-Za-z0-9+/_=.-]+", v):
+    if BASE64.fullmatch(v):
         return "base64"
     return "printable"
 
 
+@lru_cache(1 << 16)
+def _bits(c: int, n: int) -> float:
+    return c / n * math.log2(c / n)
+
+
 def entropy(v: str) -> float:
     """Shannon entropy in bits a character."""
     n = len(v)
-    return -sum(c / n * math.log2(c / n) for c in Counter(v).values()) if n else 0.0
+    return -sum([_bits(v.count(ch), n) for ch in dict.fromkeys(v)]) if n else 0.0
 
 
 def names_credential(name: str) -> bool:
@@ -173,24 +189,26 @@ def excluded(v: str, context: str) -> str | None:
         return "name"
     if low == "n/a" or not any(ch.isdigit() for ch in v) and (WORDY.search(v) or FILLERS & set(re.split(r"[^a-z]+", low))):
         return "placeholder"
-    if names_credential(v) and re.fullmatch(r"[A-Za-z_\- .]+", v) and (low == v or v.isupper() or "_" in v or "-" in v):
+    if names_credential(v) and PHRASE.fullmatch(v) and (low == v or v.isupper() or "_" in v or "-" in v):
         return "name"
     if context == "listed" and not (any(ch.isdigit() for ch in v) and any(ch.isalpha() for ch in v) and len(v) >= 8):
         return "word"
     if context == "listed" and EMAIL.fullmatch(v):
         return "name"
-    if context in ("listed", "unnamed") and (UUID.fullmatch(v) or re.match(r"(?:sha\d+|md5)[-:]", low)):
+    if context in ("listed", "unnamed") and (UUID.fullmatch(v) or DIGEST.match(low)):
         return "digest"
     if context == "prose" and (v.isalpha() and (v.islower() or v.istitle()) or v.endswith((":", "=", "(")) or HOST.fullmatch(v)):
         return "word"
     return None
 
 
-def _line_spans(text: str, a: int, b: int, low: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, context) of the candidates of the line text[a:b]; low is the line in lower case."""
+def _line_spans(text: str, a: int, b: int, low: str, formats: bool) -> Iterator[tuple[int, int, str]]:
+    """(start, end, context) of the candidates of the line text[a:b]; low is the line in lower case, formats whether the
+    text holds one of FORMAT_SIGNS."""
     line = text[a:b]
-    for m in FORMAT.finditer(line):
-        yield a + m.start(), a + m.end(), "format"
+    if formats:
+        for m in FORMAT.finditer(line):
+            yield a + m.start(), a + m.end(), "format"
     if "://" in line:
         for m in URL_USER.finditer(line):
             yield a + m.start("v"), a + m.end("v"), "url"
@@ -317,15 +335,15 @@ def _random(v: str) -> bool:
 def _what(v: str) -> tuple[str, str | None]:
     """Context (unnamed, or prefixed where a key's own name stands before its random part) of a literal that nothing on
     its line explains, and why it is none by its form."""
-    if HEX.fullmatch(v) or UUID.fullmatch(v) or re.match(r"(?:sha\d*|md5)[-_:]", v.lower()):
+    if HEX.fullmatch(v) or UUID.fullmatch(v) or DIGEST_NAME.match(v.lower()):
         return "unnamed", "digest"
     if (m := PREFIXED.fullmatch(v)) and not (DATA | ABOUT) & {w.lower() for w in (m["words"] or m["word"]).split("_")}:
         part = m["part"] or m["parts"].replace("-", "")
         if m["part"] and "_" in m["words"] and HEX.fullmatch(part) and any(ch.isalpha() for ch in part) or not HEX.fullmatch(part) and (_random(part) or len(CHANGES.findall(part)) >= 0.3 * len(part)):
             return "prefixed", None
-    if SIGNS.sub("", v) == v or re.fullmatch(r"[A-Za-z0-9+/_=-]+", v):
+    if SIGNS.sub("", v) == v or TOKEN.fullmatch(v):
         return "unnamed", None if len(v) >= 20 and _random(v) else "words"
-    kinds = sum(bool(re.search(x, v)) for x in ("[a-z]", "[A-Z]", "[0-9]"))
+    kinds = sum(bool(x.search(v)) for x in KINDS)
     if STRUCTURE.search(v) or HOST.fullmatch(v) or EMAIL.search(v):
         return "unnamed", "structure"
     signs = len(SIGNS.findall(v))
@@ -357,8 +375,8 @@ def _unnamed(text: str) -> Iterator[tuple[int, int, str, str | None]]:
             if any(LONG.fullmatch(x.strip(_AROUND)) for x in (prev, after)) or "-----" in prev + after:
                 why = "data"
             before = prev
-        names = [w.lower() for n in re.findall(r"[\w\-]+(?=[\"']?\]?\s*(?::|=|\())", before)[-1:] for w in WORDS.findall(n)]
-        if DATA_BEFORE.search(before[-NEAR:]) or "://" in re.split(r"[\s\"'`]", before)[-1] or names and (context == "unnamed" and names[-1] in ABOUT or DATA & set(names)):
+        names = [w.lower() for n in NAME_BEFORE.findall(before)[-1:] for w in WORDS.findall(n)]
+        if DATA_BEFORE.search(before[-NEAR:]) or "://" in APART.split(before)[-1] or names and (context == "unnamed" and names[-1] in ABOUT or DATA & set(names)):
             why = "data"
         if why is None:
             if pems is None:
@@ -432,7 +450,7 @@ def _lower(text: str) -> str:
 def hinted_lines(low: str) -> list[tuple[int, int]]:
     """(start, end) of the lines in which one of HINTS occurs."""
     starts: dict[int, int] = {}
-    for w in HINTS:
+    for w in [w for w in HINTS if w in low]:
         i = low.find(w)
         while i >= 0:
             skip, needs = SKIP.get(w), NEEDS.get(w)
@@ -456,15 +474,16 @@ def candidates(text: str) -> list[tuple[int, int, str, str | None]]:
     listed: list[tuple[int, int]] = []
     low = _lower(text)
     blocks = [m.span() for m in KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
+    formats = any(w in text for w in FORMAT_SIGNS)
     for a, b in hinted_lines(low):
         if any(s <= a and b <= e for s, e in blocks):
             continue
-        for s, e, c in _line_spans(text, a, b, low[a:b]):
+        for s, e, c in _line_spans(text, a, b, low[a:b], formats):
             if c == "listed":
                 listed.append((s, e))
             elif e > s and (out.get((s, e)) is None or c == "format"):
                 out[s, e] = c
-    if "value" in low and "name" in low:
+    if "value" in text and "name" in text:
         for m in ITEM.finditer(text):
             if names_credential(m["n"]):
                 at = m.start("rest")

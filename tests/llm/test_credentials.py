@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 import string
+import time
 import uuid
 
 import pytest
@@ -182,3 +183,21 @@ def test_parts_are_judged_together(spark):
     df = spark.createDataFrame([(1, 'api_token = "aB3x" + "Zq9" + "Lk2"\n')], "file_id long, text string")
     rows = sorted((r.start_pos, r.context, r.length, r.excluded) for r in C.credential_candidates(df).collect())
     assert [(c, n, x) for _, c, n, x in rows] == [("named", 10, None), ("joined", 10, None), ("joined", 10, None)]
+
+
+def test_names_are_tried_from_their_first_letter_only():
+    # Tried from every letter, a word of n letters took n * n / 2 steps: 4 seconds here.
+    began = time.process_time()
+    assert C.candidates("x = 1; pw " + "g" * 5_000) == [(10, 5_010, "unnamed", "words")]
+    assert time.process_time() - began < 1
+
+
+def test_every_format_holds_a_sign_of_formats():
+    part = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0dF2gH5"
+    values = [AWS, "ASIA" + AWS[4:], *(f"gh{c}_{part}" for c in "opsur"), f"github_pat_{part}", f"glpat-{part}", f"npm_{part}"]
+    values += [f"{a}_{b}_{part}" for a in ("sk", "pk", "rk") for b in ("live", "test")] + [f"xox{c}-{part}" for c in "abeoprs"]
+    values += [f"AIza{part}", f"SG.{part}.{part}", f"eyJ{part}.eyJ{part}.{part}"]
+    for f in C.FORMATS:
+        assert any(C.re.match(f, v) for v in values)
+    for v in values:
+        assert [c for *_, c, _ in C.candidates(f"x = f({v})")] == ["format"]
